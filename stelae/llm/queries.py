@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stelae.llm import quantiles, splitting
+from stelae.llm import encoding, quantiles, splitting
 from stelae.session import Scratch
 from stelae.sources.tables import table
 
@@ -114,12 +114,25 @@ def p3_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, those with empty and null text included."""
+    return encoding.encoded(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every document, decoded from its ids, by digest."""
+    ids = Scratch(spark, "encoding").keep(encoding.encoded(table(spark, folder, "documents"), "doc_id", "text"), "ids")
+    return encoding.decoded(ids, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_within_error": p1_within_error,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p3_rejoined": p3_rejoined,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
 }
 
 ORACLE = {
@@ -136,4 +149,5 @@ FROM per WHERE v IS NOT NULL GROUP BY ALL""",
     "p3_found": "SELECT DISTINCT document FROM sources WHERE octet_length(content) > 4000",
     "p3_rejoined": """SELECT DISTINCT document, sha256(content) AS digest, true AS kept_limits
 FROM sources WHERE octet_length(content) > 4000""",
+    "p6_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
 }
