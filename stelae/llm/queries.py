@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stelae.llm import encoding, quantiles, splitting
+from stelae.llm import encoding, mixing, quantiles, splitting
 from stelae.session import Scratch
 from stelae.sources.tables import table
 
@@ -125,6 +125,23 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.decoded(ids, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select(F.struct("doc_id", "source").alias("document"), "text")
+    sized = encoding.token_counts(documents, "document", "text").select("document.*", "tokens")
+    sized = Scratch(spark, "mixing").keep(sized, "sized")
+    return mixing.mixed(sized, table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What every source was to give and really gave."""
+    return _mixed(spark, folder)[1]
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents and how often each is taken."""
+    return _mixed(spark, folder)[0]
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_within_error": p1_within_error,
@@ -133,6 +150,8 @@ QUERIES = {
     "p3_rejoined": p3_rejoined,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
+    "p7_shares": p7_shares,
+    "p7_selection": p7_selection,
 }
 
 ORACLE = {
