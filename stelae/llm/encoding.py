@@ -9,9 +9,9 @@ corpus is encoded word by word and every distinct word only once.
    tokenizer itself, since their class may differ there.
 2. *Blocks.*  Texts are hashed into blocks of about ``block_octets`` octets.  The
    distinct words of each block are taken once (``block, word``).
-3. *Distinct words.*  The distinct words of all blocks are encoded, each once,
-   into a table ``word, ids`` and joined back to the blocks' words.  A word occurs
-   once per block there, however often it is used, so no key is hot.
+3. *Distinct words.*  These pairs are brought together by word and every distinct
+   word is encoded once, which gives the table ``block, word, ids``.  A word has
+   one row per block there, however often it is used, so no key is hot.
 4. *Ids by position.*  Each block meets its own dictionary; words are replaced by
    their ids by position, without a row or a Python object per word.
 
@@ -105,7 +105,7 @@ def _distinct_words(path: str) -> Callable:
             starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
             for start, stop in zip(starts, [*starts[1:], len(blocks)]):
                 part = batch.slice(int(start), int(stop - start))
-                words = _Words(part.column(1), part.column(2), path).words
+                words = _Words(part.column(2), part.column(3), path).words
                 found = pc.unique(words).cast(pa.binary())
                 for at in range(0, len(found), 50_000):
                     some = found.slice(at, 50_000)
@@ -117,13 +117,24 @@ def _distinct_words(path: str) -> Callable:
 
 def _encoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        """``block, word, ids`` once per pair, from pairs sorted by word and block."""
+        tokenizer, word, ids, block = _tokenizer(path), None, [], None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            if not batch.num_rows:
+                continue
+            coded = pc.dictionary_encode(batch.column(1))
+            distinct, blocks = coded.dictionary.to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            known = distinct[0] == word  # the run of the batch before goes on
+            lists = [ids] if known else []
+            lists += [e.ids for e in tokenizer.encode_batch(distinct[known:], add_special_tokens=False)]
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            first = np.concatenate([[not known or blocks[0] != block], (at[1:] != at[:-1]) | (blocks[1:] != blocks[:-1])])
+            kept = pa.array(np.flatnonzero(first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"]
+                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(lists, pa.list_(pa.int32())).take(pa.array(at)).take(kept)],
+                names=["block", "word", "ids"],
             )
+            word, ids, block = distinct[at[-1]], lists[at[-1]], blocks[-1]
 
     return run
 
@@ -156,9 +167,14 @@ def _by_position(path: str, ids_wanted: bool, result: pa.Schema) -> Callable:
     return run
 
 
-def encoded_words(words: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """The distinct-word table: ``word, ids`` of every distinct ``word``."""
-    return words.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
+def word_table(pairs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """``block, word, ids`` of every distinct pair of ``block, word``.
+
+    All rows of a word meet in one task, in order, which encodes it once.  A word
+    has at most one row per block (and batch of it), however often it is used.
+    """
+    together = pairs.repartition("word").sortWithinPartitions("word", "block")
+    return together.mapInArrow(_encoder(path), "block int, word string, ids array<int>")
 
 
 def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int, ids_wanted: bool) -> DataFrame:
@@ -173,8 +189,9 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int,
         content.alias("text"),
         word_octets(content).alias("lengths"),
     ).repartition("block")
-    words = texts.select("block", "text", "lengths").mapInArrow(_distinct_words(path), "block int, word string").distinct()
-    dictionary = words.join(encoded_words(words, path), "word")
+    # All columns, though the ids are not needed: with the same columns on both
+    # paths the texts are split and shuffled once and the exchange is reused.
+    dictionary = word_table(texts.mapInArrow(_distinct_words(path), "block int, word string"), path)
     kind = docs.schema[key].dataType
     out = pa.field("ids", pa.list_(pa.int32())) if ids_wanted else pa.field("tokens", pa.int64())
     result = pa.schema([pa.field("id", to_arrow_type(kind)), out])
