@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BLOCK_OCTETS = 8 << 20
+BLOCK_OCTETS = 4 << 20
 
 # The pattern of the byte-level vocabularies, with the white space
 # of the tokenizer spelled out because Java's \s is ASCII only.
