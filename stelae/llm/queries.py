@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stelae.llm import encoding, mixing, quantiles, splitting
+from stelae.llm import encoding, mixing, quantiles, splitting, text_quality
 from stelae.session import Scratch
 from stelae.sources.tables import table
 
@@ -142,6 +142,14 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
 
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.statistics(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.not_prose(p8_statistics(spark, folder)).select("doc_id")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_within_error": p1_within_error,
@@ -152,6 +160,8 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_shares": p7_shares,
     "p7_selection": p7_selection,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 ORACLE = {
