@@ -73,7 +73,7 @@ _SOUND = re.compile(r"^[-–\s♪♫]*(?:[\[(（【].*[\])）】]|[♪♫♩♬\
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\{\\?[^{}]*\}|&(?:[a-z]+|#\d+);|^</?[A-Za-z]\w*$|^[a-z-]+=\"[^\"]*\"/?>?")
 _HEADER = frozenset({"WEBVTT", "NOTE", "STYLE", "REGION", "[Script", "[Events]"})
 _EDGE = ".,!?…;:\"'()[]{}¿¡«»„“”‘’-–—♪♫、。！？「」『』（）"
-_END = tuple(".!?…。！？♪\"»”)]")
+_END = tuple(".!?…。！？♪\"»”)]）】")
 _KANA = re.compile(r"[ぁ-ヿ]")
 _CJK = re.compile(r"[ぁ-ヿ一-鿿]")
 _LEADER = re.compile(r"^\.{3,}$")
