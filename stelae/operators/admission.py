@@ -44,7 +44,8 @@ def linked(statements: DataFrame) -> DataFrame:
     return claimed.withColumn("assertion", assertion_identity(F.col("claim"), F.col("document"), F.col("scope")))
 
 
-_POSITION = F.struct("passage", "ordinal")
+def _position():
+    return F.struct("passage", "ordinal")
 
 
 def citations(links: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def citations(links: DataFrame) -> DataFrame:
     return (
         links.filter("complete")
         .groupBy("run", "assertion", "claim", "document", "scope")
-        .agg(F.count("*").alias("times"), F.min(_POSITION).alias("first"))
+        .agg(F.count("*").alias("times"), F.min(_position()).alias("first"))
     )
 
 
@@ -61,7 +62,7 @@ def concepts(links: DataFrame) -> DataFrame:
     return (
         links.filter("complete")
         .groupBy("run", "concept", "concept_name")
-        .agg(F.count("*").alias("mentions"), F.min(_POSITION).alias("first"))
+        .agg(F.count("*").alias("mentions"), F.min(_position()).alias("first"))
     )
 
 
@@ -119,7 +120,7 @@ def publications(statements: DataFrame, known: KnowledgeGraph | None = None) ->
         shut = known.concepts.filter(~is_current(F.col("standing"))).select("concept")
         named = named.join(shut, "concept", "left_anti")
     claims = (
-        links.filter("complete").groupBy("run", "claim", "concept", "claim_text").agg(F.min(_POSITION).alias("first"))
+        links.filter("complete").groupBy("run", "claim", "concept", "claim_text").agg(F.min(_position()).alias("first"))
     )
 
     def rows(frame: DataFrame, rank: int, kind: str, key: str, ref, text, source, scope) -> DataFrame:

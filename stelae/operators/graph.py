@@ -213,10 +213,13 @@ class KnowledgeGraph:
             ranked = rows.filter(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(order))
             return ranked.filter(F.col("_rank") == 1).select(key, *columns, *_STANDING)
 
+        def tidy(rows: DataFrame, *columns: str) -> DataFrame:
+            return rows.withColumns({c: normalized(F.coalesce(c, F.lit(""))) for c in columns})
+
         return cls(
-            last(concepts, "concept", ["canonical_name"]),
-            last(claims, "claim", ["concept", "text"]),
-            last(assertions, "assertion", ["claim", "source", "scope"]),
+            tidy(last(concepts, "concept", ["canonical_name"]), "canonical_name"),
+            tidy(last(claims, "claim", ["concept", "text"]), "text"),
+            tidy(last(assertions, "assertion", ["claim", "source", "scope"]), "source", "scope"),
         )
 
     def current(self) -> CurrentWorld:

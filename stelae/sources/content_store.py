@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stelae.functions.identity import document_identity
+from stelae.session import Scratch
 
 DOCUMENTS = "document string, content binary, length long"
 
@@ -55,42 +57,28 @@ class DocumentStore:
     """Documents under a folder, or of this session only where ``root`` is None."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.path = None if root is None else os.path.join(root, "documents")
-        empty = spark.createDataFrame([], DOCUMENTS)
-        if self.path is None:
-            self._memory = empty
-        else:
-            empty.write.mode("append").parquet(self.path)
+        self.spark, self.durable = spark, root is not None
+        self.scratch = Scratch(spark, "documents")
+        self.path = os.path.join(root, "documents") if root is not None else self.scratch.path("documents")
+        spark.createDataFrame([], DOCUMENTS).write.mode("append").parquet(self.path)
 
     def is_durable(self) -> bool:
-        return self.path is not None
+        return self.durable
 
     def documents(self) -> DataFrame:
-        return self._memory if self.path is None else self.spark.read.schema(DOCUMENTS).parquet(self.path)
+        return self.spark.read.schema(DOCUMENTS).parquet(self.path)
 
     def write(self, contents: DataFrame, content: str = "content") -> DataFrame:
         """Store what is new; returns the receipts.  The only way in."""
-        held = self.documents()
-        receipts = admissions(contents, held, content)
-        receipts = self.spark.createDataFrame(receipts.collect(), receipts.schema) if self.path is None else self._kept(receipts)
+        receipts = self.scratch.keep(admissions(contents, self.documents(), content), f"receipts-{uuid.uuid4().hex[:8]}")
         fresh = (
             addressed(contents, content)
             .join(receipts.filter(F.col("admission") == "stored").select("document"), "document", "left_semi")
             .dropDuplicates(["document"])
-            .select("document", "content", "length")
         )
-        if self.path is None:
-            self._memory = self.spark.createDataFrame(held.unionByName(fresh).collect(), DOCUMENTS)
-        else:
-            fresh.write.mode("append").parquet(self.path)
+        fresh.select("document", "content", "length").write.mode("append").parquet(self.path)
         return receipts
 
-    def _kept(self, receipts: DataFrame) -> DataFrame:
-        from stelae.session import Scratch
-
-        return Scratch(self.spark, "receipts").keep(receipts, "receipts")
-
     def holds(self, addresses: DataFrame) -> DataFrame:
         """The addresses that hold a document."""
         return addresses.join(self.documents().select("document"), "document", "left_semi")
