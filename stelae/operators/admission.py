@@ -13,7 +13,7 @@ no burden.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelae.functions.identity import assertion_identity, claim_identity, concept_identity
@@ -154,5 +154,5 @@ def numbered(published: DataFrame, after: int, at: int | None) -> DataFrame:
 
 def repeats(links: DataFrame) -> DataFrame:
     """The proposals of a run that repeat a citation made earlier in it."""
-    order = Window.partitionBy("run", "assertion").orderBy("passage", "ordinal")
-    return links.filter("complete").withColumn("_n", F.row_number().over(order)).filter("_n > 1").drop("_n")
+    first = citations(links).filter("times > 1").select("run", "assertion", "first")
+    return links.filter("complete").join(first, ["run", "assertion"]).filter(_position() > F.col("first")).drop("first")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stelae.functions.values import SKIPPED, UNMET
 from stelae.operators.graph import ASSERTED, SUPERSEDED, _identified
+from stelae.operators.ordered import previous
 from stelae.session import Scratch
 
 FINDING = "audit string, subject string, finding string"
@@ -41,25 +42,16 @@ def merges(log: DataFrame) -> DataFrame:
     """``seq, subject, finding`` of every supersession that broke a closing rule at
     its own position in the log.
 
-    Standings as of a position come from one window per concept over its own
-    records and the questions asked of it.
+    Standings as of a position are the last ones before it, of the concept itself
+    and, asked among the successor's own records, of the successor.
     """
     concepts = _identified(log.filter(F.col("kind") == "concept")).select("seq", "id", "standing", "successor", "because")
-    own = Window.partitionBy("id").orderBy("seq")
-    before = concepts.withColumn("before", F.lag("standing").over(own))
+    before = previous(concepts, "id", "seq", F.col("standing"), "before")
     acts = before.filter(F.col("standing") == SUPERSEDED)
-    told = concepts.select("id", "seq", F.lit(0).alias("asks"), "standing", F.lit(None).cast("long").alias("act"))
-    asked = acts.select(
-        F.col("successor").alias("id"), "seq", F.lit(1).alias("asks"), F.lit(None).cast("string").alias("standing"),
-        F.col("seq").alias("act"),
-    )
-    # An act is answered by what stood strictly before it: questions come first at equal positions.
-    order = Window.partitionBy("id").orderBy(F.col("seq"), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    told = concepts.select("id", "seq", "standing", F.lit(False).alias("asks"))
+    asked = acts.select(F.col("successor").alias("id"), "seq", F.lit(None).cast("string").alias("standing"), F.lit(True).alias("asks"))
     answers = (
-        told.unionByName(asked)
-        .withColumn("into", F.last("standing", ignorenulls=True).over(order))
-        .filter(F.col("asks") == 1)
-        .select(F.col("act").alias("seq"), "into")
+        previous(told.unionByName(asked), "id", "seq", F.col("standing"), "into").filter("asks").select("seq", "into")
     )
     finding = (
         F.when(F.coalesce("because", F.lit("")) == "", F.lit("no reason"))

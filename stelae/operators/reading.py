@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stelae.functions.identity import Derivation, is_identity
 from stelae.functions.normalize import CONTROLS, normalized
 from stelae.functions.values import fields_of, joined, optional_number, parsed_count, rendered_optional
+from stelae.operators.ordered import previous, running
 
 # Bounds and roles of a request.
 MOST_PROPOSITIONS = 32
@@ -202,8 +203,7 @@ def outcomes(requests: DataFrame, ceiling: int) -> DataFrame:
     ``requests``: ``document``, ``passage`` (its order), ``answered``,
     ``well_formed``, ``cost_micros``.  The ceiling is over one source and looked
     at before and after each request, so a request whose cost reaches it is
-    exhausted and so is every later one.  A document with very many requests is
-    cut into ranges of its order by ``running``.
+    exhausted and so is every later one.
     """
     spent = running(requests, "document", "passage", F.coalesce("cost_micros", F.lit(0)), "spent")
     judged = (
@@ -215,32 +215,6 @@ def outcomes(requests: DataFrame, ceiling: int) -> DataFrame:
     return spent.withColumn("judged", judged)
 
 
-RANGE = 65_536
-
-
-def running(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` within ``group`` along the integer ``order``.
-
-    Groups are cut into ranges of ``RANGE`` positions: sums of whole ranges are
-    combined on the map side and added before each range, so no window holds a
-    group that has a third of all rows.
-    """
-    cut = rows.withColumns({"_v": value.cast("long"), "_range": F.floor(F.col(order) / RANGE)})
-    whole = cut.groupBy(group, "_range").agg(F.sum("_v").alias("_sum"))
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = whole.select(
-        F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(group, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r"))
-    return (
-        cut.withColumn("_inside", F.sum("_v").over(inside))
-        .join(offsets, same)
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_v", "_range", "_g", "_r", "_inside", "_before")
-    )
-
-
 def measures(ledger: DataFrame, priced: bool = True) -> DataFrame:
     """Per-request usage from a running ledger of ``document, passage, failed,
     answered`` and running ``input, output, cost_micros``.
@@ -248,10 +222,11 @@ def measures(ledger: DataFrame, priced: bool = True) -> DataFrame:
     Usage and cost are absent where nothing was answered, cost also without a
     price card; an absent value stays absent and is never 0.
     """
-    order = Window.partitionBy("document").orderBy("passage")
-    delta = lambda c: F.greatest(F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0)), F.lit(0))
+    counters = ["input", "output", "cost_micros"]
+    seen = previous(ledger, "document", "passage", F.struct(*counters), "_seen")
+    delta = lambda c: F.greatest(F.col(c) - F.coalesce(F.col("_seen")[c], F.lit(0)), F.lit(0))
     used = F.col("answered") == 1
-    return ledger.select(
+    return seen.select(
         "document", "passage", (F.col("failed") + F.col("answered")).alias("attempts"),
         F.when(used, delta("input")).alias("input"), F.when(used, delta("output")).alias("output"),
         (F.when(used, delta("cost_micros")) if priced else F.lit(None).cast("long")).alias("cost_micros"),
