@@ -111,7 +111,8 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 def _plan(budgets: dict[str, int], seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True)
+        # In order of length: the plan must not depend on how the rows arrived.
+        frame = pd.concat(list(frames)).sort_values("tokens", ignore_index=True)
         source = frame["source"].iloc[0]
         repeats, more = plan_source(
             frame["tokens"].to_numpy(np.int64), frame["held"].to_numpy(np.int64), budgets[source], seed
