@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = 65_536
-_LOWEST = -(2**63)
+_LOWEST = -(2**63) + 1  # one above the lowest, so that "strictly before" cannot overflow
 
 
 def _cut(rows: DataFrame, order: str, value: Column) -> DataFrame:
-    place = F.coalesce(F.col(order).cast("long"), F.lit(_LOWEST))
+    place = F.greatest(F.col(order).cast("long"), F.lit(_LOWEST))
     return rows.withColumns({"_v": value, "_at": place, "_range": F.floor(F.coalesce(F.col(order), F.lit(0)) / RANGE)})
 
 

@@ -20,7 +20,7 @@ from stelae.sources.tables import table
 
 _WORDS = "iron by"
 _AS_OF = 1_718_000_000
-_THROUGH = 500
+_THROUGH = 200
 
 
 def log_view(spark: SparkSession, folder: str) -> DataFrame:
