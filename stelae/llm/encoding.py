@@ -222,29 +222,40 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(spark, path: str = TOKENIZER) -> DataFrame:
-    """``id, octets`` of every piece; as many rows as the vocabulary has entries."""
+def pieces(path: str = TOKENIZER) -> list[bytes]:
+    """Octets of every piece by id; as many entries as the vocabulary has."""
     byte = _byte_of_character()
     vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    rows = [
-        (i, bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode()) for p, i in vocabulary.items()
-    ]
-    return spark.createDataFrame(rows, "id int, octets binary")
+    table = [b""] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        table[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
+    return table
 
 
 def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """``key, text``: the inverse of ``encoded``, by a join of ids with pieces.
 
-    The pieces are broadcast; their number is that of the vocabulary, whatever
-    the corpus.  Octets that are no UTF-8 become replacement characters.  ``key``
-    must be unique; an empty or null list gives the empty text.
+    The pieces' table is indexed by id and every task joins its ids to it by
+    position, so nothing is shuffled; the table's size is that of the vocabulary,
+    whatever the corpus.  Octets that are no UTF-8 become replacement characters;
+    an empty or null list gives the empty text; an id that has no piece fails.
     """
-    long = ids.select(key, F.posexplode(column).alias("position", "id"))
-    joined = (
-        long.join(F.broadcast(pieces(ids.sparkSession, path)), "id")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "octets"))).alias("parts"))
-        .select(key, F.array_join(F.transform("parts", lambda p: F.hex(p["octets"])), "").alias("hex"))
-    )
-    text = F.decode(F.unhex("hex"), "UTF-8")
-    return ids.select(key).join(joined, key, "left").select(key, F.coalesce(text, F.lit("")).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = ids.schema[key].dataType
+    result = pa.schema([pa.field("id", to_arrow_type(kind)), pa.field("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(pieces(path), pa.large_binary())
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            octets = table.take(pc.list_flatten(lists))
+            joined = octets.buffers()[2].to_pybytes() if octets.buffers()[2] is not None else b""
+            bounds = np.frombuffer(octets.buffers()[1], np.int64)[octets.offset :][ends]
+            texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=result)
+
+    held = F.coalesce(F.col(column), F.array().cast("array<int>"))
+    listed = ids.select(F.col(key).alias("id"), held.alias("ids"))
+    return listed.mapInArrow(run, f"id {kind.simpleString()}, text string").withColumnRenamed("id", key)

@@ -43,7 +43,8 @@ def test_random_texts_and_counts(spark):
 
 def test_round_trip(spark):
     texts = [t for t in TEXTS if t is not None]
-    back = encoding.decoded(encoding.encoded(frame(spark, texts), "doc_id", "text"), "doc_id")
+    ids = encoding.encoded(frame(spark, texts), "doc_id", "text")
+    back = encoding.decoded(ids, "doc_id")
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
 
 
@@ -73,3 +74,9 @@ def test_java_and_tokenizer_split_alike(spark):
         spans = tokenizer.pre_tokenizer.pre_tokenize_str(text)
         want = [len(text[a:b].encode()) for _, (a, b) in spans]
         assert lengths[n] is None or lengths[n] == want, hex(points[n])
+
+
+def test_decoding_odd_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (2, [0, 1]), (None, [220, 187])], "doc_id long, ids array<int>")
+    got = sorted(((r.doc_id, r.text) for r in encoding.decoded(df, "doc_id").collect()), key=repr)
+    assert got == [(1, ""), (2, "!\""), (2, ""), (None, " �")]
