@@ -19,7 +19,7 @@ def packed(key: Column) -> Column:
     stays null.  Hex digits do not shrink under the shuffle's compression, so
     this halves what a join or grouping by identity moves."""
     return F.when(key.rlike(_HEX), F.concat(_binary(1), F.unhex(key))).otherwise(
-        F.concat(_binary(0), F.encode(key, "UTF-8"))
+        F.concat(_binary(0), key.cast("binary"))
     )
 
 
@@ -27,7 +27,7 @@ def unpacked(key: Column) -> Column:
     """Inverse of ``packed``."""
     rest = F.substring(key, 2, 2_147_483_647)
     return F.when(F.substring(key, 1, 1) == _binary(1), F.lower(F.hex(rest))).otherwise(
-        F.decode(rest, "UTF-8")
+        rest.cast("string")
     )
 
 
