@@ -248,13 +248,19 @@ def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces(path), pa.large_binary())
         for batch in batches:
-            lists = batch.column(1)
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            octets = table.take(pc.list_flatten(lists))
-            joined = octets.buffers()[2].to_pybytes() if octets.buffers()[2] is not None else b""
-            bounds = np.frombuffer(octets.buffers()[1], np.int64)[octets.offset :][ends]
-            texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=result)
+            sizes = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:  # about a million ids at a time
+                before = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, before + (1 << 20), "right")))
+                part = batch.slice(start, stop - start)
+                octets = table.take(pc.list_flatten(part.column(1)))
+                ends = np.concatenate([[0], sizes[start:stop] - before])
+                bounds = np.frombuffer(octets.buffers()[1], np.int64)[octets.offset :][ends]
+                joined = memoryview(octets.buffers()[2] or b"")
+                texts = [str(joined[a:b], "utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], schema=result)
+                start = stop
 
     held = F.coalesce(F.col(column), F.array().cast("array<int>"))
     listed = ids.select(F.col(key).alias("id"), held.alias("ids"))
