@@ -77,31 +77,36 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
 
     ``runs`` (``run, document``) adds runs whose reader returned nothing.
     ``closed`` counts admitted concepts that ``known`` holds closed.
+
+    Identities are derived once: proposals are counted per citation first, and the
+    run's figures are taken from those counts.
     """
-    links = linked(statements)
-    per_run = links.groupBy("run", "document").agg(
-        F.count("*").alias("proposals"),
-        F.count(F.when(~F.col("complete"), 1)).alias("refused"),
-        F.max("passage").alias("_last"),
-    )
-    cited = citations(links).groupBy("run").agg(
-        F.count("*").alias("citations"), (F.sum("times") - F.count("*")).alias("repeated")
+    made = (
+        linked(statements)
+        .groupBy("run", "document", "concept", "claim", "assertion")
+        .agg(F.count("*").alias("times"), F.max("passage").alias("_last"))
     )
-    claims = links.filter("complete").select("run", "claim").distinct().groupBy("run").agg(F.count("*").alias("claims"))
-    named = concepts(links)
-    closed = F.lit(0).cast("long")
+    shut = F.lit(None).cast("string")
     if known is not None:
-        shut = known.concepts.filter(~is_current(F.col("standing"))).select("concept", F.lit(1).alias("_shut"))
-        named = named.join(shut, "concept", "left")
-        closed = F.count("_shut")
-    counted = named.groupBy("run").agg(
-        F.count("*").alias("concepts"), (F.sum("mentions") - F.count("*")).alias("merged"), closed.alias("closed")
+        closed = known.concepts.filter(~is_current(F.col("standing"))).select("concept", F.col("concept").alias("_shut"))
+        made, shut = made.join(closed, "concept", "left"), F.col("_shut")
+    complete = F.sum(F.when(F.col("assertion").isNotNull(), F.col("times")).otherwise(0))
+    counted = made.groupBy("run", "document").agg(
+        F.sum("times").alias("proposals"),
+        (F.sum("times") - complete).alias("refused"),
+        F.count("assertion").alias("citations"),
+        (complete - F.count("assertion")).alias("repeated"),
+        F.count_distinct("claim").alias("claims"),
+        F.count_distinct("concept").alias("concepts"),
+        (complete - F.count_distinct("concept")).alias("merged"),
+        F.count_distinct(shut).alias("closed"),
+        F.max("_last").alias("_last"),
     )
-    base = per_run if runs is None else runs.select("run", "document").join(per_run, ["run", "document"], "left")
     counts = ["proposals", "refused", "citations", "repeated", "claims", "concepts", "merged", "closed"]
-    joined = base.join(cited, "run", "left").join(claims, "run", "left").join(counted, "run", "left").na.fill(0, counts)
+    if runs is not None:
+        counted = runs.select("run", "document").join(counted, ["run", "document"], "left").na.fill(0, counts)
     readings = F.when(F.col("_last").isNull(), F.lit(0)).otherwise(F.lit(1))
-    return joined.withColumn("coverage", coverage(F.col("citations"), readings)).drop("_last")
+    return counted.withColumn("coverage", coverage(F.col("citations"), readings)).drop("_last")
 
 
 def corroborated(links: DataFrame, least: int = 2) -> DataFrame:
@@ -112,28 +117,32 @@ def corroborated(links: DataFrame, least: int = 2) -> DataFrame:
 
 def publications(statements: DataFrame, known: KnowledgeGraph | None = None) -> DataFrame:
     """What the runs publish, in order of ``run, rank, first``: concepts that are not
-    held closed, then all claims, then all citations, each once per run."""
-    links = linked(statements)
+    held closed, then all claims, then all citations, each once per run.
+
+    Every proposal is derived once and gives its three records; they are combined
+    on the map side.
+    """
     none = F.lit("")
-    named = concepts(links)
-    if known is not None:
-        shut = known.concepts.filter(~is_current(F.col("standing"))).select("concept")
-        named = named.join(shut, "concept", "left_anti")
-    claims = (
-        links.filter("complete").groupBy("run", "claim", "concept", "claim_text").agg(F.min(_position()).alias("first"))
-    )
 
-    def rows(frame: DataFrame, rank: int, kind: str, key: str, ref, text, source, scope) -> DataFrame:
-        return frame.select(
-            "run", F.lit(rank).alias("rank"), "first", F.lit(kind).alias("kind"), F.col(key).alias("id"),
-            ref.alias("ref"), text.alias("text"), source.alias("source"), scope.alias("scope"),
+    def record(rank: int, kind: str, key: str, ref, text, source, scope):
+        return F.struct(
+            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col(key).alias("id"), ref.alias("ref"), text.alias("text"),
+            source.alias("source"), scope.alias("scope"),
         )
 
-    return (
-        rows(named, 0, "concept", "concept", none, F.col("concept_name"), none, none)
-        .unionByName(rows(claims, 1, "claim", "claim", F.col("concept"), F.col("claim_text"), none, none))
-        .unionByName(rows(citations(links), 2, "assertion", "assertion", F.col("claim"), none, F.col("document"), F.col("scope")))
+    records = F.array(
+        record(0, "concept", "concept", none, F.col("concept_name"), none, none),
+        record(1, "claim", "claim", F.col("concept"), F.col("claim_text"), none, none),
+        record(2, "assertion", "assertion", F.col("claim"), none, F.col("document"), F.col("scope")),
     )
+    made = linked(statements).filter("complete").select("run", _position().alias("_at"), F.explode(records).alias("_r"))
+    once = made.select("run", "_at", "_r.*").groupBy("run", "rank", "kind", "id", "ref", "text", "source", "scope").agg(
+        F.min("_at").alias("first")
+    )
+    if known is not None:
+        shut = known.concepts.filter(~is_current(F.col("standing"))).select(F.lit(0).alias("rank"), F.col("concept").alias("id"))
+        once = once.join(shut, ["rank", "id"], "left_anti")
+    return once.select("run", "rank", "first", "kind", "id", "ref", "text", "source", "scope")
 
 
 def numbered(published: DataFrame, after: int, at: int | None) -> DataFrame:
