@@ -3,7 +3,7 @@
 Two views of the tables serve as input.  *Lines*: every line of a document is a
 claim about the document's ``source``, in the scope of its ``lang``; a run is a
 document row.  *Citations*: every assertion is a proposal of its claim's text
-about its concept's name, made by its source; a run is a day.
+about its concept's name, made by its source; a run is a source on a day.
 """
 
 from __future__ import annotations
@@ -59,8 +59,9 @@ def admission_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def admission_into_known(spark: SparkSession, folder: str) -> DataFrame:
-    return admission.report(_citations(spark, folder), known=_graph(spark, folder)).drop("document", "proposals", "refused") \
-        .groupBy("run").agg(*(F.max(c).alias(c) for c in ("concepts", "claims", "citations", "repeated", "merged", "closed")))
+    return admission.report(_citations(spark, folder), known=_graph(spark, folder)).select(
+        "run", "document", "concepts", "claims", "citations", "repeated", "merged", "closed"
+    )
 
 
 def admission_publications(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,10 +154,10 @@ SELECT run, document, count(*) AS proposals, count(*) FILTER (NOT complete) AS r
        0::BIGINT AS closed, CASE WHEN count(assertion) > 0 THEN 'yielded' ELSE 'barren' END AS coverage
 FROM links GROUP BY run, document""",
     "admission_into_known": f"""WITH {_CITED_SQL}
-SELECT run, count(DISTINCT concept) AS concepts, count(DISTINCT claim) AS claims, count(DISTINCT assertion) AS citations,
+SELECT run, document, count(DISTINCT concept) AS concepts, count(DISTINCT claim) AS claims, count(DISTINCT assertion) AS citations,
        count(*) - count(DISTINCT assertion) AS repeated, count(*) - count(DISTINCT concept) AS merged,
        count(DISTINCT concept) FILTER (standing IS DISTINCT FROM 'asserted') AS closed
-FROM cited GROUP BY run""",
+FROM cited GROUP BY run, document""",
     "admission_publications": f"""WITH {_LINKS_SQL}
 SELECT DISTINCT run, 0 AS rank, 'concept' AS kind, concept AS id, '' AS ref, concept_name AS text, '' AS source, '' AS scope FROM links WHERE complete
 UNION ALL SELECT DISTINCT run, 1, 'claim', claim, concept, claim_text, '', '' FROM links WHERE complete
