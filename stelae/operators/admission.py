@@ -165,3 +165,16 @@ def repeats(links: DataFrame) -> DataFrame:
     """The proposals of a run that repeat a citation made earlier in it."""
     first = citations(links).filter("times > 1").select("run", "assertion", "first")
     return links.filter("complete").join(first, ["run", "assertion"]).filter(_position() > F.col("first")).drop("first")
+
+
+def promoted(broader: DataFrame, narrow: DataFrame) -> DataFrame:
+    """A broader claim is a new claim, derived from the narrow citations it rests on.
+
+    ``broader``: ``promotion, concept, text``; ``narrow``: ``promotion, assertion``.
+    Gives ``artifact, input, identity_then`` for ``audit.stale``, so that the broad
+    claim is unsupported or stale when what it rests on is.
+    """
+    claims = broader.select("promotion", claim_identity(F.col("concept"), F.coalesce("text", F.lit(""))).alias("artifact"))
+    return claims.join(narrow, "promotion").select(
+        "artifact", F.col("assertion").alias("input"), F.col("assertion").alias("identity_then")
+    ).distinct()

@@ -152,3 +152,12 @@ def closes_cycle(derived: DataFrame, artifact: str, inputs: list[str]) -> bool:
         frontier = scratch.keep(above.select(F.col("input").alias("node")).distinct().join(seen, "node", "left_anti"), f"up-{step}")
         seen = seen.unionByName(frontier)
     return False
+
+
+def failed_run(documents: DataFrame, readings: DataFrame) -> DataFrame:
+    """``document, coverage, needs`` of a run whose caller stopped: what it did not
+    come to is unmet, and says so instead of looking barren."""
+    read = readings.select("document").distinct()
+    return documents.select("document").distinct().join(read, "document", "left_anti").select(
+        "document", F.lit(UNMET).alias("coverage"), F.lit("an answer from the reader").alias("needs")
+    )

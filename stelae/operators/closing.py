@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stelae.functions.identity import concept_identity
 from stelae.functions.normalize import normalized
-from stelae.operators.graph import RETIRED, SUPERSEDED, KnowledgeGraph, is_current
+from stelae.operators.graph import REOPENED, RETIRED, SUPERSEDED, KnowledgeGraph, is_current
 
 CLOSINGS = "name string, into string, because string, merging boolean"
 
@@ -83,3 +83,27 @@ def publications(judged: DataFrame, next_seq: int, at: int | None) -> DataFrame:
         F.lit("").alias("scope"),
         F.lit(at).cast("long").alias("at"),
     )
+
+
+def reopenings(asked: DataFrame, graph: KnowledgeGraph) -> DataFrame:
+    """Every proposed reopening (``name, because``) with ``concept`` and ``refusal``:
+    a reason is required, and a concept that is not held or is current cannot be
+    reopened."""
+    held = graph.concepts.select("concept", is_current(F.col("standing")).alias("_current"))
+    named = asked.withColumns({"concept": concept_identity(F.col("name")), "reason": normalized(F.coalesce("because", F.lit("")))})
+    refusal = (
+        F.when(F.col("reason") == "", F.lit("a reason is required"))
+        .when(F.col("_current").isNull(), F.concat(F.lit("nothing published a concept named "), "name", F.lit(" to reopen")))
+        .when(F.col("_current"), F.concat(F.lit("a concept named "), "name", F.lit(" is current")))
+    )
+    return named.join(held, "concept", "left").select("name", "concept", "reason", refusal.alias("refusal"))
+
+
+def reopened(judged: DataFrame, seq: int, at: int | None) -> DataFrame:
+    """The log row of one accepted reopening."""
+    empty = F.lit("")
+    return judged.filter(F.col("refusal").isNull()).select(
+        F.lit(seq).cast("long").alias("seq"), F.lit("concept").alias("kind"), F.lit(REOPENED).alias("standing"),
+        empty.alias("successor"), F.col("reason").alias("because"), empty.alias("ref"), F.col("name").alias("text"),
+        empty.alias("source"), empty.alias("scope"), F.lit(at).cast("long").alias("at"),
+    )

@@ -29,14 +29,14 @@ LOG = (
     "ref string, text string, source string, scope string, at long"
 )
 _COLUMNS = [c.split()[0] for c in LOG.split(", ")]
-ASSERTED, RETIRED, SUPERSEDED = "asserted", "retired", "superseded"
+ASSERTED, RETIRED, SUPERSEDED, REOPENED = "asserted", "retired", "superseded", "reopened"
 #: Fields of a record without its time.
 ARITY = {"concept": 5, "claim": 6, "assertion": 7}
 
 
 def is_current(standing: Column) -> Column:
     """The one definition of being current."""
-    return F.coalesce(standing == ASSERTED, F.lit(False))
+    return F.coalesce(standing.isin(ASSERTED, REOPENED), F.lit(False))
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
@@ -98,19 +98,20 @@ def _identified(log: DataFrame) -> DataFrame:
     )
 
 
-def _legal_standing() -> Column:
+def _legal_standing(reopening: bool) -> Column:
     successor, because = (F.coalesce(F.col(c), F.lit("")) for c in ("successor", "because"))
     return (
         ((F.col("standing") == ASSERTED) & (successor == "") & (because == ""))
         | ((F.col("standing") == RETIRED) & (successor == "") & (because != ""))
         | ((F.col("standing") == SUPERSEDED) & is_identity(successor) & (because != ""))
+        | (F.lit(reopening) & (F.col("standing") == REOPENED) & (successor == "") & (because != ""))
     )
 
 
-def violations(log: DataFrame) -> DataFrame:
+def violations(log: DataFrame, reopening: bool = False) -> DataFrame:
     """``seq, kind, error, detail`` of every record that a replay refuses.
 
-    Per record the shape counts first, then the address, then whether the parent
+    ``reopening`` admits the standing of reopened concepts.  Per record the shape counts first, then the address, then whether the parent
     was published before (at any standing), then the standing.
     """
     rows = _identified(log)
@@ -128,7 +129,7 @@ def violations(log: DataFrame) -> DataFrame:
         F.when(~F.coalesce(shaped, F.lit(False)), F.lit("malformed"))
         .when(child & ~is_identity(F.col("ref")), F.lit("unaddressed"))
         .when(child & ~F.coalesce(F.col("first") < F.col("seq"), F.lit(False)), F.lit("out of order"))
-        .when(~F.coalesce(_legal_standing(), F.lit(False)), F.lit("malformed"))
+        .when(~F.coalesce(_legal_standing(reopening), F.lit(False)), F.lit("malformed"))
     )
     return (
         rows.join(parents, ["kind", "ref"], "left")
@@ -145,9 +146,9 @@ def violations(log: DataFrame) -> DataFrame:
     )
 
 
-def first_violation(log: DataFrame) -> DataFrame:
+def first_violation(log: DataFrame, reopening: bool = False) -> DataFrame:
     """The one violation a sequential replay would stop at; no row if there is none."""
-    return violations(log).orderBy("seq").limit(1)
+    return violations(log, reopening).orderBy("seq").limit(1)
 
 
 class ReplayRefused(ValueError):
@@ -192,9 +193,9 @@ class KnowledgeGraph:
         )
 
     @classmethod
-    def replayed(cls, log: DataFrame) -> KnowledgeGraph:
+    def replayed(cls, log: DataFrame, reopening: bool = False) -> KnowledgeGraph:
         """The graph of a log, refused as a whole at its first bad record."""
-        bad = first_violation(log).collect()
+        bad = first_violation(log, reopening).collect()
         if bad:
             raise ReplayRefused(f"publication {bad[0].seq}: {bad[0].error} ({bad[0].detail})")
         return cls.folded(log)

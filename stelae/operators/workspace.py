@@ -23,8 +23,8 @@ class Refused(ValueError):
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str | None = None, create: bool = True):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str | None = None, create: bool = True, reopening: bool = False):
+        self.spark, self.root, self.reopening = spark, root, reopening
         self.log_table = None if root is None else PublicationLog(spark, root, create)
         self.store = DocumentStore(spark, root)
         self._log = empty_log(spark)
@@ -37,7 +37,7 @@ class Workspace:
 
     def graph(self) -> KnowledgeGraph:
         """The replayed graph; a log with a bad record is refused as a whole."""
-        return KnowledgeGraph.replayed(self.log())
+        return KnowledgeGraph.replayed(self.log(), self.reopening)
 
     def _append(self, rows: DataFrame) -> None:
         if self.log_table is not None:
@@ -100,6 +100,18 @@ class Workspace:
     def supersede(self, name: str, into: str, because: str, at: int | None = None) -> DataFrame:
         return self._close(name, because, into, True, at)
 
+    def reopen(self, name: str, because: str, at: int | None = None) -> DataFrame:
+        """Make a closed concept current again, in a workspace that allows it."""
+        if not self.reopening:
+            raise Refused("this workspace does not reopen concepts")
+        judged = closing.reopenings(self.spark.createDataFrame([(name, because)], "name string, because string"), self.graph())
+        refusal = judged.first().refusal
+        if refusal is not None:
+            raise Refused(refusal)
+        self._append(closing.reopened(judged, self._last() + 1, at))
+        after = history.counts(self.log())
+        return after.select(F.lit(name).alias("reopened"), F.col("concepts").alias("current"), "held")
+
     def history(self, through: int | None = None, as_of: int | None = None) -> DataFrame:
         """Counts of the whole log, of its first ``through`` records, or as of a time."""
         if through is not None and as_of is not None:
