@@ -235,33 +235,13 @@ def pieces(path: str = TOKENIZER) -> list[bytes]:
 def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """``key, text``: the inverse of ``encoded``, by a join of ids with pieces.
 
-    The pieces' table is indexed by id and every task joins its ids to it by
-    position, so nothing is shuffled; the table's size is that of the vocabulary,
-    whatever the corpus.  Octets that are no UTF-8 become replacement characters;
-    an empty or null list gives the empty text; an id that has no piece fails.
+    The table of pieces is a constant of the plan, indexed by id, so the join is a
+    look-up inside generated code: no shuffle, no Python.  Its size is that of the
+    vocabulary, whatever the corpus.  Octets that are no UTF-8 become replacement
+    characters; an empty or null list gives the empty text; an id without a piece
+    fails.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = ids.schema[key].dataType
-    result = pa.schema([pa.field("id", to_arrow_type(kind)), pa.field("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces(path), pa.large_binary())
-        for batch in batches:
-            sizes = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < batch.num_rows:  # about a million ids at a time
-                before = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, before + (1 << 20), "right")))
-                part = batch.slice(start, stop - start)
-                octets = table.take(pc.list_flatten(part.column(1)))
-                ends = np.concatenate([[0], sizes[start:stop] - before])
-                bounds = np.frombuffer(octets.buffers()[1], np.int64)[octets.offset :][ends]
-                joined = memoryview(octets.buffers()[2] or b"")
-                texts = [str(joined[a:b], "utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], schema=result)
-                start = stop
-
-    held = F.coalesce(F.col(column), F.array().cast("array<int>"))
-    listed = ids.select(F.col(key).alias("id"), held.alias("ids"))
-    return listed.mapInArrow(run, f"id {kind.simpleString()}, text string").withColumnRenamed("id", key)
+    table = F.split(F.lit(",".join(p.hex() for p in pieces(path))), ",", -1)
+    found = F.transform(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda i: F.element_at(table, i + 1))
+    octets = F.unhex(F.array_join(found, ""))
+    return ids.select(key, F.make_valid_utf8(octets.cast("string")).alias("text"))
