@@ -95,13 +95,11 @@ class _Words:
 
 def _distinct_words(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``block, word`` once per block and batch."""
+        """``block, word`` once per block and batch, from texts sorted by block."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blocks = batch.column(0).to_numpy(zero_copy_only=False)
-            order = pa.array(np.argsort(blocks, kind="stable"))
-            batch, blocks = batch.take(order), np.sort(blocks)
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)  # sorted
             starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
             for start, stop in zip(starts, [*starts[1:], len(blocks)]):
                 part = batch.slice(int(start), int(stop - start))
@@ -191,7 +189,9 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int,
     ).repartition("block")
     # All columns, though the ids are not needed: with the same columns on both
     # paths the texts are split and shuffled once and the exchange is reused.
-    dictionary = word_table(texts.mapInArrow(_distinct_words(path), "block int, word string"), path)
+    dictionary = word_table(
+        texts.sortWithinPartitions("block").mapInArrow(_distinct_words(path), "block int, word string"), path
+    )
     kind = docs.schema[key].dataType
     out = pa.field("ids", pa.list_(pa.int32())) if ids_wanted else pa.field("tokens", pa.int64())
     result = pa.schema([pa.field("id", to_arrow_type(kind)), out])
