@@ -38,9 +38,10 @@ class Derivation:
     def _with(self, name: str, *contents: Column) -> Derivation:
         return replace(self, parts=(*self.parts, _constant(name), *contents), included=(*self.included, name))
 
-    def text(self, name: str, value: Column) -> Derivation:
-        """A text field; empty text takes part."""
-        return self._with(name, F.encode(normalized(value), "UTF-8"))
+    def text(self, name: str, value: Column, normal: bool = False) -> Derivation:
+        """A text field; empty text takes part.  ``normal`` says that the value is in
+        normal form already."""
+        return self._with(name, F.encode(value if normal else normalized(value), "UTF-8"))
 
     def identity(self, name: str, value: Column) -> Derivation:
         """A field that holds another identity in hex."""
@@ -75,32 +76,32 @@ def document_identity(content: Column) -> Column:
     )
 
 
-def concept_identity(name: Column) -> Column:
+def concept_identity(name: Column, normal: bool = False) -> Column:
     return (
         Derivation("concept")
-        .text("canonical_name", name)
+        .text("canonical_name", name, normal)
         .excluding("source", "two sources that name a concept name one concept")
         .seal()
     )
 
 
-def claim_identity(concept: Column, text: Column) -> Column:
+def claim_identity(concept: Column, text: Column, normal: bool = False) -> Column:
     return (
         Derivation("claim")
         .identity("concept", concept)
-        .text("text", text)
+        .text("text", text, normal)
         .excluding("source", "a claim made twice is one claim with two citations")
         .excluding("scope", "a scope belongs to the citation")
         .seal()
     )
 
 
-def assertion_identity(claim: Column, source: Column, scope: Column) -> Column:
+def assertion_identity(claim: Column, source: Column, scope: Column, normal: bool = False) -> Column:
     return (
         Derivation("assertion")
         .identity("claim", claim)
-        .text("source", source)
-        .text("scope", scope)
+        .text("source", source, normal)
+        .text("scope", scope, normal)
         .excluding("strength", "how strongly a source claims is not what it claims")
         .seal()
     )

@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 # Controls that are no white space, and white space.
 CONTROLS = r"[\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}]"
 SPACES = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: What a text that is not in normal form has somewhere.
+_UNUSUAL = (
+    r"[\x{0}-\x{1F}\x{7F}-\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|  |^ | \z"
+)
 
 
 def normalized(text: Column) -> Column:
-    """Normal form of a text; null stays null."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CONTROLS, ""), SPACES, " "))
+    """Normal form of a text; null stays null.  Most texts are in normal form, which
+    one search finds; only the others are rewritten."""
+    rewritten = F.trim(F.regexp_replace(F.regexp_replace(text, CONTROLS, ""), SPACES, " "))
+    return F.when(text.rlike(_UNUSUAL), rewritten).otherwise(text)
 
 
 def normalized_sql(text: str) -> str:

@@ -26,22 +26,29 @@ STATEMENTS = (
 )
 
 
-def linked(statements: DataFrame) -> DataFrame:
-    """Proposals with their identities; those of incomplete ones are null and
-    ``complete`` is false.  A claim hangs on the concept its own proposal names."""
-    name = normalized(F.coalesce("concept_name", F.lit("")))
-    text = normalized(F.coalesce("claim_text", F.lit("")))
-    shaped = statements.withColumns(
-        {
-            "concept_name": name,
-            "claim_text": text,
-            "scope": normalized(F.coalesce("scope", F.lit(""))),
-            "complete": (name != "") & (text != ""),
-        }
+def normal(statements: DataFrame) -> DataFrame:
+    """Proposals in normal form; ``complete`` is false where a half is empty."""
+    half = lambda c: normalized(F.coalesce(c, F.lit(""))).alias(c)
+    return statements.select(
+        "run", "document", half("scope"), "passage", "ordinal", half("concept_name"), half("claim_text")
+    ).withColumn("complete", (F.col("concept_name") != "") & (F.col("claim_text") != ""))
+
+
+def _identified(proposals: DataFrame) -> DataFrame:
+    """Normal proposals with their identities; null for incomplete ones."""
+    named = proposals.withColumn(
+        "concept", F.when(F.col("complete"), concept_identity(F.col("concept_name"), normal=True))
+    )
+    claimed = named.withColumn("claim", claim_identity(F.col("concept"), F.col("claim_text"), normal=True))
+    return claimed.withColumn(
+        "assertion", assertion_identity(F.col("claim"), normalized(F.col("document")), F.col("scope"), normal=True)
     )
-    identified = shaped.withColumn("concept", F.when(F.col("complete"), concept_identity(F.col("concept_name"))))
-    claimed = identified.withColumn("claim", claim_identity(F.col("concept"), F.col("claim_text")))
-    return claimed.withColumn("assertion", assertion_identity(F.col("claim"), F.col("document"), F.col("scope")))
+
+
+def linked(statements: DataFrame) -> DataFrame:
+    """Proposals with their identities.  A claim hangs on the concept its own proposal
+    names."""
+    return _identified(normal(statements))
 
 
 def _position():
@@ -78,27 +85,30 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
     ``runs`` (``run, document``) adds runs whose reader returned nothing.
     ``closed`` counts admitted concepts that ``known`` holds closed.
 
-    Identities are derived once: proposals are counted per citation first, and the
-    run's figures are taken from those counts.
+    Equal normal texts have equal identities, so everything is counted on the texts,
+    and what the run says again is combined before anything is shuffled.
     """
     made = (
-        linked(statements)
-        .groupBy("run", "document", "concept", "claim", "assertion")
+        normal(statements)
+        .groupBy("run", "document", "scope", "concept_name", "claim_text", "complete")
         .agg(F.count("*").alias("times"), F.max("passage").alias("_last"))
     )
     shut = F.lit(None).cast("string")
     if known is not None:
         closed = known.concepts.filter(~is_current(F.col("standing"))).select("concept", F.col("concept").alias("_shut"))
+        made = made.withColumn("concept", F.when(F.col("complete"), concept_identity(F.col("concept_name"), normal=True)))
         made, shut = made.join(closed, "concept", "left"), F.col("_shut")
-    complete = F.sum(F.when(F.col("assertion").isNotNull(), F.col("times")).otherwise(0))
+    ok = F.col("complete")
+    complete, cited = F.sum(F.when(ok, F.col("times")).otherwise(0)), F.count(F.when(ok, 1))
+    concept_count = F.count_distinct(F.when(ok, F.col("concept_name")))
     counted = made.groupBy("run", "document").agg(
         F.sum("times").alias("proposals"),
         (F.sum("times") - complete).alias("refused"),
-        F.count("assertion").alias("citations"),
-        (complete - F.count("assertion")).alias("repeated"),
-        F.count_distinct("claim").alias("claims"),
-        F.count_distinct("concept").alias("concepts"),
-        (complete - F.count_distinct("concept")).alias("merged"),
+        cited.alias("citations"),
+        (complete - cited).alias("repeated"),
+        F.count_distinct(F.when(ok, F.struct("concept_name", "claim_text"))).alias("claims"),
+        concept_count.alias("concepts"),
+        (complete - concept_count).alias("merged"),
         F.count_distinct(shut).alias("closed"),
         F.max("_last").alias("_last"),
     )
@@ -109,18 +119,21 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
     return counted.withColumn("coverage", coverage(F.col("citations"), readings)).drop("_last")
 
 
-def corroborated(links: DataFrame, least: int = 2) -> DataFrame:
-    """Claims that at least ``least`` different documents make."""
-    made = links.filter("complete").select("claim", "document").distinct()
-    return made.groupBy("claim").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
+def corroborated(statements: DataFrame, least: int = 2) -> DataFrame:
+    """Claims that at least ``least`` different documents make, and how many do.
+    Identities are derived for the result only."""
+    made = normal(statements).filter("complete").select("concept_name", "claim_text", "document").distinct()
+    often = made.groupBy("concept_name", "claim_text").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
+    concept = concept_identity(F.col("concept_name"), normal=True)
+    return often.select(claim_identity(concept, F.col("claim_text"), normal=True).alias("claim"), "documents")
 
 
 def publications(statements: DataFrame, known: KnowledgeGraph | None = None) -> DataFrame:
     """What the runs publish, in order of ``run, rank, first``: concepts that are not
     held closed, then all claims, then all citations, each once per run.
 
-    Every proposal is derived once and gives its three records; they are combined
-    on the map side.
+    Proposals that a run repeats are combined first; each that is left is derived
+    once and gives its three records.
     """
     none = F.lit("")
 
@@ -135,7 +148,13 @@ def publications(statements: DataFrame, known: KnowledgeGraph | None = None) ->
         record(1, "claim", "claim", F.col("concept"), F.col("claim_text"), none, none),
         record(2, "assertion", "assertion", F.col("claim"), none, F.col("document"), F.col("scope")),
     )
-    made = linked(statements).filter("complete").select("run", _position().alias("_at"), F.explode(records).alias("_r"))
+    said = (
+        normal(statements)
+        .filter("complete")
+        .groupBy("run", "document", "scope", "concept_name", "claim_text", "complete")
+        .agg(F.min(_position()).alias("_at"))
+    )
+    made = _identified(said).select("run", "_at", F.explode(records).alias("_r"))
     once = made.select("run", "_at", "_r.*").groupBy("run", "rank", "kind", "id", "ref", "text", "source", "scope").agg(
         F.min("_at").alias("first")
     )

@@ -51,7 +51,7 @@ def _citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corroborated_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return admission.corroborated(admission.linked(_lines(spark, folder)))
+    return admission.corroborated(_lines(spark, folder))
 
 
 def admission_report(spark: SparkSession, folder: str) -> DataFrame:
