@@ -1,8 +1,7 @@
 """Every query of the core beside its SQL on the smallest tables."""
 
 import pytest
-from conftest import SMALL
-from oracle import differs, views
+from oracle import SMALL, differs, views
 
 import __spark_entry__ as entry
 from stelae.plans.registry import ORACLE, QUERIES
