@@ -27,6 +27,7 @@ STRUCTURE = {
     "names": cues(["Zell / Bruna / Ragna", "Juno, Tenko, Ilsa"] * 5), "symbols": cues(["}$$^~$/&§°$", "_#@*^°>§¬#"] * 5),
     "hex": cues([f"{n:08x}  a4 8b 79 2a" for n in range(10)]), "random": cues(["jrnjjtk dadjjss bscf wfadp.", "awamk scskkakfl ekziyt"] * 5),
     "pairs": cues(["torque - cork", "CADENCE", "hinge = mica"] * 4), "credits": cues(["Titles ....... Wim S.", "Foley ........ Juno"] * 5),
+    "glossary": cues(["the house - la maison", "my brother - mon frère", "to be or not - être ou non"] * 4),
     "repeated": cues(["xx xx xx xx xx"] * 8), "fields": cues(["reel=2 fps=25 drop=4", "reel=7 fps=30 drop=39"] * 5),
 }
 
