@@ -91,12 +91,11 @@ class WeightedForest:
 _FOREST = "node binary, at binary, steps long, state string"
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest, nodes = WeightedForest(), []
-    for batch in batches:
-        for node, parent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            forest.hang(node, parent)
-            nodes.append(node)
+#: Links per local forest; a larger partition has several forests, which the rounds merge like those of other partitions.
+FOREST_LINKS = 500_000
+
+
+def _rooted(forest: WeightedForest, nodes: list) -> Iterator[pa.RecordBatch]:
     for start in range(0, len(nodes), 10_000):
         part = nodes[start : start + 10_000]
         ends = [forest.root(n) for n in part]
@@ -111,6 +110,18 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest, nodes = WeightedForest(), []
+    for batch in batches:
+        for node, parent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.hang(node, parent)
+            nodes.append(node)
+        if len(nodes) >= FOREST_LINKS:
+            yield from _rooted(forest, nodes)
+            forest, nodes = WeightedForest(), []
+    yield from _rooted(forest, nodes)
+
+
 def links_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
     """One packed link ``node, parent`` per node that has any."""
     return (

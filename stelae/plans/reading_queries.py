@@ -128,7 +128,13 @@ _FIELDS = ", ".join(
     f"CASE WHEN read_fault IS NULL THEN {c}{'::VARCHAR' if n >= 5 else ''} END AS {c}" for n, c in enumerate(reading.CALL_FIELDS)
 )
 
+_PASSAGES = """passages AS (SELECT document, TRY(decode(content)) AS text FROM sources QUALIFY row_number() OVER (PARTITION BY document) = 1),
+judged AS (SELECT document, text, coalesce(length(trim(text, ' ')) >= 1, false) AS readable FROM passages)"""
+
 ORACLE = {
+    "source_passages": f"""WITH {_PASSAGES} SELECT document, 1 AS passage, 'pages 1 to 1 of the text' AS location, readable,
+  strlen(text)::BIGINT AS octets FROM judged""",
+    "reading_fidelity": f"WITH {_PASSAGES} SELECT CASE WHEN readable THEN 'read' ELSE 'unmet' END AS coverage, count(*) AS documents FROM judged GROUP BY 1",
     "call_record_codec": f"""WITH {_CALLS}, judged AS (SELECT *, {_FAULT} AS write_fault, {_READ_FAULT} AS read_fault FROM calls)
 SELECT call_id, {_FIELDS}, read_fault AS fault FROM judged WHERE write_fault IS NULL""",
     "call_record_faults": f"""WITH {_CALLS} SELECT coalesce({_FAULT}, {_READ_FAULT}, 'none') AS fault, count(*) AS records FROM calls GROUP BY 1""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stelae.operators.graph import LOG, empty_log, parsed, rendered
+from stelae.session import Scratch
 
 
 class LogRefused(ValueError):
@@ -18,22 +19,23 @@ class LogRefused(ValueError):
 def with_positions(rows: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """``rows`` with their 1-based position in ``order`` (which must be total).
 
-    The rows are range-partitioned, each partition numbered in itself, and the
-    partitions' sizes added up: their table has one row per partition.
+    The rows are range-partitioned and sorted, each partition numbers its rows as
+    they lie, and the partitions' sizes are added up: that table has one row per
+    partition.  The ranges are drawn from a sample, so the numbered rows are
+    written once and both uses read the same drawing.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    # The ranges are drawn from a sample: keep one drawing for both uses.
-    from stelae.session import Scratch
-
-    held = Scratch(rows.sparkSession, "positions").keep(inside, "numbered")
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
+    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", place)
+    held = Scratch(rows.sparkSession, "positions").keep(numbered, "numbered").withColumns(
+        {"_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}
+    )
     sizes = held.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     return (
         held.join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(name, F.col("_before") + F.col("_n"))
-        .drop("_part", "_n", "_before")
+        .drop("_id", "_part", "_n", "_before")
     )
 
 
