@@ -131,8 +131,12 @@ def violations(log: DataFrame, reopening: bool = False) -> DataFrame:
         .when(child & ~F.coalesce(F.col("first") < F.col("seq"), F.lit(False)), F.lit("out of order"))
         .when(~F.coalesce(_legal_standing(reopening), F.lit(False)), F.lit("malformed"))
     )
+    # Only children have a parent to look for; other records share one empty address,
+    # which as a join key would be the hottest of all.
+    children = rows.filter(child).join(parents, ["kind", "ref"], "left")
+    others = rows.filter(~F.coalesce(child, F.lit(False))).withColumn("first", F.lit(None).cast("long"))
     return (
-        rows.join(parents, ["kind", "ref"], "left")
+        children.unionByName(others)
         .select(
             "seq",
             "kind",
