@@ -14,6 +14,12 @@ from stelae.functions.identity import concept_identity
 from stelae.functions.normalize import normalized
 from stelae.operators.graph import REOPENED, RETIRED, SUPERSEDED, KnowledgeGraph, is_current
 
+# How refusals are worded.
+NOT_HELD = "nothing published a concept named %s to close"
+CLOSED_ALREADY = "a concept named %s is already %s"
+ITSELF = "a concept cannot supersede itself"
+SUCCESSOR_NOT_HELD = "nothing published a concept named %s to merge into"
+
 CLOSINGS = "name string, into string, because string, merging boolean"
 
 
@@ -44,16 +50,16 @@ def verdicts(closings: DataFrame, graph: KnowledgeGraph) -> DataFrame:
     merging = F.coalesce("merging", F.lit(False))
     refusal = (
         F.when(F.col("reason") == "", F.lit("a reason is required"))
-        .when(F.col("own_current").isNull(), F.concat(F.lit("nothing published a concept named "), "name", F.lit(" to close")))
-        .when(~F.col("own_current"), F.concat(F.lit("a concept named "), "name", F.lit(" is already "), "own_closed"))
+        .when(F.col("own_current").isNull(), F.format_string(NOT_HELD, "name"))
+        .when(~F.col("own_current"), F.format_string(CLOSED_ALREADY, "name", "own_closed"))
         .when(merging & F.col("into").isNull(), F.lit("a successor is required"))
-        .when(merging & (F.col("successor") == F.col("concept")), F.lit("a concept cannot supersede itself"))
+        .when(merging & (F.col("successor") == F.col("concept")), F.lit(ITSELF))
         .when(
             merging & F.col("into_current").isNull(),
-            F.concat(F.lit("nothing published a concept named "), "into", F.lit(" to merge into")),
+            F.format_string(SUCCESSOR_NOT_HELD, "into"),
         )
         .when(
-            merging & ~F.col("into_current"), F.concat(F.lit("a concept named "), "into", F.lit(" is already "), "into_closed")
+            merging & ~F.col("into_current"), F.format_string(CLOSED_ALREADY, "into", "into_closed")
         )
     )
     return (

@@ -238,6 +238,10 @@ CALL_FIELDS = (
     "cost_micros", "wait_nanos",
 )
 CALL_VERSION = "call-v1"
+# Why a call record is not read.
+FIELD_COUNT, VERSION_FAULT, TEXT_FAULT = "wrong field count", "unsupported version", "empty or control-bearing text"
+COUNT_FAULT, WAIT_FAULT, SOURCE_FAULT = "invalid unsigned count", "invalid wait", "invalid source identity"
+OUTCOME_FAULT, USAGE_FAULT = "unknown outcome", "partial token counts"
 
 
 def _usable(text: Column) -> Column:
@@ -250,8 +254,8 @@ def rendered_calls(calls: DataFrame, version: str = CALL_VERSION) -> DataFrame:
     usage = [F.col(c) for c in ("input", "output", "cache_read", "cache_write")]
     some = sum((c.isNotNull().cast("int") for c in usage), F.lit(0))
     fault = F.when(
-        ~(_usable(F.col("role")) & _usable(F.col("model")) & _usable(F.col("protocol"))), F.lit("empty or control-bearing text")
-    ).when((some > 0) & (some < 4), F.lit("partial token counts"))
+        ~(_usable(F.col("role")) & _usable(F.col("model")) & _usable(F.col("protocol"))), F.lit(TEXT_FAULT)
+    ).when((some > 0) & (some < 4), F.lit(USAGE_FAULT))
     fields = [F.lit(version), *(F.col(c) for c in CALL_FIELDS[:5]), F.col("attempts").cast("string")]
     fields += [rendered_optional(c) for c in (*usage, F.col("cost_micros"))] + [F.col("wait_nanos").cast("string")]
     record = joined(*(F.coalesce(f, F.lit("")) for f in fields))
@@ -267,14 +271,14 @@ def parsed_calls(records: DataFrame, version: str = CALL_VERSION) -> DataFrame:
     unsigned = lambda c: F.coalesce(parsed_count(c).isNotNull(), F.lit(False))
     counted = lambda c: (c == "-") | unsigned(c)
     fault = (
-        F.when(F.size("f") != 13, F.lit("wrong field count"))
-        .when(get(0) != version, F.lit("unsupported version"))
-        .when(~(_usable(get(1)) & _usable(get(2)) & _usable(get(3))), F.lit("empty or control-bearing text"))
-        .when(~unsigned(get(6)) | ~counted(usage[0]) | ~counted(usage[1]) | ~counted(usage[2]) | ~counted(usage[3]) | ~counted(get(11)), F.lit("invalid unsigned count"))
-        .when((absent > 0) & (absent < 4), F.lit("partial token counts"))
-        .when(~F.coalesce(get(12).rlike(r"^[0-9]+\z"), F.lit(False)), F.lit("invalid wait"))
-        .when(~is_identity(get(4)), F.lit("invalid source identity"))
-        .when(~get(5).isin(*OUTCOMES), F.lit("unknown outcome"))
+        F.when(F.size("f") != 13, F.lit(FIELD_COUNT))
+        .when(get(0) != version, F.lit(VERSION_FAULT))
+        .when(~(_usable(get(1)) & _usable(get(2)) & _usable(get(3))), F.lit(TEXT_FAULT))
+        .when(~unsigned(get(6)) | ~counted(usage[0]) | ~counted(usage[1]) | ~counted(usage[2]) | ~counted(usage[3]) | ~counted(get(11)), F.lit(COUNT_FAULT))
+        .when((absent > 0) & (absent < 4), F.lit(USAGE_FAULT))
+        .when(~F.coalesce(get(12).rlike(r"^[0-9]+\z"), F.lit(False)), F.lit(WAIT_FAULT))
+        .when(~is_identity(get(4)), F.lit(SOURCE_FAULT))
+        .when(~get(5).isin(*OUTCOMES), F.lit(OUTCOME_FAULT))
     )
     values = [get(1), get(2), get(3), get(4), get(5), parsed_count(get(6)), *(optional_number(c) for c in usage), optional_number(get(11)), get(12).try_cast("decimal(38,0)")]
     return split.select(

@@ -16,6 +16,15 @@ from stelae.functions.values import tool_argument
 from stelae.operators.graph import KnowledgeGraph, is_current
 from stelae.operators.retrieval import CurrentQueries, HistoricalQueries
 
+# How answers are worded.
+CONCEPT, CLAIM, CITED = "concept  ", "claim    ", "cited    "
+UNSTATED = "scope unstated"
+NOTHING = "(nothing)"
+NO_REASON = "no reason recorded"
+CURRENT = "current"
+CONCEPT_NOT_CURRENT = "not current: its concept is not"
+CITED_NOT_CURRENT = "not current: what it cites is not"
+
 
 class UnknownTool(ValueError):
     """A tool that is not served."""
@@ -32,7 +41,7 @@ def standing_phrase() -> Column:
     ).otherwise(F.lit("retired"))
     reason = F.coalesce("because", F.lit(""))
     closed = F.when(reason != "", F.concat_ws(": ", became, reason)).otherwise(became)
-    return F.when(is_current(F.col("standing")), F.lit("current")).otherwise(closed)
+    return F.when(is_current(F.col("standing")), F.lit(CURRENT)).otherwise(closed)
 
 
 def search(graph: KnowledgeGraph, argument: str) -> DataFrame:
@@ -52,19 +61,19 @@ def neighbours(graph: KnowledgeGraph, argument: str) -> DataFrame:
     named = world.concepts().filter((F.col("canonical_name") == argument) & (F.lit(argument) != ""))
     claims = world.claims().join(named.select("concept"), "concept", "left_semi")
     cited = world.assertions().join(claims.select("claim"), "claim", "left_semi")
-    scope = F.when(F.col("scope") == "", F.lit("scope unstated")).otherwise(F.col("scope"))
+    scope = F.when(F.col("scope") == "", F.lit(UNSTATED)).otherwise(F.col("scope"))
     return (
-        _lines(named, 0, "concept", F.concat(F.lit("concept  "), "canonical_name"))
-        .unionByName(_lines(claims, 1, "claim", F.concat(F.lit("claim    "), "text")))
+        _lines(named, 0, "concept", F.concat(F.lit(CONCEPT), "canonical_name"))
+        .unionByName(_lines(claims, 1, "claim", F.concat(F.lit(CLAIM), "text")))
         .unionByName(
-            _lines(cited, 2, "assertion", F.concat(F.lit("cited    "), "source", F.lit(" ["), scope, F.lit("]")))
+            _lines(cited, 2, "assertion", F.concat(F.lit(CITED), "source", F.lit(" ["), scope, F.lit("]")))
         )
     )
 
 
 def merge_losers(graph: KnowledgeGraph, argument: str = "") -> DataFrame:
     """Superseded concepts, what they merged into, and why."""
-    reason = F.when(F.coalesce("because", F.lit("")) == "", F.lit("no reason recorded")).otherwise(F.col("because"))
+    reason = F.when(F.coalesce("because", F.lit("")) == "", F.lit(NO_REASON)).otherwise(F.col("because"))
     into = F.when(F.coalesce("successor", F.lit("")) == "", F.lit("?")).otherwise(F.col("successor"))
     line = F.concat("canonical_name", F.lit(" -> "), into, F.lit(" ("), reason, F.lit(")"))
     return _lines(HistoricalQueries(graph).merge_losers(), 0, "concept", line)
@@ -84,19 +93,19 @@ def held_neighbours(graph: KnowledgeGraph, argument: str) -> DataFrame:
     def said(rows: DataFrame, current: DataFrame, key: str, text: str, name: str, section: int, cause: str) -> DataFrame:
         marks = current.select(key, F.lit(True).alias("_live"))
         phrase = (
-            F.when(F.col("_live").isNotNull(), F.lit("current"))
+            F.when(F.col("_live").isNotNull(), F.lit(CURRENT))
             .when(is_current(F.col("standing")), F.lit(cause))
             .otherwise(standing_phrase())
         )
         line = F.concat(F.lit(name), F.col(text), F.lit(" ["), phrase, F.lit("]"))
         return _lines(rows.join(marks, key, "left"), section, key, line)
 
-    head = F.concat(F.lit("concept  "), "canonical_name", F.lit(" ["), standing_phrase(), F.lit("]"))
+    head = F.concat(F.lit(CONCEPT), "canonical_name", F.lit(" ["), standing_phrase(), F.lit("]"))
     return (
         _lines(named, 0, "concept", head)
-        .unionByName(said(claims, live.claims(), "claim", "text", "claim    ", 1, "not current: its concept is not"))
+        .unionByName(said(claims, live.claims(), "claim", "text", CLAIM, 1, CONCEPT_NOT_CURRENT))
         .unionByName(
-            said(cited, live.assertions(), "assertion", "source", "cited    ", 2, "not current: what it cites is not")
+            said(cited, live.assertions(), "assertion", "source", CITED, 2, CITED_NOT_CURRENT)
         )
     )
 
@@ -130,7 +139,7 @@ def rendered(lines: DataFrame) -> str:
     """The answer as text, ``(nothing)`` if there is none.  It is what a person
     reads, so it is brought to the driver whole."""
     found = [r.line for r in lines.orderBy("section", "id").collect()]
-    return "\n".join(found) or "(nothing)"
+    return "\n".join(found) or NOTHING
 
 
 def call(graph: KnowledgeGraph, tool: str, arguments: str) -> dict:
