@@ -17,7 +17,8 @@ stays below 0.02 for any n (``tests/llm/test_quantiles.py``).
 Plan.  Rows are first sorted by group inside their partitions (no shuffle of
 values), every task builds one sketch per group it sees, and only sketches are
 shuffled, so a group with a third of all rows costs a task one bounded row.
-Coins come from a hash of the buffer, so a repeated task gives the same sketch.
+Values are sorted with their groups and coins come from a hash of the buffer, so
+a repeated task gives the same sketch.
 
 Cases: nulls are left out and a group of nothing but nulls has no row; a null
 key is a group of its own; ties, zeros and extreme values need no care, values
@@ -264,7 +265,7 @@ def sketched(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: in
     fields = pa.schema([*_arrow(rows, keys), *_SKETCH_FIELDS])
     partial = (
         rows.select(*keys, *(F.col(m).cast("long") for m in metrics))
-        .sortWithinPartitions(*keys)
+        .sortWithinPartitions(*keys, *metrics)
         .mapInArrow(_builder(fields, len(keys), list(metrics), k), _ddl(rows, keys) + _SKETCH)
     )
     return merged(partial, keys, k)
