@@ -23,8 +23,8 @@ def kernel_faults(types: DataFrame) -> DataFrame:
     has none either."""
     known = types.filter(stated(F.col("type")))
     tops = known.filter(~F.coalesce(stated(F.col("parent")), F.lit(False))).select("type").distinct()
-    first = tops.agg(F.min("type").alias("first"))
-    several = tops.join(first, tops["type"] != first["first"]).select("type", F.lit("a second root").alias("fault"))
+    first = tops.agg(F.min("type")).first()[0]
+    several = tops.filter(F.col("type") != first).select("type", F.lit("a second root").alias("fault"))
     resolved = hierarchy.roots(known, "type", "parent")
     cyclic = resolved.filter("depth = -1").select(F.col("node").alias("type"), F.lit("in a cycle").alias("fault"))
     named = known.filter(stated(F.col("parent"))).select("type", "parent")

@@ -153,7 +153,6 @@ def call(graph: KnowledgeGraph, tool: str, arguments: str) -> dict:
 
 def surface(graph: KnowledgeGraph) -> DataFrame:
     """Concepts that are current and concepts that are held."""
-    current = CurrentQueries(graph).concept_count().withColumnRenamed("concepts", "current")
-    held = HistoricalQueries(graph).concept_count().withColumnRenamed("concepts", "held")
-    # Two tables of one row each.
-    return current.join(held, F.lit(True))
+    return graph.concepts.agg(
+        F.count_if(is_current(F.col("standing"))).alias("current"), F.count("*").alias("held")
+    )

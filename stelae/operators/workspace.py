@@ -71,15 +71,12 @@ class Workspace:
         )
         reports = Scratch(self.spark, "admission").keep(admission.report(statements, addresses, known), "report")
         self._append(admission.numbered(admission.publications(statements, known), self._last(), at))
-        counts = history.counts(self.log()).select(
-            F.col("concepts").alias("corpus_concepts"), F.col("claims").alias("corpus_claims"), F.col("citations").alias("corpus_citations")
-        )
+        corpus = history.counts(self.log()).first()
         return (
             reports.join(receipts.select("document", "admission"), "document")
-            .join(counts, F.lit(True))  # one row
             .select(
-                "run", F.col("document").alias("source"), "admission", "coverage", "corpus_concepts", "corpus_claims",
-                "corpus_citations", "refused", "repeated", "merged", "closed",
+                "run", F.col("document").alias("source"), "admission", "coverage",
+                *(F.lit(corpus[n]).alias(f"corpus_{n}") for n in ("concepts", "claims", "citations")), "refused", "repeated", "merged", "closed",
                 F.lit(self.kept()).alias("documents"), F.lit(self.kept()).alias("knowledge"),
             )
         )

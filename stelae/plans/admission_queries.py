@@ -103,8 +103,7 @@ def audit_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Held sources that no call of a protocol ever read, per protocol."""
     log = table(spark, folder, "call_records").select("document", "protocol")
     held = table(spark, folder, "sources")
-    protocols = [r.protocol for r in log.select("protocol").filter("protocol IS NOT NULL").distinct().orderBy("protocol").limit(1).collect()]
-    first = protocols[0] if protocols else ""
+    first = log.agg(F.min("protocol")).first()[0] or ""
     return audit.uncovered(held, log, first).withColumn("protocol", F.lit(first))
 
 

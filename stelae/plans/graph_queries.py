@@ -158,12 +158,13 @@ def audit_merges(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     log = log_view(spark, folder)
-    merges = log.filter("kind = 'concept' AND standing = 'superseded'").agg(F.count("*").alias("eligible"))
-    wrong = audit.merges(log).agg(F.count("*").alias("found"))
-    # Two tables of one row each.
-    return merges.join(wrong, F.lit(True)).select(
-        F.lit("merges").alias("audit"), "eligible", "found",
-        audit.verdict(F.col("eligible"), F.col("eligible"), F.col("found")).alias("verdict"),
+    acts = log.filter("kind = 'concept' AND standing = 'superseded'").select(F.lit(1).alias("act"))
+    wrong = audit.merges(log).select(F.lit(0).alias("act"))
+    counted = acts.unionByName(wrong).agg(F.sum("act").alias("eligible"), F.count_if(F.col("act") == 0).alias("found"))
+    eligible = F.coalesce("eligible", F.lit(0))
+    return counted.select(
+        F.lit("merges").alias("audit"), eligible.alias("eligible"), "found",
+        audit.verdict(eligible, eligible, F.col("found")).alias("verdict"),
     )
 
 
