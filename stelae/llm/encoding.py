@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_OCTETS = 4 << 20
+#: Text per shuffle partition, where the session's number of partitions would give more.
+PARTITION_OCTETS = 64 << 20
 
 # The pattern of the byte-level vocabularies, with the white space
 # of the tokenizer spelled out because Java's \s is ASCII only.
@@ -165,13 +167,21 @@ def _by_position(path: str, ids_wanted: bool, result: pa.Schema) -> Callable:
     return run
 
 
-def word_table(pairs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def _repartitioned(rows: DataFrame, octets: int, column: str) -> DataFrame:
+    """By ``column``, into as many partitions as the session has or the size asks for."""
+    asked = -(-octets // PARTITION_OCTETS)
+    enough = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(asked, column) if asked > enough else rows.repartition(column)
+
+
+def word_table(pairs: DataFrame, path: str = TOKENIZER, octets: int = 0) -> DataFrame:
     """``block, word, ids`` of every distinct pair of ``block, word``.
 
     All rows of a word meet in one task, in order, which encodes it once.  A word
     has at most one row per block (and batch of it), however often it is used.
+    ``octets`` is about the size of the pairs.
     """
-    together = pairs.repartition("word").sortWithinPartitions("word", "block")
+    together = _repartitioned(pairs, octets, "word").sortWithinPartitions("word", "block")
     return together.mapInArrow(_encoder(path), "block int, word string, ids array<int>")
 
 
@@ -181,16 +191,17 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int,
     octets = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-octets // block_octets))
     content = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(
+    split = docs.select(
         F.pmod(F.xxhash64(F.col(key), content), F.lit(blocks)).cast("int").alias("block"),
         F.col(key).alias("id"),
         content.alias("text"),
         word_octets(content).alias("lengths"),
-    ).repartition("block")
+    )
+    texts = _repartitioned(split, octets, "block")
     # All columns, though the ids are not needed: with the same columns on both
     # paths the texts are split and shuffled once and the exchange is reused.
     dictionary = word_table(
-        texts.sortWithinPartitions("block").mapInArrow(_distinct_words(path), "block int, word string"), path
+        texts.sortWithinPartitions("block").mapInArrow(_distinct_words(path), "block int, word string"), path, octets // 4
     )
     kind = docs.schema[key].dataType
     out = pa.field("ids", pa.list_(pa.int32())) if ids_wanted else pa.field("tokens", pa.int64())

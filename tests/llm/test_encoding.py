@@ -29,6 +29,12 @@ def test_ids_equal_the_tokenizer(spark):
     assert got[0] == got[1] == []
 
 
+def test_more_partitions_than_the_session_has(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "PARTITION_OCTETS", 2_000)
+    got = {r.doc_id: r.ids for r in encoding.encoded(frame(spark, TEXTS), "doc_id", "text", block_octets=64).collect()}
+    assert [got[n] for n in range(len(TEXTS))] == reference(TEXTS)
+
+
 def test_random_texts_and_counts(spark):
     rng = random.Random(6)
     letters = "abc ÀЖ日  \n\t.,'!-123 　٣¼​😀"
