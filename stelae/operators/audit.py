@@ -161,3 +161,16 @@ def failed_run(documents: DataFrame, readings: DataFrame) -> DataFrame:
     return documents.select("document").distinct().join(read, "document", "left_anti").select(
         "document", F.lit(UNMET).alias("coverage"), F.lit("an answer from the reader").alias("needs")
     )
+
+
+def permitted_deletes(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``refusal``: derived rows may be deleted only if they can be made
+    again, so the job must be ``deterministic``, its ``inputs_complete`` and the
+    delete ``scoped_to_derived`` rows.  What is not stated counts as not given."""
+    given = lambda c: F.coalesce(F.col(c), F.lit(False))
+    refusal = (
+        F.when(~given("deterministic"), F.lit("not deterministic"))
+        .when(~given("inputs_complete"), F.lit("inputs are not complete"))
+        .when(~given("scoped_to_derived"), F.lit("not scoped to derived rows"))
+    )
+    return jobs.withColumn("refusal", refusal)

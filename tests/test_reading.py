@@ -114,3 +114,9 @@ def test_audits(spark, rows):
     judged = cases.select(audit.verdict(F.col("eligible"), F.col("examined"), F.col("found")).alias("verdict"))
     assert [r.verdict for r in judged.collect()] == ["vacuous", "blind", "failed", "clean"]
     assert rows(audit.overall(judged)) == [("blind", 3)] and rows(audit.overall(judged.filter("verdict IN ('clean', 'vacuous')"))) == [("vacuous", 4)]
+
+
+def test_permitted_deletes(spark):
+    jobs = spark.createDataFrame([(True, True, True), (None, True, True), (True, False, True), (True, True, None)], "deterministic boolean, inputs_complete boolean, scoped_to_derived boolean")
+    want = [None, "not deterministic", "inputs are not complete", "not scoped to derived rows"]
+    assert [r.refusal for r in audit.permitted_deletes(jobs).collect()] == want
