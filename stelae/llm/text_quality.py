@@ -13,14 +13,17 @@ count as the words they stand for.
 recur per line the same number of times are vertically aligned: ``alignment`` is
 the largest share of lines with the same non-empty delimiter signature.
 
-*Rhythm.*  ``indent_period`` is the largest autocorrelation (lags 1 to 4) of how
-lines begin, ``length_autocorrelation`` that of their lengths; items of one form,
-dumps of one width and alternations of heading and title have high ones.
+*Rhythm.*  ``indent_period`` is the largest autocorrelation (lags 1 to 4) of the
+white space before lines, 0 where it never varies; ``length_autocorrelation`` is
+that of their lengths.  Where both are high, the document is laid out in items:
+its lines are structure without any delimiter, whatever words stand in them.
+Lengths alone decide nothing, since dialogue of two alternating lines has them too.
 
 A line without common words that shows columns, or is no sentence, is counted as
 structure, and so is every line in columns that run down six tenths of the lines,
 whatever words stand in them; a short sentence, a sound description or a note sign is counted as
-neither, unless columns or rhythm hold for the whole document.  A document is no
+neither, except that in columns it is structure, and a short sentence is where rhythm
+holds for the whole document; notes and sound descriptions never follow rhythm.  A document is no
 prose if more lines are structure than speech; it is a *table* if most of these
 have columns, a *list* if most of their tokens are words or numbers in a list
 form, else *junk*.
@@ -116,10 +119,10 @@ def _repaired(token: str) -> list[str]:
 @lru_cache(maxsize=200_000)
 def _token(raw: str) -> tuple[int, ...]:
     """Kind, letters, symbols, characters, common, kana, ends a sentence, delimiters
-    inside, bare delimiter, capitalised."""
+    inside, bare delimiter."""
     text = _TAG.sub("", raw) if "<" in raw or "{" in raw or "&" in raw or "=" in raw else raw
     if not text:
-        return MARKUP, 0, 0, 0, 0, 0, 0, 0, 0, 0
+        return MARKUP, 0, 0, 0, 0, 0, 0, 0, 0
     core = text.strip(_EDGE)
     end = int(text.endswith(_END))
     chars = len(text)
@@ -128,13 +131,13 @@ def _token(raw: str) -> tuple[int, ...]:
     symbols = chars - letters - digits
     if not core:
         if all(c in _NOTES for c in text) and any(c in "♪♫♩♬" for c in text):
-            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0, 0
+            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
         if _octets(text, "cp1252") and any("♪" in r for r in _repaired(text)):
-            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0, 0
+            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
         bare = {"|": 1, "=": 2, "/": 3, "-": 4, ":": 5, "–": 4}.get(text, 6 if _LEADER.match(text) else 0)
-        return OTHER, 0, symbols, chars, 0, 0, end, 0, bare, 0
+        return OTHER, 0, symbols, chars, 0, 0, end, 0, bare
     if core in ("♪", "â™ª"):
-        return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0, 0
+        return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
     bare = {"|": 1, "=": 2, "/": 3}.get(text, 0)
     inside = (core.count(",") if not _NUMBER.match(core) and core.count(",") > 1 else 0) + core.count("=") + core.count("|")
     lower = core.lower().replace("’", "'")
@@ -154,7 +157,7 @@ def _token(raw: str) -> tuple[int, ...]:
         kind = WORD
     else:
         kind = OTHER
-    return kind, letters, symbols, chars, common, kana, end, inside, bare, int(plain[:1].isupper())
+    return kind, letters, symbols, chars, common, kana, end, inside, bare
 
 
 class _Lines:
@@ -190,6 +193,9 @@ class _Lines:
         self.first = np.flatnonzero(fresh)
         self.line = np.cumsum(fresh) - 1 if len(number) else np.empty(0, np.int64)
         self.lines = len(self.first)
+        opened = np.union1d(np.flatnonzero(kind == 2) + 1, self.bounds[:-1])  # where lines begin, blank ones too
+        begun = self.start[self.first]
+        self.indent = begun - opened[np.searchsorted(opened, begun, "right") - 1] if len(begun) else begun
 
     def tokens(self) -> tuple[np.ndarray, list[str]]:
         """Code of every token and the distinct tokens."""
@@ -256,8 +262,8 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
     groups = len(texts)
     block = _Lines(texts)
     codes, distinct = block.tokens()
-    known = np.array([_token(t) for t in distinct], np.int32).reshape(len(distinct), 10)
-    kind, letters, symbols, chars, common, kana, end, inside, bare, capital = known[codes].T
+    known = np.array([_token(t) for t in distinct], np.int32).reshape(len(distinct), 9)
+    kind, letters, symbols, chars, common, kana, end, inside, bare = known[codes].T
     line, lines = block.line, block.lines
     total = lambda v: np.bincount(line, v, lines)
 
@@ -271,7 +277,6 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
         tab[:-1] = same & (width == 1) & (block.octets[np.minimum(block.stop[:-1], len(block.octets) - 1)] == 9)
     n = total(np.ones(len(line)))
     last = np.concatenate([block.first[1:], [len(line)]])[:lines] - 1
-    first_kind, first_bare, first_capital = kind[block.first], bare[block.first], capital[block.first]
 
     # Cue numbers, times and headers are set aside.
     arrow = np.array([t == "-->" for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
@@ -310,17 +315,21 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
         + 4194304 * np.minimum(dashes, 3)
     ).astype(np.int64)[at]
     mode, alignment = _modal_share(signature, group, groups)
-    begin = (first_kind + 8 * (first_bare > 0) + 16 * first_capital).astype(float)[at]
-    indent = _autocorrelation(begin, group, groups)
+    margins = block.indent[at].astype(float)
+    varies = np.bincount(group, margins != margins[np.searchsorted(group, group)], groups) > 0
+    indent = np.where(varies, _autocorrelation(margins, group, groups), 0.0)
     rhythm = _autocorrelation(lengths, group, groups)
 
+    # Items laid out by indentation and length are structure without any delimiter.
+    laid_out = ((indent >= 0.7) & (rhythm >= 0.5))[text_of] & (notes == 0)
+    for i in np.flatnonzero(laid_out & neutral):
+        laid_out[i] = not _SOUND.match(block.raw(i))
     # Lines that are neither follow the document where columns or rhythm hold for it.
-    held = (alignment >= 0.5)[text_of] | ((indent >= 0.9) & (rhythm >= 0.5))[text_of]
     in_mode = np.zeros(lines, bool)
     in_mode[at] = (signature > 0) & (signature == mode[group]) & (alignment[group] >= 0.5)
     # Columns that run down most of the document are columns whatever words stand in them.
-    speech &= spoken & ~(in_mode & (alignment >= 0.6)[text_of])
-    structure = spoken & ~speech & ~(neutral & ~(held & in_mode))
+    speech &= spoken & ~(in_mode & (alignment >= 0.6)[text_of]) & ~laid_out
+    structure = spoken & ~speech & ~(neutral & ~(in_mode | laid_out))
 
     per = lambda v, where=at: np.bincount(text_of[where], v[where], groups)
     ones = np.ones(lines)

@@ -80,3 +80,22 @@ def test_table(spark, rows):
     assert rows(found) == [(2,), (2,), (None,)]
     assert q.statistics(df, "doc_id", "text").count() == 6
     assert q.statistics(df.limit(0), "doc_id", "text").count() == 0
+
+
+ITEMS = [("Bread", "from the oven in the yard"), ("Beans", "with the salt of my house"), ("Broth", "for all who were not here"), ("Berry", "in the jar on the bottom")]
+
+
+def test_layout_alone_makes_a_list_of_common_words():
+    laid_out = "".join(f"The {a}\n    {b}\n" for a, b in ITEMS * 2)
+    flat = laid_out.replace("    ", "")
+    got, without = measured(laid_out, flat)
+    assert got["body"] == "list" and got["alignment"] == 0 and got["indent_period"] >= 0.7
+    assert without["body"] == "prose" and without["indent_period"] == 0 < without["length_autocorrelation"]
+
+
+def test_indented_speech_songs_and_sounds_stay_prose():
+    hanging = "".join(f"{s}\n  {t}\n" for s, t in zip(SPEECH * 2, reversed(SPEECH * 2)))
+    song = "".join(f"♪ The {a} ♪\n    ♪ {b} ♪\n" for a, b in ITEMS * 2)
+    block = "".join(f"    {s}\n" for s in SPEECH * 3)
+    sounds = cues(["(wind howling)", "   (a door)"] * 5)
+    assert [r["body"] for r in measured(hanging, song, block, sounds)] == ["prose"] * 4
