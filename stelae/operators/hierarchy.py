@@ -17,6 +17,9 @@ node without a link, or run into a cycle.
 4. *Paths.*  A path is read off by traversing parents by position: nodes are
    indexed by (node, steps) and prefixes double like the rounds above, each the
    concatenation of a node's prefix and that of the node the prefix ends in.
+5. *Walks without an end.*  They double likewise, but stop at the first repeated
+   key: pairs (node, ancestor) that are known are not found again.  ``paths`` and
+   ``descendants`` hold ended links only, ``all_paths`` and ``all_descendants`` both.
 
 Each round is written to the shared folder, so lineage stays short and a lost
 executor costs one round.  Joins are sort-merge on a unique right side; a parent
@@ -218,6 +221,33 @@ def ancestors(links: DataFrame, resolved: DataFrame) -> DataFrame:
     return everything.select("node", "distance", "ancestor")
 
 
+def endless_ancestors(links: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``node, distance, ancestor`` (packed) of the nodes whose links never end: each
+    distinct ancestor at its least distance, a node on a cycle among its own.
+
+    A walk repeats nothing until it repeats everything, so the distances kept are
+    1..k without a hole, and a node without one at distance m is complete.
+    """
+    scratch, reach = Scratch(links.sparkSession, "endless"), 1
+    endless = resolved.filter(F.col("depth") == NO_END).select("node")
+    near = links.join(endless, "node").select(
+        "node", F.lit(1).cast("long").alias("distance"), F.col("parent").alias("ancestor")
+    )
+    found = frontier = scratch.keep(near, "reach-1")
+    while not frontier.isEmpty():
+        ends = found.filter(F.col("distance") == reach).select(F.col("node").alias("low"), F.col("ancestor").alias("node"))
+        further = (
+            ends.join(found, "node")
+            .select(F.col("low").alias("node"), (F.col("distance") + reach).alias("distance"), "ancestor")
+            .join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+            .select("node", "distance", "ancestor")
+        )
+        reach *= 2
+        frontier = scratch.keep(further, f"reach-{reach}")
+        found = found.unionByName(frontier)
+    return found
+
+
 def paths(rows: DataFrame, node: str, parent: str) -> DataFrame:
     """``node, root, depth, path, endless``: the path as an array from the node
     to its root, empty where the links never end (``endless`` is then true)."""
@@ -252,3 +282,39 @@ def descendants(rows: DataFrame, node: str, parent: str) -> DataFrame:
         unpacked(F.col("node")).alias("descendant"),
         "distance",
     )
+
+
+def _all_ancestors(links: DataFrame, resolved: DataFrame) -> DataFrame:
+    return ancestors(links, resolved).unionByName(endless_ancestors(links, resolved))
+
+
+def all_paths(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """``node, root, depth, path, endless`` as ``paths``, but where the links never
+    end the path runs to the last key before one is repeated."""
+    links = links_of(rows, node, parent)
+    resolved = resolve(links)
+    steps = (
+        _all_ancestors(links, resolved)
+        .filter(F.col("ancestor") != F.col("node"))
+        .groupBy("node")
+        .agg(F.array_sort(F.collect_list(F.struct("distance", "ancestor"))).alias("steps"))
+    )
+    onward = F.transform("steps", lambda s: unpacked(s["ancestor"]))
+    return resolved.join(steps, "node", "left").select(
+        unpacked(F.col("node")).alias("node"),
+        F.coalesce(unpacked(F.col("root")), F.lit("")).alias("root"),
+        "depth",
+        F.concat(F.array(unpacked(F.col("node"))), F.coalesce(onward, F.array().cast("array<string>"))).alias("path"),
+        (F.col("depth") == NO_END).alias("endless"),
+    )
+
+
+def all_descendants(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """``node, descendant, distance`` as ``descendants``, on and before cycles too;
+    a node on a cycle leads to itself."""
+    links = links_of(rows, node, parent)
+    return _all_ancestors(links, resolve(links)).select(
+        unpacked(F.col("ancestor")).alias("node"),
+        unpacked(F.col("node")).alias("descendant"),
+        "distance",
+    )

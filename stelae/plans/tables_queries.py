@@ -79,6 +79,20 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p5_all_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Path of every superseded concept; up to the first repeated one where it never ends."""
+    return hierarchy.all_paths(_superseded(spark, folder), "concept", "successor").select(
+        F.col("node").alias("concept"), "root", "depth", F.concat_ws(" > ", "path").alias("path"), "endless"
+    )
+
+
+def p5_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All concepts that lead to a concept, whether their links end or not."""
+    return hierarchy.all_descendants(_superseded(spark, folder), "concept", "successor").withColumnRenamed(
+        "node", "concept"
+    )
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_standings": p2_standings,
@@ -87,6 +101,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "p5_all_paths": p5_all_paths,
+    "p5_all_descendants": p5_all_descendants,
 }
 
 _LATEST_SQL = """
@@ -133,6 +149,15 @@ chains AS (
   FROM links l JOIN chains c ON l.successor = c.concept
 )"""
 
+_WALKS_SQL = f"""{_CHAINS_SQL},
+walks AS (
+  SELECT concept, successor AS reached, 1 AS distance, [successor] AS seen FROM links
+  UNION ALL
+  SELECT w.concept, l.successor, w.distance + 1, list_append(w.seen, l.successor)
+  FROM walks w JOIN links l ON w.reached = l.concept
+  WHERE NOT list_contains(w.seen, l.successor)
+)"""
+
 ORACLE = {
     "p2_found": f"WITH {_LATEST_SQL} SELECT kind, id, standing, coalesce(successor, '') AS successor FROM latest WHERE NOT deleted",
     "p2_standings": f"WITH {_LATEST_SQL} SELECT kind, coalesce(standing, '') AS standing, deleted, count(*) AS subjects FROM latest GROUP BY ALL",
@@ -149,4 +174,12 @@ FROM links l LEFT JOIN chains c USING (concept)""",
 steps AS (SELECT concept AS descendant, unnest(string_split(path, ' > ')) AS concept,
                  unnest(range(0, depth + 1)) AS distance FROM chains)
 SELECT concept, descendant, distance::BIGINT AS distance FROM steps WHERE distance > 0""",
+    "p5_all_paths": f"""WITH RECURSIVE {_WALKS_SQL}
+SELECT w.concept, coalesce(c.root, '') AS root, coalesce(c.depth, -1)::BIGINT AS depth,
+       array_to_string(list_prepend(w.concept, list_filter(w.seen, lambda k: k <> w.concept)), ' > ') AS path,
+       c.concept IS NULL AS endless
+FROM (SELECT * FROM walks QUALIFY row_number() OVER (PARTITION BY concept ORDER BY distance DESC) = 1) w
+LEFT JOIN chains c USING (concept)""",
+    "p5_all_descendants": f"""WITH RECURSIVE {_WALKS_SQL}
+SELECT reached AS concept, concept AS descendant, distance::BIGINT AS distance FROM walks""",
 }

@@ -1,6 +1,6 @@
 import random
 
-from stelae.operators.hierarchy import WeightedForest, descendants, paths, roots
+from stelae.operators.hierarchy import WeightedForest, all_descendants, all_paths, descendants, paths, roots
 
 
 def walk(links, node):
@@ -75,3 +75,24 @@ def test_weighted_forest_offsets():
             assert endless == (path is None)
             if path:
                 assert (root, offset) == (path[-1], len(path) - 1)
+
+
+def walked(links, node):
+    """Keys reached until one is repeated."""
+    reached, at = [], node
+    while at in links and links[at] not in reached:
+        at = links[at]
+        reached.append(at)
+    return reached
+
+
+def test_all_paths_and_descendants_before_and_on_cycles(spark, rows):
+    small = {"X": "A", "A": "B", "B": "C", "C": "B", "self": "self", "to": "self", "up": "top"}
+    got = rows(all_descendants(given(spark, small), "concept", "successor"))
+    assert ("A", "X", 1) in got and ("B", "X", 2) in got and ("C", "X", 3) in got and ("B", "B", 2) in got
+    for links in (small, random_links(random.Random(8), 40), {f"r{i}": f"r{(i + 1) % 11}" for i in range(11)} | {"t": "r5", "u": "t"}):
+        pairs = sorted(((a, n, k) for n in links for k, a in enumerate(walked(links, n), 1)), key=repr)
+        assert rows(all_descendants(given(spark, links), "concept", "successor")) == pairs
+        want = {n: ([n, *(a for a in walked(links, n) if a != n)], walk(links, n) is None) for n in links}
+        assert {r.node: (r.path, r.endless) for r in all_paths(given(spark, links), "concept", "successor").collect()} == want
+    assert rows(all_descendants(frame(spark, []), "concept", "successor")) == []
