@@ -78,6 +78,13 @@ def uncovered(documents: DataFrame, coverage_log: DataFrame, protocol: str) -> D
     return documents.select("document").distinct().join(seen, "document", "left_anti")
 
 
+def uncovered_by_protocol(documents: DataFrame, coverage_log: DataFrame) -> DataFrame:
+    """``document, protocol``: held documents without a record, for every protocol of the log."""
+    read = coverage_log.filter(F.col("protocol").isNotNull()).select("document", "protocol").distinct()
+    every = documents.select("document").distinct().crossJoin(read.select("protocol").distinct())
+    return every.join(read, ["document", "protocol"], "left_anti")
+
+
 def by_fidelity(passages: DataFrame) -> DataFrame:
     """Per document of ``document, readable``: ``skipped`` if some passage needs a
     picture, ``unmet`` if all do, else null."""

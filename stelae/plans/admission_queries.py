@@ -100,18 +100,23 @@ def document_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Held sources that no call of a protocol ever read, per protocol."""
+    """Held sources that no call of the least protocol ever read."""
     log = table(spark, folder, "call_records").select("document", "protocol")
     held = table(spark, folder, "sources")
     first = log.agg(F.min("protocol")).first()[0] or ""
     return audit.uncovered(held, log, first).withColumn("protocol", F.lit(first))
 
 
+def audit_all_protocols(spark: SparkSession, folder: str) -> DataFrame:
+    """Held sources that no call of a protocol ever read, for every protocol."""
+    return audit.uncovered_by_protocol(table(spark, folder, "sources"), table(spark, folder, "call_records"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         corroborated_claims, admission_report, admission_into_known, admission_publications, publications_into_known,
-        repeated_citations, coverage_by_source, store_admissions, document_dedup, audit_coverage,
+        repeated_citations, coverage_by_source, store_admissions, document_dedup, audit_coverage, audit_all_protocols,
     )
 }
 
@@ -177,4 +182,7 @@ FROM documents WHERE text IS NOT NULL GROUP BY 1, 2""",
     "audit_coverage": """WITH p AS (SELECT min(protocol) AS protocol FROM call_records)
 SELECT DISTINCT document, protocol FROM sources, p
 WHERE document NOT IN (SELECT c.document FROM call_records c, p WHERE c.protocol = p.protocol AND c.document IS NOT NULL)""",
+    "audit_all_protocols": """SELECT s.document, p.protocol FROM (SELECT DISTINCT document FROM sources) s,
+  (SELECT DISTINCT protocol FROM call_records WHERE protocol IS NOT NULL) p
+WHERE NOT EXISTS (SELECT 1 FROM call_records c WHERE c.document = s.document AND c.protocol = p.protocol)""",
 }

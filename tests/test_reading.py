@@ -120,3 +120,9 @@ def test_permitted_deletes(spark):
     jobs = spark.createDataFrame([(True, True, True), (None, True, True), (True, False, True), (True, True, None)], "deterministic boolean, inputs_complete boolean, scoped_to_derived boolean")
     want = [None, "not deterministic", "inputs are not complete", "not scoped to derived rows"]
     assert [r.refusal for r in audit.permitted_deletes(jobs).collect()] == want
+
+
+def test_every_protocol_is_audited(spark, rows):
+    held = spark.createDataFrame([("d",), ("e",), ("e",)], "document string")
+    log = spark.createDataFrame([("d", "p"), ("e", "q"), ("d", None)], "document string, protocol string")
+    assert rows(audit.uncovered_by_protocol(held, log)) == [("d", "q"), ("e", "p")]
