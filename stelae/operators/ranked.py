@@ -2,7 +2,8 @@
 
 Vectors are read, never derived in a query.  Queries are taken in blocks of
 ``BLOCK``; a block is at most ``BLOCK`` vectors and goes to every task, which keeps
-the best ``k`` rows per query of what it reads.  Only those are shuffled, and the
+the best ``k`` rows per query of what it reads; queries of several lengths are
+scored length by length, each in a pass over the rows.  Only those are shuffled, and the
 final ranking is limited before its exchange.
 
 Cases: null vectors, vectors of another length than the query's and vectors of
@@ -41,13 +42,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     found = spark.createDataFrame([], _FOUND)
     for start in range(0, count, block):
         part = asked.filter(F.col("position").between(start + 1, start + block)).select("q", "v").collect()
-        found = found.unionByName(_scored(rows, [r.q for r in part], [r.v for r in part], k, key, vector))
+        for width in sorted({len(r.v) for r in part} - {0}):
+            alike = [r for r in part if len(r.v) == width]
+            found = found.unionByName(_scored(rows, [r.q for r in alike], [r.v for r in alike], width, k, key, vector))
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")
 
 
-def _scored(rows: DataFrame, ids: list[int], vectors: list, k: int, key: str, vector: str) -> DataFrame:
-    width = max((len(v) for v in vectors), default=0)
+def _scored(rows: DataFrame, ids: list[int], vectors: list, width: int, k: int, key: str, vector: str) -> DataFrame:
     unit, usable = _unit(vectors, width)
     names = np.array(ids, np.int64)[usable]
     shared = rows.sparkSession.sparkContext.broadcast((unit, names))  # at most one block of vectors

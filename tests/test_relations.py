@@ -83,3 +83,11 @@ def test_failed_run_and_promotion(spark, rows):
     derived = admission.promoted(broad, narrow)
     now = spark.createDataFrame([("n1", "n1")], "input string, identity_now string")
     assert [r.status for r in audit.stale(derived, now).collect()] == ["unsupported"] and derived.count() == 2
+
+
+def test_nearest_of_queries_of_several_lengths(spark):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.2, 0.0]), (5, []), (6, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for block in (1, 4_096):
+        got = {(r.query, r.neighbour) for r in nearest(df, df, 3, block=block).collect()}
+        assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
