@@ -244,9 +244,9 @@ def pieces(path: str = TOKENIZER) -> list[bytes]:
 
 
 def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER) -> DataFrame:
-    """``key, text``: the inverse of ``encoded``, by a join of ids with pieces.
+    """``key, text``: the inverse of ``encoded``, by a look-up of ids in place of a join.
 
-    The table of pieces is a constant of the plan, indexed by id, so the join is a
+    The table of pieces is a constant of the plan, indexed by id, so this is a
     look-up inside generated code: no shuffle, no Python.  Its size is that of the
     vocabulary, whatever the corpus.  Octets that are no UTF-8 become replacement
     characters; an empty or null list gives the empty text; an id without a piece
