@@ -94,13 +94,20 @@ def recorded_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grounded_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every claim's text as a quote from the names of its concept's rows."""
+    """The last word of every claim's text as a quote from the names of its concept's rows."""
     concepts = table(spark, folder, "concepts").select("concept", F.col("canonical_name").alias("passage_text")).distinct()
     last_word = F.element_at(F.split(F.coalesce("text", F.lit("")), " ", -1), -1)
     quotes = table(spark, folder, "claims").select("claim", "concept", F.regexp_replace(last_word, r"\.$", "").alias("quote")).distinct()
     return reading.grounded(quotes.join(concepts, "concept")).select("claim", "quote", "passage_text", "grounded")
 
 
+def grounded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every claim's whole text as a quote from the names of its concept's rows; without such a row it is not grounded."""
+    concepts = table(spark, folder, "concepts").select("concept", F.col("canonical_name").alias("passage_text")).distinct()
+    quotes = table(spark, folder, "claims").select("claim", "concept", F.coalesce("text", F.lit("")).alias("quote")).distinct()
+    return reading.grounded(quotes.join(concepts, "concept", "left")).select("claim", "quote", "passage_text", "grounded")
+
+
 def source_files_identity(spark: SparkSession, folder: str) -> DataFrame:
     """Octets, and not characters, of every stored source."""
     rows = table(spark, folder, "sources").filter("content IS NOT NULL")
@@ -111,7 +118,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         call_record_codec, call_record_faults, call_budget, call_usage, source_passages, reading_fidelity, recorded_answers,
-        grounded_quotes, source_files_identity,
+        grounded_quotes, grounded_texts, source_files_identity,
     )
 }
 
@@ -154,5 +161,9 @@ SELECT fault, count(*) AS answers, sum(n)::BIGINT AS propositions FROM j GROUP B
 p AS (SELECT DISTINCT concept, canonical_name AS passage_text FROM concepts)
 SELECT claim, quote, passage_text, {normalized_sql('quote')} <> '' AND contains({normalized_sql("coalesce(passage_text, '')")}, {normalized_sql('quote')}) AS grounded
 FROM q JOIN p USING (concept)""",
+    "grounded_texts": f"""WITH q AS (SELECT DISTINCT claim, concept, coalesce(text, '') AS quote FROM claims),
+p AS (SELECT DISTINCT concept, canonical_name AS passage_text FROM concepts)
+SELECT claim, quote, passage_text, {normalized_sql('quote')} <> '' AND contains({normalized_sql("coalesce(passage_text, '')")}, {normalized_sql('quote')}) AS grounded
+FROM q LEFT JOIN p USING (concept)""",
     "source_files_identity": f"SELECT DISTINCT {document_sql('content')} AS document, octet_length(content)::BIGINT AS octets FROM sources WHERE content IS NOT NULL",
 }

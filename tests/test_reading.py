@@ -126,3 +126,13 @@ def test_every_protocol_is_audited(spark, rows):
     held = spark.createDataFrame([("d",), ("e",), ("e",)], "document string")
     log = spark.createDataFrame([("d", "p"), ("e", "q"), ("d", None)], "document string, protocol string")
     assert rows(audit.uncovered_by_protocol(held, log)) == [("d", "q"), ("e", "p")]
+
+
+def test_every_claim_has_a_grounding(spark, tmp_path):
+    from stelae.plans.reading_queries import grounded_texts
+
+    spark.createDataFrame([("c", "Iron ore"), ("d", "Iron ore")], "concept string, canonical_name string").write.parquet(f"{tmp_path}/concepts.parquet")
+    claims = [("1", "c", "Iron  ore"), ("2", "d", "no iron ore"), ("3", "gone", "ore"), ("4", None, None)]
+    spark.createDataFrame(claims, "claim string, concept string, text string").write.parquet(f"{tmp_path}/claims.parquet")
+    got = {r.claim: r.grounded for r in grounded_texts(spark, str(tmp_path)).collect()}
+    assert got == {"1": True, "2": False, "3": False, "4": False}
