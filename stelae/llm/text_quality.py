@@ -1,45 +1,52 @@
 """Per-document text quality: natural prose, or a list, a table, or junk.
 
 The spoken lines of a document are its lines without cue numbers, cue times,
-file headers and blank lines.  Three kinds of evidence are combined:
-
-*Words.*  Words, mean word length, share of symbols, share of lines that end in
-sentence punctuation, share of common words.  A line in which common words of
-any of six languages (or kana) make up a fair part is speech.  Letters that were
-decoded wrongly are tried again under the usual wrong decodings, so that they
-count as the words they stand for.
-
-*Columns.*  Delimiters (tab, bar, comma, equals sign, wide gap, dot leader) that
-recur per line the same number of times are vertically aligned: ``alignment`` is
-the largest share of lines with the same non-empty delimiter signature.
-
-*Rhythm.*  ``indent_period`` is the largest autocorrelation (lags 1 to 4) of the
-white space before lines, 0 where it never varies; ``length_autocorrelation`` is
-that of their lengths.  Where both are high, the document is laid out in items:
-its lines are structure without any delimiter, whatever words stand in them.
-Lengths alone decide nothing, since dialogue of two alternating lines has them too.
-
-A line without common words that shows columns, or is no sentence, is counted as
-structure, and so is every line in columns that run down six tenths of the lines,
-whatever words stand in them; a short sentence, a sound description or a note sign is counted as
-neither, except that in columns it is structure, and a short sentence is where rhythm
-holds for the whole document; notes and sound descriptions never follow rhythm.  A document is no
-prose if more lines are structure than speech; it is a *table* if most of these
-have columns, a *list* if most of their tokens are words or numbers in a list
-form, else *junk*.
+file headers and blank lines.  No list of words of any language takes part in the
+verdict; three kinds of layout are detected and weighed with what lines are made of.
+
+*Alignment.*  A line can be divided by one of eleven kinds of delimiter: tab, bars,
+dot leader, equals sign or many inner commas, wide gap, a comma series, slash, inner
+dash, label colon, item mark, number cells.  ``alignment`` is the largest share of
+lines divided by the same kind, so of delimiters that stand below each other.
+Delimiters count as columns only where they recur in a tenth of the lines; where
+one kind runs down six tenths, its lines are structure whatever words stand in them.
+
+*Indentation.*  ``indent_period`` is the largest autocorrelation (lags 1 to 4) of the
+white space before lines, 0 where it never varies.
+
+*Line length.*  ``length_autocorrelation`` is that of their lengths.  Where both are
+high, all lines are structure.
+
+*Words, symbols, punctuation.*  A line is broken where words make up less than half of
+its characters, where tokens repeat, or where its letters cannot be spoken (few
+vowels or long runs of consonants, looked at in alphabets that write vowels).  A line is a label where
+it holds a few words, or a series of them, without punctuation at its end.  Labels are structure only in
+a document that is laid out: by alignment, by a period, or where most lines are
+unpunctuated labels and delimiters or lengths recur at least in part.  Songs are
+speech; sounds in brackets and bare notes are neither.  All else is speech.
+
+A document is no prose if more lines are structure than speech; it is a *table* if
+most of these are in columns, a *list* if most are labels, else *junk*.
+
+``symbol_ratio``, ``mean_word_length``, ``punctuated_lines`` and ``common_words`` are
+given beside; common words are the thousand words of most documents of the table itself,
+counted over all of them.  Scripts without spaces have few words that can be common.
 
 Texts are processed in blocks by array operations; every distinct token of a
-block is looked at once.  There is no shuffle.
+block is looked at once.  The verdict needs no shuffle; the count of common words
+shuffles one row per word and task.
 
 Cases: null, empty and blank texts have no lines, ratios 0 and body ``empty``
-and are no case; ties are prose; very long texts and repeated rows need no care,
-each row gives one row; a null id is kept; an empty table gives no row; other
-columns are ignored.
+and are no case; ties are prose; letters decoded wrongly are read again under the
+usual wrong decodings, lost ones (``?``) count as letters; very long texts and
+repeated rows need no care, each row gives one row; a null id is kept; an empty
+table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,40 +57,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_OCTETS = 4 << 20
-
-# Common words of English, French, Spanish, German and Russian.
-_COMMON = frozenset(
-    """
-the a an of to and in that it is was for on with as at by be this have from or had not but what all were when we
-there can your which their said if do will each about how up out them then she many some so these would other into
-has more her two him time could no than first been its who now my did get come may i you he they me our are us go
-here never nobody was before after just only over again where why must might still should
-le la les des du un une est et à il ne pas qui que dans ce sur au se mais par plus avec tout son on je vous nous tu sa
-ses cette sont être ont mon elle même quoi rien jamais moi toi votre notre était pour sans dis-tu c'est qu'est-ce
-n'était s'est n'a qu'il qu'elle d'en
-de el y en los las del por con para su al lo como pero sus ya o este sí porque entre cuando muy sin sobre también me
-hasta hay donde quien desde todo nos uno les ni eso mí qué yo él nunca nadie ella mi alguien eres eso
-der die und das ist nicht ich sie es zu den mit ein eine von auf für im dem auch sich wie war er wir ihr mich mir dir
-noch nur aber wenn hier da kein niemand mein meine dein sein seine ihre immer jeder aus vor bei nach schon über unter
-nie so am ohne einen
-и в не на я что он с как это а по но они мы она так его все всё ты у же вы за бы от из к до меня о ещё нет для ее её
-уже никто мой моя был без под над после эту этот мне нас вас кто
-""".split()
-)
+#: Autocorrelation from which indentation, and line length, count as periodic.
+INDENTED, RHYTHMIC = 0.7, 0.5
+#: Kinds of delimiters a line can be divided by; the first ones divide cells of a table.
+DELIMITERS, CELLS = 11, 5
+#: Common words are this many words of most documents.
+COMMON_WORDS = 1_000
 
 # How text that is no speech of its own is marked.
 _NOTES = "♪♫♩♬#*~"
-_SOUND = re.compile(r"^[-–\s♪♫]*(?:[\[(（【].*[\])）】]|[♪♫♩♬\s]+)[-–\s♪♫.]*$")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\{\\?[^{}]*\}|&(?:[a-z]+|#\d+);|^</?[A-Za-z]\w*$|^[a-z-]+=\"[^\"]*\"/?>?")
 _HEADER = frozenset({"WEBVTT", "NOTE", "STYLE", "REGION", "[Script", "[Events]"})
-_EDGE = ".,!?…;:\"'()[]{}¿¡«»„“”‘’-–—♪♫、。！？「」『』（）"
-_END = tuple(".!?…。！？♪\"»”)]）】")
-_KANA = re.compile(r"[ぁ-ヿ]")
-_CJK = re.compile(r"[ぁ-ヿ一-鿿]")
+_EDGE = ".,!?…;:\"'()[]{}¿¡«»„“”‘’-–—♪♫、。！？「」『』（）।॥؟،"
+_END = tuple(".!?…。！？।॥؟♪\"»”)]）】")
+_OPENS, _CLOSES = tuple("[(（【"), tuple("])）】")
+_BARE = {"|": 1, "=": 2, "/": 3, "-": 4, "–": 4, "—": 4, ":": 5}
 _LEADER = re.compile(r"^\.{3,}$")
 _NUMBER = re.compile(r"^[-+]?\(?\d[\d.,:%/]*\)?[.):]?$")
 
+# Vowels of the three alphabets with letters for vowels and consonants,
+# and the blocks of those alphabets and of scripts that put no space between words.
+_VOWELS = frozenset("aeiouyæœøıаеиоуыэюяієαεηιουω")
+_ALPHABETS = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿḀ-ỿ]+")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+_SPLIT = re.compile(r"[.,!?…:、。！？「」『』（）・।]+")  # between words without a space
+
 WORD, NUMBER, OTHER, MARKUP, NOTE = range(5)
+#: Columns of what is known of a token.
+_KNOWN = ("kind", "letters", "symbols", "chars", "worded", "alpha", "vowels", "clustered", "unspaced", "end", "inside", "bare", "opens", "closes", "comma")
 
 
 def _octets(token: str, page: str) -> bytes | None:
@@ -100,64 +102,98 @@ def _octets(token: str, page: str) -> bytes | None:
 
 def _repaired(token: str) -> list[str]:
     """What a token with letters beyond ASCII may have been before it was decoded wrongly."""
-    found, current = [], token
-    for _ in range(3):
-        octets = _octets(current, "cp1252")
-        if octets is None:
-            break
-        try:
-            current = octets.decode("utf-8")
-        except UnicodeDecodeError:
-            break
-        found.append(current)
+    found = []
+    for page in ("cp1252", "cp1251"):
+        current = token
+        for _ in range(3):
+            octets = _octets(current, page)
+            if octets is None:
+                break
+            try:
+                current = octets.decode("utf-8")
+            except UnicodeDecodeError:
+                break
+            found.append(current)
     octets = _octets(token, "cp1252")
     if octets and sum(b >= 0xC0 for b in octets) * 2 > len(octets):
         found.append(octets.decode("cp1251", "replace"))
     return found
 
 
+def _is_word(core: str) -> bool:
+    """Letters (with their marks) in the case of a word; a letter that was lost in decoding
+    counts as one."""
+    plain = _LOST.sub("", core).translate(_JOINERS)
+    if not plain.isalpha() and not (plain and all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in plain)):
+        return False
+    return plain.islower() or plain.isupper() or plain[1:].islower() or not any(c.isupper() or c.islower() for c in plain)
+
+
+_LOST = re.compile(r"(?<=\w)[?\ufffd]+(?=\w)")
+_JOINERS = str.maketrans("", "", "'’-ʼ·\u200c\u200d")
+
+
+def _sounds(core: str) -> tuple[int, int, int]:
+    """Letters of a word that are in an alphabet, its vowels, and letters in runs of four or
+    more consonants."""
+    alpha = vowels = clustered = 0
+    for run in _ALPHABETS.findall(core):
+        length = 0
+        for c in unicodedata.normalize("NFD", run.lower()):
+            if not c.isalpha():
+                continue
+            alpha += 1
+            if c in _VOWELS:
+                vowels += 1
+                clustered += length if length >= 4 else 0
+                length = 0
+            else:
+                length += 1
+        clustered += length if length >= 4 else 0
+    return alpha, vowels, clustered
+
+
 @lru_cache(maxsize=200_000)
 def _token(raw: str) -> tuple[int, ...]:
-    """Kind, letters, symbols, characters, common, kana, ends a sentence, delimiters
-    inside, bare delimiter."""
+    """What is known of a token, in the order of ``_KNOWN``."""
+    if raw[0] in "0123456789" and raw.isascii() and _NUMBER.match(raw):
+        letters = sum(map(str.isdigit, raw))
+        return NUMBER, 0, len(raw) - letters, len(raw), 0, 0, 0, 0, 0, int(raw.endswith(_END)), 0, 0, 0, 0, int(raw[-1] == ",")
     text = _TAG.sub("", raw) if "<" in raw or "{" in raw or "&" in raw or "=" in raw else raw
     if not text:
-        return MARKUP, 0, 0, 0, 0, 0, 0, 0, 0
+        return MARKUP, *(0,) * 14
     core = text.strip(_EDGE)
-    end = int(text.endswith(_END))
-    chars = len(text)
+    end, chars = int(text.endswith(_END)), len(text)
     letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
-    symbols = chars - letters - digits
+    symbols = chars - letters - sum(map(str.isdigit, text))
+    if not text.isascii():
+        symbols -= sum(unicodedata.category(c)[0] == "M" for c in text)
+    opens, closes = int(text.startswith(_OPENS)), int(text.endswith(_CLOSES))
     if not core:
-        if all(c in _NOTES for c in text) and any(c in "♪♫♩♬" for c in text):
-            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
-        if _octets(text, "cp1252") and any("♪" in r for r in _repaired(text)):
-            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
-        bare = {"|": 1, "=": 2, "/": 3, "-": 4, ":": 5, "–": 4}.get(text, 6 if _LEADER.match(text) else 0)
-        return OTHER, 0, symbols, chars, 0, 0, end, 0, bare
+        noted = all(c in _NOTES for c in text) and any(c in "♪♫♩♬" for c in text)
+        if noted or (not text.isascii() and any("♪" in r for r in _repaired(text))):
+            return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0
+        return OTHER, 0, symbols, chars, 0, 0, 0, 0, 0, end, 0, 6 if _LEADER.match(text) else _BARE.get(text, 0), opens, closes, 0
     if core in ("♪", "â™ª"):
-        return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0
-    bare = {"|": 1, "=": 2, "/": 3}.get(text, 0)
-    inside = (core.count(",") if not _NUMBER.match(core) and core.count(",") > 1 else 0) + core.count("=") + core.count("|")
-    lower = core.lower().replace("’", "'")
-    common = int(lower in _COMMON)
-    kana = len(_KANA.findall(core))
-    if not common and not core.isascii():
-        for r in _repaired(core):
-            plain = r.strip(_EDGE).lower()
-            common |= int(plain in _COMMON)
-            kana = max(kana, len(_KANA.findall(r)))
-    plain = core.replace("'", "").replace("’", "").replace("-", "")
+        return NOTE, 0, symbols, chars, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0
+    numeric = bool(_NUMBER.match(core))
+    inside = (core.count(",") if not numeric and core.count(",") > 1 else 0) + core.count("=") + core.count("|") + (core.count(";") if core.count(";") > 1 else 0)
+    kind, seen = OTHER, core
     if _NUMBER.match(text):
         kind = NUMBER
-    elif plain.isalpha() and (plain.islower() or plain.isupper() or plain[1:].islower() or _CJK.search(plain)):
-        kind = WORD
-    elif kana or common:
+    elif _is_word(core):
         kind = WORD
-    else:
-        kind = OTHER
-    return kind, letters, symbols, chars, common, kana, end, inside, bare
+    elif not inside:
+        for read in (core, *(() if core.isascii() else (r.strip(_EDGE) for r in _repaired(core)))):
+            if all(_is_word(part) for part in _SPLIT.split(read)):
+                kind, seen = WORD, read
+                break
+    if kind == WORD and len(core) >= 8 and len(set(core.lower())) <= 3:
+        kind = OTHER  # one beat over and over
+    unspaced = len(_UNSPACED.findall(seen))
+    alpha, vowels, clustered = _sounds(seen) if kind == WORD else (0, 0, 0)
+    worded = chars if kind == WORD else 0
+    return kind, letters, symbols, chars, worded, alpha, vowels, clustered, unspaced, end, inside, _BARE.get(text, 0), opens, closes, int(text.endswith(","))
 
 
 class _Lines:
@@ -193,7 +229,10 @@ class _Lines:
         self.first = np.flatnonzero(fresh)
         self.line = np.cumsum(fresh) - 1 if len(number) else np.empty(0, np.int64)
         self.lines = len(self.first)
-        opened = np.union1d(np.flatnonzero(kind == 2) + 1, self.bounds[:-1])  # where lines begin, blank ones too
+        opens = np.zeros(size + 1, bool)  # where lines begin, blank ones too
+        opens[np.flatnonzero(kind == 2) + 1] = True
+        opens[self.bounds[:-1]] = True
+        opened = np.flatnonzero(opens)
         begun = self.start[self.first]
         self.indent = begun - opened[np.searchsorted(opened, begun, "right") - 1] if len(begun) else begun
 
@@ -235,163 +274,220 @@ def _autocorrelation(values: np.ndarray, group: np.ndarray, groups: int, lags=(1
     return np.where(count >= 6, best, 0.0)
 
 
-def _modal_share(signature: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per group the most frequent non-zero signature and its share of the lines."""
-    count = np.bincount(group, minlength=groups)
-    mode, share = np.zeros(groups, np.int64), np.zeros(groups)
-    held = signature > 0
-    if held.any():
-        pairs, times = np.unique(np.stack([group[held], signature[held]]), axis=1, return_counts=True)
-        order = np.lexsort((-pairs[1], times))
-        mode[pairs[0][order]] = pairs[1][order]
-        share[pairs[0][order]] = times[order]
-    return mode, share / np.maximum(count, 1)
+def _recurring(text: np.ndarray, delimiter: np.ndarray, counted: np.ndarray, groups: int) -> np.ndarray:
+    """Share of each text's counted lines that are divided by each kind of delimiter; kind 0 is none."""
+    kinds = DELIMITERS + 1
+    held = np.bincount(text * kinds + delimiter, counted, groups * kinds).reshape(groups, kinds)
+    shares = held / np.maximum(held.sum(axis=1, keepdims=True), 1)
+    shares[:, 0] = 0.0
+    return np.where(held[:, 1:].sum(axis=1, keepdims=True) > 1, shares, 0.0)  # one line is below no other
 
 
 FIELDS = (
     ("lines", pa.int64(), "long"), ("words", pa.int64(), "long"), ("mean_word_length", pa.float64(), "double"),
     ("symbol_ratio", pa.float64(), "double"), ("punctuated_lines", pa.float64(), "double"),
-    ("common_words", pa.float64(), "double"), ("alignment", pa.float64(), "double"),
-    ("indent_period", pa.float64(), "double"), ("length_autocorrelation", pa.float64(), "double"),
-    ("structured_lines", pa.float64(), "double"), ("body", pa.string(), "string"),
+    ("common_words", pa.float64(), "double"), ("alignment", pa.float64(), "double"), ("indent_period", pa.float64(), "double"),
+    ("length_autocorrelation", pa.float64(), "double"), ("structured_lines", pa.float64(), "double"), ("body", pa.string(), "string"),
 )
 
 
-def measure(texts: pa.Array) -> list[np.ndarray]:
+def _spoken(block: _Lines, codes: np.ndarray, distinct: list[str]) -> np.ndarray:
+    """The lines that are no cue numbers, times, headers or blanks."""
+    flagged = lambda test: np.array([test(t) for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
+    alone = flagged(lambda t: t.strip("\ufeff").isdigit() or t in _HEADER or not t.strip("\ufeff\u200b"))
+    timed = np.bincount(block.line, flagged(lambda t: t == "-->"), block.lines) > 0
+    return ~(timed | ((np.bincount(block.line, minlength=block.lines) == 1) & alone[block.first]))
+
+
+def _plain(token: str) -> str:
+    """A token as a word to be counted: lower case, without marks at its edges."""
+    return _TAG.sub("", token).strip(_EDGE).lower().replace("’", "'")
+
+
+def measure(texts: pa.Array, common: frozenset[str] = frozenset()) -> list[np.ndarray]:
     """The columns ``FIELDS`` for a block of texts without nulls."""
     groups = len(texts)
     block = _Lines(texts)
     codes, distinct = block.tokens()
-    known = np.array([_token(t) for t in distinct], np.int32).reshape(len(distinct), 9)
-    kind, letters, symbols, chars, common, kana, end, inside, bare = known[codes].T
+    table = np.array([_token(t) for t in distinct], np.int32).reshape(len(distinct), len(_KNOWN))
+    known = dict(zip(_KNOWN, table[codes].T))
+    kind, bare, end = known["kind"], known["bare"], known["end"]
     line, lines = block.line, block.lines
     total = lambda v: np.bincount(line, v, lines)
+    spoken = _spoken(block, codes, distinct)
 
     # Gaps between tokens of a line: tabs and wide spaces are delimiters.
     gap = np.zeros(len(line), np.int64)
-    tab = np.zeros(len(line), bool)
+    tab, again = np.zeros(len(line), bool), np.zeros(len(line), bool)
     if len(line) > 1:
         width = block.start[1:] - block.stop[:-1]
         same = line[1:] == line[:-1]
         gap[:-1] = np.where(same, width, 0)
         tab[:-1] = same & (width == 1) & (block.octets[np.minimum(block.stop[:-1], len(block.octets) - 1)] == 9)
+        again[1:] = same & (codes[1:] == codes[:-1])
     n = total(np.ones(len(line)))
-    last = np.concatenate([block.first[1:], [len(line)]])[:lines] - 1
-
-    # Cue numbers, times and headers are set aside.
-    arrow = np.array([t == "-->" for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
-    headed = np.array([t in _HEADER for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
-    digits_only = np.array([t.strip("﻿").isdigit() for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
-    blank = np.array([not t.strip("﻿​") for t in distinct], bool)[codes] if distinct else np.empty(0, bool)
-    aside = (total(arrow) > 0) | ((n == 1) & (digits_only | headed | blank)[block.first])
-    spoken = ~aside
+    first, last = block.first, np.concatenate([block.first[1:], [len(line)]])[:lines] - 1
+    at_first = np.zeros(len(line), bool)
+    at_first[first] = True
+    at_last = np.zeros(len(line), bool)
+    at_last[last] = True
 
     words, numbers = total(kind == WORD), total(kind == NUMBER)
     marks, notes = total(kind == MARKUP), total(kind == NOTE)
     real = n - marks - notes
-    commons, kanas = total(common), total(kana)
     ended = end[last].astype(bool)
     tabs, wides = total(tab), total(gap >= 2)
-    bars, equals, leaders = total(bare == 1), total(bare == 2), total((bare == 6) & (np.arange(len(line)) != last[line]))
-    inner, slashes = total(inside), total(bare == 3)
-    dashes = total((bare == 4) & (np.arange(len(line)) != block.first[line]))  # not those that open a turn of speech
+    bars, equals, leaders = total(bare == 1), total(bare == 2), total((bare == 6) & ~at_last)
+    inner, slashes, colons = total(known["inside"]), total(bare == 3), total(bare == 5)
+    dashes = total((bare == 4) & ~at_first)  # not those that open a turn of speech
+    commas = total(known["comma"])
     columns = (tabs > 0) | (bars >= 2) | (wides >= 2) | (inner >= 2) | (leaders > 0)
-    speech = ~columns & ((commons >= 0.15 * np.maximum(real, 1)) & (commons > 0) | (kanas >= 2))
-    sentence = ended & (words >= 0.6 * real) & (real <= 3) & (total((kind == WORD) & (letters > 14)) == 0)
-    neutral = spoken & ~speech & ~columns & (((marks + notes > 0) & (real == 0) & (notes > 0)) | sentence)
-    for i in np.flatnonzero(spoken & ~neutral & (notes + total(np.isin(end, 1)) > 0) & ~columns):
-        raw = block.raw(i)
-        if raw[:1] in "[(♪♫-–（【" and _SOUND.match(raw):
-            neutral[i], speech[i] = True, False
-
-    # Columns and rhythm of the spoken lines of each text.
-    text_of = block.text[block.first]
+
+    # Sounds are marked at both ends; like a bare note they are neither speech nor structure.
+    second = np.minimum(first + 1, last)
+    opened = known["opens"][first] | ((bare[first] == 4) & known["opens"][second])
+    neutral = spoken & ~columns & ((notes > 0) & (real == 0) | ((opened > 0) & (known["closes"][last] > 0)))
+
+    # What a line is made of: words, or symbols, numbers, repeats, letters in no order.
+    chars, alpha = np.maximum(total(known["chars"] * (kind != NOTE)), 1), total(known["alpha"])
+    wordless = total(known["worded"]) < 0.5 * chars
+    repeating = (n >= 4) & (2 * total(again) >= n)
+    unpronounced = (alpha >= 6) & ((total(known["vowels"]) < 0.26 * alpha) | (total(known["clustered"]) >= 0.3 * alpha))
+    broken = spoken & ~neutral & ~columns & (wordless | repeating | unpronounced)
+    short = words <= 12  # parts of an entry, not of sentences
+    slashes, dashes, colons = slashes * short, dashes * short, colons * short
+    delimited = (equals > 0) | (slashes > 0) | (dashes > 0) | (colons > 0)
+    series = ~ended & (commas >= 2) & (words + numbers <= 2 * (commas + 1))
+    # A label names something: a few words that end in no punctuation, or parts of a series.
+    label = spoken & ~neutral & ~columns & ~broken & ~ended & (notes == 0) & (total(known["unspaced"]) == 0)
+    label &= (words <= 3) & (commas == 0) | delimited & (words <= 6) | series
+
+    # Delimiters, margins and lengths of the lines of each text.
+    text_of = block.text[first]
     at = np.flatnonzero(spoken)
     group = text_of[at]
-    lengths = (block.stop[last] - block.start[block.first])[at].astype(float)
-    signature = (
-        np.minimum(tabs, 15) + 16 * np.minimum(bars, 15) + 256 * np.minimum(inner, 15) + 4096 * np.minimum(wides, 15)
-        + 65536 * np.minimum(equals, 3) + 262144 * np.minimum(slashes, 7) + 2097152 * np.minimum(leaders, 1)
-        + 4194304 * np.minimum(dashes, 3)
-    ).astype(np.int64)[at]
-    mode, alignment = _modal_share(signature, group, groups)
+    per = lambda v: np.bincount(text_of, v * spoken, groups)
+    shown = per(np.ones(lines))
+    lengths = (block.stop[last] - block.start[first])[at].astype(float)
+    marked = label & ((kind[first] == NUMBER) | (kind[first] == OTHER)) & (n > 1)
+    delimiter = np.select(
+        [tabs > 0, bars >= 2, leaders > 0, (equals > 0) | (inner >= 2), (wides >= 2) | (wides > 0) & label, series, slashes > 0, dashes > 0,
+         colons > 0, marked, label & (numbers > 0)],
+        np.arange(1, DELIMITERS + 1), 0,
+    )
+    counted = spoken & ~neutral
+    recurring = _recurring(text_of, delimiter, counted, groups)
+    alignment, delimited_lines = recurring.max(axis=1, initial=0.0), recurring.sum(axis=1)
+    aligned = recurring[text_of, delimiter]
     margins = block.indent[at].astype(float)
     varies = np.bincount(group, margins != margins[np.searchsorted(group, group)], groups) > 0
     indent = np.where(varies, _autocorrelation(margins, group, groups), 0.0)
     rhythm = _autocorrelation(lengths, group, groups)
+    punctuated = per(ended.astype(float)) / np.maximum(shown, 1)
+
+    # Delimiters are columns where they recur down the document; where they run down most of
+    # it, or indentation and length are periodic together, they make structure of any words.
+    laid_out = ((indent >= INDENTED) & (rhythm >= RHYTHMIC))[text_of] & (notes == 0)
+    in_columns = (columns & (aligned >= 0.1)) | (aligned >= 0.6)
+    # Labels are structure where the document is laid out: by columns, by a period, or where
+    # most of its lines are labels and its delimiters or lengths recur at least in part.
+    plain = counted & ~columns & ~broken
+    share = lambda v: per((v & plain).astype(float)) / np.maximum(per(plain.astype(float)), 1)
+    labels = share(label)
+    listed = (
+        (alignment >= 0.5) | (indent >= INDENTED) | (rhythm >= RHYTHMIC) & (labels >= 0.25)
+        | (labels >= 0.5) & (share(ended) < 0.4) & ((delimited_lines >= 0.25) | (rhythm >= RHYTHMIC / 2))
+    )
+    structure = counted & (in_columns | broken | laid_out | label & listed[text_of])
+    speech = counted & ~structure
 
-    # Items laid out by indentation and length are structure without any delimiter.
-    laid_out = ((indent >= 0.7) & (rhythm >= 0.5))[text_of] & (notes == 0)
-    for i in np.flatnonzero(laid_out & neutral):
-        laid_out[i] = not _SOUND.match(block.raw(i))
-    # Lines that are neither follow the document where columns or rhythm hold for it.
-    in_mode = np.zeros(lines, bool)
-    in_mode[at] = (signature > 0) & (signature == mode[group]) & (alignment[group] >= 0.5)
-    # Columns that run down most of the document are columns whatever words stand in them.
-    speech &= spoken & ~(in_mode & (alignment >= 0.6)[text_of]) & ~laid_out
-    structure = spoken & ~speech & ~(neutral & ~(in_mode | laid_out))
-
-    per = lambda v, where=at: np.bincount(text_of[where], v[where], groups)
-    ones = np.ones(lines)
-    shown = per(ones)
     structured, spoke = per(structure.astype(float)), per(speech.astype(float))
-    of_structure = np.flatnonzero(structure)
-    column_lines = per(columns.astype(float), of_structure)
-    item_tokens, all_tokens = per(words + numbers, of_structure), per(np.maximum(real, 1), of_structure)
-    random = per(((words > 0) & (real > 1) & (commons == 0) & ended).astype(float), of_structure)
-    share = structured / np.maximum(structured + spoke, 1)
+    within = structure.astype(float)
+    tabled = per(within * (in_columns & (delimiter <= CELLS)))
+    named = per(within * (label | laid_out | (in_columns & (delimiter > CELLS))))
     case = structured > spoke
     body = np.where(
         shown == 0, "empty",
-        np.where(
-            ~case, "prose",
-            np.where(column_lines * 2 > structured, "table",
-                     np.where((item_tokens >= 0.6 * all_tokens) & (random * 2 < structured), "list", "junk")),
-        ),
+        np.where(~case, "prose", np.where(2 * tabled > structured, "table", np.where(2 * named >= structured, "list", "junk"))),
     )
-    word = (kind == WORD) & spoken[line]
-    word_text = block.text[word]
-    n_words = np.bincount(word_text, minlength=groups)
     in_spoken = spoken[line]
+    word_text = block.text[(kind == WORD) & in_spoken]
+    n_words = np.bincount(word_text, minlength=groups)
     spoken_text = block.text[in_spoken]
-    all_chars = np.bincount(spoken_text, chars[in_spoken], groups)
+    of_spoken = lambda c: np.bincount(spoken_text, known[c][in_spoken], groups)
+    usual = np.array([_plain(t) in common for t in distinct], float)[codes] if common and distinct else np.zeros(len(line))
     return [
         shown.astype(np.int64), n_words,
-        np.bincount(word_text, letters[word], groups) / np.maximum(n_words, 1),
-        np.bincount(spoken_text, symbols[in_spoken], groups) / np.maximum(all_chars, 1),
-        per(ended.astype(float)) / np.maximum(shown, 1),
-        np.bincount(word_text, common[word], groups) / np.maximum(n_words, 1),
-        alignment, indent, rhythm, share, body,
+        np.bincount(word_text, known["letters"][(kind == WORD) & in_spoken], groups) / np.maximum(n_words, 1),
+        of_spoken("symbols") / np.maximum(of_spoken("chars"), 1), punctuated,
+        np.bincount(word_text, usual[(kind == WORD) & in_spoken], groups) / np.maximum(n_words, 1),
+        alignment, indent, rhythm, structured / np.maximum(structured + spoke, 1), body,
     ]
 
 
-def _measured(result: pa.Schema):
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into blocks of bounded octets, or of one text."""
+    for batch in batches:
+        sizes, start = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)), 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + BLOCK_OCTETS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _measured(result: pa.Schema, common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < batch.num_rows:
-                before = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, before + BLOCK_OCTETS, "right")))
-                part = batch.slice(start, stop - start)
-                columns = measure(part.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, f[1]) for c, f in zip(columns, FIELDS))], schema=result
-                )
-                start = stop
+        for part in _blocks(batches, 1):
+            columns = measure(part.column(1), common)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(c, f[1]) for c, f in zip(columns, FIELDS))], schema=result
+            )
 
     return run
 
 
-def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and ``FIELDS`` for every row of ``docs``."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, held`` per block: in how many of its texts a spoken word stands."""
+    for part in _blocks(batches, 0):
+        block = _Lines(part.column(0))
+        codes, distinct = block.tokens()
+        named = [_plain(t) for t in distinct]
+        words = sorted({w for w in named if _is_word(w)})
+        place = {w: i for i, w in enumerate(words)}
+        if not words:
+            continue
+        word = np.array([place.get(w, -1) for w in named])[codes]
+        kept = _spoken(block, codes, distinct)[block.line] & (word >= 0)
+        pairs = np.unique(block.text[kept] * len(words) + word[kept])
+        held = np.bincount(pairs % len(words), minlength=len(words))
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in seen]), pa.array(held[seen], pa.int64())], names=["word", "held"])
+
+
+def common_words(docs: DataFrame, text: str, most: int = COMMON_WORDS) -> DataFrame:
+    """``word, documents``: the ``most`` words that stand in the spoken lines of most
+    documents, whatever their languages; ties in order of the words."""
+    counts = docs.filter(F.length(text) > 0).select(text).mapInArrow(_counted, "word string, held long")
+    return counts.groupBy("word").agg(F.sum("held").alias("documents")).orderBy(F.col("documents").desc(), "word").limit(most)
+
+
+def layouts(docs: DataFrame, key: str, text: str, common: frozenset[str] = frozenset()) -> DataFrame:
+    """``key`` and ``FIELDS`` for every row of ``docs``; no words but ``common`` are common."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[key].dataType
     result = pa.schema([pa.field("id", to_arrow_type(kind)), *(pa.field(n, t) for n, t, _ in FIELDS)])
     ddl = ", ".join([f"id {kind.simpleString()}", *(f"{n} {d}" for n, _, d in FIELDS)])
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.mapInArrow(_measured(result), ddl).withColumnRenamed("id", key)
+    return texts.mapInArrow(_measured(result, common), ddl).withColumnRenamed("id", key)
+
+
+def statistics(docs: DataFrame, key: str, text: str, most: int = COMMON_WORDS) -> DataFrame:
+    """``key`` and ``FIELDS`` for every row of ``docs``, common words being those of
+    ``docs`` itself.  They are ``most`` short rows, which the driver hands to the tasks."""
+    common = frozenset(r.word for r in common_words(docs, text, most).collect())
+    return layouts(docs, key, text, common)
 
 
 def not_prose(measured: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -6,8 +7,8 @@ from stelae.llm import text_quality as q
 NAMES = [n for n, _, _ in q.FIELDS]
 
 
-def measured(*texts):
-    columns = q.measure(pa.array(list(texts), pa.string()))
+def measured(*texts, common=frozenset()):
+    columns = q.measure(pa.array(list(texts), pa.string()), common)
     return [dict(zip(NAMES, values)) for values in zip(*columns)]
 
 
@@ -45,11 +46,11 @@ def test_structure_is_no_prose(name):
 
 
 def test_figures():
-    got = measured("1\n00:00:01,000 --> 00:00:02,000\nI am the cat.\nbig dog\n")[0]
+    got = measured("1\n00:00:01,000 --> 00:00:02,000\nI am the cat.\nbig dog\n", common=frozenset({"i", "am", "the"}))[0]
     assert (got["lines"], got["words"]) == (2, 6)
     assert got["mean_word_length"] == pytest.approx((1 + 2 + 3 + 3 + 3 + 3) / 6)
     assert got["punctuated_lines"] == 0.5 and got["symbol_ratio"] == pytest.approx(1 / 16)
-    assert got["common_words"] == pytest.approx(3 / 6)  # "am" is German
+    assert got["common_words"] == pytest.approx(3 / 6)
 
 
 def test_alignment_and_rhythm():
@@ -74,11 +75,11 @@ def test_half_structure_is_prose_and_line_ends_do_not_matter():
 
 
 def test_table(spark, rows):
-    data = [(1, CASES["prose"], "x"), (2, STRUCTURE["csv"], "x"), (2, STRUCTURE["csv"], "x"), (None, STRUCTURE["hex"], "x"), (4, None, "x"), (5, "the " * 300_000, "x")]
+    data = [(1, CASES["prose"], "x"), (2, STRUCTURE["csv"], "x"), (2, STRUCTURE["csv"], "x"), (None, STRUCTURE["hex"], "x"), (4, None, "x"), (5, "the " * 300_000, "x"), (6, " ".join(SPEECH[:2]) * 30_000, "x")]
     df = spark.createDataFrame(data, "doc_id long, text string, lines string")
     found = q.not_prose(q.statistics(df, "doc_id", "text")).select("doc_id")
-    assert rows(found) == [(2,), (2,), (None,)]
-    assert q.statistics(df, "doc_id", "text").count() == 6
+    assert rows(found) == [(2,), (2,), (5,), (None,)]  # one word over and over is junk
+    assert q.statistics(df, "doc_id", "text").count() == 7
     assert q.statistics(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -99,3 +100,55 @@ def test_indented_speech_songs_and_sounds_stay_prose():
     block = "".join(f"    {s}\n" for s in SPEECH * 3)
     sounds = cues(["(wind howling)", "   (a door)"] * 5)
     assert [r["body"] for r in measured(hanging, song, block, sounds)] == ["prose"] * 4
+
+
+# Dialogue of languages that nothing in the module lists.
+DIALOGUE = {
+    "italian": ["Non so dove sia andato tuo fratello.", "Aspetta, vengo con te", "Hai chiuso la porta?", "Non mi ha detto niente della casa", "e poi è sparito."],
+    "portuguese": ["Não sei o que aconteceu ontem.", "Você viu a minha irmã?", "Ela saiu cedo de casa", "e ninguém a viu desde então.", "Vamos embora!"],
+    "polish": ["Nie wiem, gdzie on mieszka.", "Chrząszcz brzmi w trzcinie", "Dlaczego wszyscy milczą?", "Wrócę jutro rano,", "jeśli przestanie padać."],
+    "turkish": ["Kardeşimin nerede olduğunu bilmiyorum.", "Kapıyı neden kapattın?", "Dün akşam eve geç geldi", "ve kimseyle konuşmadı.", "Gidelim artık."],
+    "chinese": ["我不知道他去哪儿了。", "你为什么不告诉我？", "昨天晚上他很晚才回家", "也没有跟任何人说话", "我们走吧！"],
+    "hindi": ["मुझे नहीं पता वह कहाँ गया।", "तुमने दरवाज़ा क्यों बंद किया?", "कल रात वह देर से घर आया", "और किसी से बात नहीं की।", "चलो चलते हैं!"],
+    "finnish": ["En tiedä, minne hän meni.", "Miksi suljit oven?", "Hän tuli eilen myöhään kotiin", "eikä puhunut kenellekään.", "Mennään jo!"],
+    "arabic": ["لا أعرف أين ذهب أخوك.", "لماذا أغلقت الباب؟", "عاد إلى البيت متأخرا ليلة أمس", "ولم يتحدث مع أحد.", "هيا بنا!"],
+    "greek": ["Δεν ξέρω πού πήγε.", "Γιατί έκλεισες την πόρτα;", "Χθες το βράδυ γύρισε αργά", "και δεν μίλησε με κανέναν.", "Πάμε!"],
+}
+
+
+@pytest.mark.parametrize("language", DIALOGUE)
+def test_dialogue_of_any_language_is_prose(language):
+    lines = DIALOGUE[language]
+    assert measured(cues(lines * 3))[0]["body"] == "prose"
+    assert measured(cues(["- " + s for s in lines] * 3))[0]["body"] == "prose"
+
+
+def test_lists_of_any_language_are_lists():
+    assert measured(cues([f"{n}. capitolo nuovo" for n in range(9)]))[0]["body"] == "list"
+    assert measured(cues(["pane, vino, olio, sale", "mele, pere, uva", "riso, farina, burro, latte"] * 3))[0]["body"] in ("list", "table")
+
+
+CHAPTERS = cues(["Part", "Elastic Marginal Membrane"] * 8)
+
+
+def test_every_kind_of_layout_decides(monkeypatch):
+    """Without autocorrelation, or without alignment, verdicts change."""
+    laid_out = "".join(f"The {a}\n    {b}\n" for a, b in ITEMS * 2)
+    bars = cues(["| 1 | seam | 34 |", "| 2 | arch | 56 |"] * 5)
+    fields = cues(["reel one = of the house", "reel two = in the yard", "so far = with my salt"] * 4)
+    texts = [CHAPTERS, laid_out, bars, fields]
+    assert all(r["body"] != "prose" for r in measured(*texts))
+    monkeypatch.setattr(q, "_autocorrelation", lambda values, group, groups, **_: np.zeros(groups))
+    assert [r["body"] == "prose" for r in measured(*texts)] == [True, True, False, False]
+    monkeypatch.undo()
+    monkeypatch.setattr(q, "_recurring", lambda text, delimiter, counted, groups: np.zeros((groups, q.DELIMITERS + 1)))
+    assert [r["body"] == "prose" for r in measured(*texts)] == [False, False, False, True]
+
+
+def test_common_words_are_those_of_the_table(spark, rows):
+    data = [(1, cues(["La casa e la porta", "e poi la strada"])), (2, cues(["la porta e il cane"])), (3, None), (4, ""), (5, cues(["E la nave va"]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(q.common_words(df, "text", 2)) == [("e", 3), ("la", 3)]
+    got = {r.doc_id: r.common_words for r in q.statistics(df, "doc_id", "text", 2).collect()}
+    assert got == {1: pytest.approx(5 / 9), 2: pytest.approx(2 / 5), 3: 0.0, 4: 0.0, 5: pytest.approx(2 / 4)}
+    assert q.common_words(df.limit(0), "text").count() == 0
