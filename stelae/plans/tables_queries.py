@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stelae.operators import change_feed, hierarchy, references
+from stelae.session import Scratch
 from stelae.sources.tables import table
 
-_SUBJECT, _ORDER = ["kind", "id"], ["at_seconds", "seq"]
+_SUBJECT, _ORDER, _STATE = ["kind", "id"], ["at_seconds", "seq"], ["standing", "successor"]
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    return change_feed.latest_changes(
-        table(spark, folder, "publications"), _SUBJECT, _ORDER, ["standing", "successor"]
-    )
+    """The feed in two deliveries: what arrived in the first half of the time becomes the
+    base, and what arrived later, late changes of early times among it, is merged into it."""
+    feed = table(spark, folder, "publications")
+    bounds = feed.agg(F.min("arrived_at").alias("first"), F.max("arrived_at").alias("last")).first()
+    applied = lambda rows, base=None: change_feed.latest_changes(rows, _SUBJECT, _ORDER, _STATE, base=base, identity=["seq"])
+    if bounds.first is None:
+        return applied(feed)
+    early = F.coalesce(F.col("arrived_at") <= F.lit(bounds.first + (bounds.last - bounds.first) / 2), F.lit(False))
+    base = Scratch(spark, "feed").keep(applied(feed.filter(early)), "base")
+    return applied(feed.filter(~early), base)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from stelae.operators.change_feed import latest_changes, present, unrecognised
+from stelae.operators.change_feed import deduplicated, latest_changes, merged, present, unrecognised
 
 SCHEMA = "kind string, id string, op string, at long, seq long, standing string, deleted string, extra string"
 OPS = ["i", "INSERT", "c", "Create", "u", "UPDATE", "d", "Delete", " delete "]
@@ -60,3 +60,23 @@ def test_hot_subject_is_limited_before_its_exchange(spark):
     assert [r.standing for r in latest.collect()] == ["999"]
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_an_identifier_is_applied_once(spark, rows):
+    """A change that comes again with other contents is settled before changes are ranked."""
+    given = [("k", "a", "i", 1, 7, "x", None, None), ("k", "a", "u", 9, 7, "y", None, None), ("k", "a", "d", 5, 8, None, None, None), (None, "b", "i", 1, None, "z", None, None)]
+    df = spark.createDataFrame(given, SCHEMA)
+    once = deduplicated(df, ["kind", "id"], ["seq"], ["at", "seq"], ["standing"])
+    assert rows(once.select("id", "at", "deleted")) == [("a", 5, True), ("a", 9, False), ("b", 1, False)]
+    latest = latest_changes(df, ["kind", "id"], ["at", "seq"], ["standing"], identity=["seq"])
+    assert rows(latest.select("id", "standing")) == [("a", "y"), ("b", "z")]
+
+
+def test_merge_keeps_the_newer_row_and_null_subjects(spark, rows):
+    schema = "kind string, id string, at long, seq long, standing string, deleted boolean"
+    base = spark.createDataFrame([("k", "a", 5, 1, "old", False), (None, None, None, 1, "n", False), ("k", "gone", 9, 9, None, True), ("k", "only", 1, 1, "b", False)], schema)
+    late = spark.createDataFrame([("k", "a", 4, 9, "late", False), (None, None, 0, 0, "m", False), ("k", "gone", 8, 9, "back", False), ("k", "new", None, 1, "c", False)], schema)
+    got = merged(base, late, ["kind", "id"], ["at", "seq"], ["standing"])
+    assert rows(present(got, ["at", "seq"])) == sorted([("k", "a", "old"), (None, None, "m"), ("k", "only", "b"), ("k", "new", "c")], key=repr)
+    assert rows(merged(base.limit(0), late, ["kind", "id"], ["at", "seq"], ["standing"])) == rows(late.select("kind", "id", "at", "seq", "standing", "deleted"))
+    assert rows(merged(base, late.limit(0), ["kind", "id"], ["at", "seq"], ["standing"])) == rows(base)
