@@ -79,10 +79,17 @@ def uncovered(documents: DataFrame, coverage_log: DataFrame, protocol: str) -> D
 
 
 def uncovered_by_protocol(documents: DataFrame, coverage_log: DataFrame) -> DataFrame:
-    """``document, protocol``: held documents without a record, for every protocol of the log."""
-    read = coverage_log.filter(F.col("protocol").isNotNull()).select("document", "protocol").distinct()
-    every = documents.select("document").distinct().crossJoin(read.select("protocol").distinct())
-    return every.join(read, ["document", "protocol"], "left_anti")
+    """``document, protocol``: held documents without a record, for every protocol of the log.
+
+    The log is reduced to one set of protocols per document; what a document lacks of the set
+    of all protocols, a scalar of the plan, is its finding.
+    """
+    told = coverage_log.filter(F.col("protocol").isNotNull())
+    every = told.agg(F.collect_set("protocol").alias("protocols")).scalar()
+    read = told.groupBy("document").agg(F.collect_set("protocol").alias("read"))
+    none = F.array().cast("array<string>")
+    held = documents.select("document").distinct().join(read, "document", "left")
+    return held.select("document", F.explode(F.array_except(every, F.coalesce("read", none))).alias("protocol"))
 
 
 def by_fidelity(passages: DataFrame) -> DataFrame:
