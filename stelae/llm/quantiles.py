@@ -14,11 +14,18 @@ more than ``sqrt(2 * variance * ln(2 / delta))`` with probability at most
 exact, while nothing was compacted.  With ``k = 512`` and ``delta = 1e-6`` it
 stays below 0.02 for any n (``tests/llm/test_quantiles.py``).
 
+Coins.  The bound needs coins that are independent of the values and of each other.
+A sketch tosses them from the name it is made under (seed, step, task, group and
+metric) and the number of its compactions, so no two sketches share coins, equal
+buffers or not, and a task that is repeated gives the same sketch, its values being sorted
+with their groups.  Sketches of several tables that are to be merged take several seeds.
+
 Plan.  Rows are first sorted by group inside their partitions (no shuffle of
 values), every task builds one sketch per group it sees, and only sketches are
 shuffled, so a group with a third of all rows costs a task one bounded row.
-Values are sorted with their groups and coins come from a hash of the buffer, so
-a repeated task gives the same sketch.
+They are merged in two steps: first those of ``FAN_IN`` neighbouring tasks, then the
+results, so that of a group that a million tasks see no task merges more than
+about a thousand sketches.
 
 Cases: nulls are left out and a group of nothing but nulls has no row; a null
 key is a group of its own; ties, zeros and extreme values need no care, values
@@ -36,10 +43,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K = 512
+FAN_IN = 1_024
 DELTA = 1e-6
 _SHRINK = 2 / 3
 _LEAST = 8
@@ -49,22 +57,28 @@ _SKETCH = "metric string, n long, low long, high long, variance double, sizes ar
 class Compactors:
     """One sketch.  ``levels[h]`` holds values of weight 2**h."""
 
-    __slots__ = ("k", "n", "low", "high", "variance", "levels")
+    __slots__ = ("k", "n", "low", "high", "variance", "levels", "name", "tossed")
 
-    def __init__(self, k: int = K):
+    def __init__(self, k: int = K, name: tuple = ()):
         self.k, self.n, self.low, self.high, self.variance = k, 0, None, None, 0.0
+        self.name, self.tossed = repr(name).encode(), 0
         self.levels: list[np.ndarray] = [np.empty(0, np.int64)]
 
     def _capacity(self, height: int) -> int:
         return max(_LEAST, math.ceil(self.k * _SHRINK ** (len(self.levels) - 1 - height)))
 
+    def _coin(self) -> int:
+        """64 coins of this sketch's next compaction."""
+        self.tossed += 1
+        return xxhash.xxh3_64_intdigest(self.name, seed=self.tossed)
+
     def _compact(self) -> None:
         while sum(map(len, self.levels)) > sum(map(self._capacity, range(len(self.levels)))):
             height = next(h for h, level in enumerate(self.levels) if len(level) > self._capacity(h))
             if height + 1 == len(self.levels):
                 self.levels.append(np.empty(0, np.int64))
             ordered = np.sort(self.levels[height], kind="stable")
-            coin = xxhash.xxh3_64_intdigest(ordered.tobytes(), seed=height + 1)
+            coin = self._coin()
             odd = len(ordered) % 2
             if odd:  # one value stays, at one end or the other
                 rest = ordered[:1] if coin & 2 else ordered[-1:]
@@ -180,7 +194,7 @@ _SKETCH_FIELDS = [
 ]
 
 
-def _builder(schema: pa.Schema, keys: int, metrics: list[str], k: int) -> Callable:
+def _builder(schema: pa.Schema, keys: int, metrics: list[str], k: int, seed: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -202,7 +216,7 @@ def _builder(schema: pa.Schema, keys: int, metrics: list[str], k: int) -> Callab
                 key = _key(batch, keys, start)
                 if key != current:
                     close()
-                    current, sketches = key, {m: Compactors(k) for m in metrics}
+                    current, sketches = key, {m: Compactors(k, (seed, 0, part, key, m)) for m in metrics}
                 for metric, v, t in zip(metrics, values, there):
                     part_of = v[start:stop][t[start:stop]]
                     if len(part_of):
@@ -215,27 +229,29 @@ def _builder(schema: pa.Schema, keys: int, metrics: list[str], k: int) -> Callab
     return build
 
 
-def _merger(schema: pa.Schema, keys: int, k: int) -> Callable:
+def _merger(schema: pa.Schema, keys: int, k: int, seed: int, step: int) -> Callable:
+    """One sketch per run of equal keys, metric and part."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, current, sketch = _Out(schema), None, None
+        from pyspark import TaskContext
+
+        task, out, current, sketch = TaskContext.get().partitionId(), _Out(schema), None, None
 
         def close() -> None:
             if sketch is not None:
                 row = sketch.row()
-                out.add((*current, *row, 0), len(row[-1]))
+                out.add((*current[:-1], *row, current[-1]), len(row[-1]))
 
         for batch in batches:
             rest = [batch.column(keys + 1 + i).to_pylist() for i in range(6)]
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(keys + 1))))
+            names = zip(*(batch.column(i).to_pylist() for i in (*range(keys + 1), batch.num_columns - 1)))
             for key, *row in zip(names, *rest):
-                other = Compactors.of_row(k, *row)
-                if key == current:
-                    sketch.merge(other)
-                else:
+                if key != current:
                     close()
-                    current, sketch = key, other
+                    current, sketch = key, Compactors(k, (seed, step, task, key))
                     if out.full():
                         yield out.take()
+                sketch.merge(Compactors.of_row(k, *row))
         close()
         yield out.take()
 
@@ -246,29 +262,35 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
-def merged(sketches: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
-    """One sketch per ``keys`` and metric, from sketches of any finer grouping."""
+def _merge_step(sketches: DataFrame, keys: Sequence[str], part: Column, k: int, seed: int, step: int) -> DataFrame:
     fields = [*_arrow(sketches, keys), *_SKETCH_FIELDS]
-    columns = [*keys, *(f.name for f in _SKETCH_FIELDS)]
-    order = [*keys, "metric", *(c for c in sketches.columns if c not in columns and c not in keys), "part"]
+    columns = [*keys, *(f.name for f in _SKETCH_FIELDS[:-1])]
+    finer = [c for c in sketches.columns if c not in columns and c != "part"]
     return (
-        sketches.repartition(*keys, "metric")
-        .sortWithinPartitions(*order)
-        .select(*columns)
-        .mapInArrow(_merger(pa.schema(fields), len(keys), k), _ddl(sketches, keys) + _SKETCH)
+        sketches.withColumns({"_told": F.col("part"), "part": part.cast("int")})
+        .repartition(*keys, "metric", "part")
+        .sortWithinPartitions(*keys, "metric", "part", *finer, "_told")
+        .select(*columns, "part")
+        .mapInArrow(_merger(pa.schema(fields), len(keys), k, seed, step), _ddl(sketches, keys) + _SKETCH)
     )
 
 
-def sketched(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int = K) -> DataFrame:
+def merged(sketches: DataFrame, keys: Sequence[str], k: int = K, seed: int = 0) -> DataFrame:
+    """One sketch per ``keys`` and metric, from sketches of any finer grouping."""
+    near = _merge_step(sketches, keys, F.floor(F.col("part") / FAN_IN), k, seed, 1 + len(keys) * 2)
+    return _merge_step(near, keys, F.lit(0), k, seed, 2 + len(keys) * 2)
+
+
+def sketched(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int = K, seed: int = 0) -> DataFrame:
     """One sketch per ``keys`` and metric.  The result is an ordinary table: kept
     per day, it is combined later by ``merged``."""
     fields = pa.schema([*_arrow(rows, keys), *_SKETCH_FIELDS])
     partial = (
         rows.select(*keys, *(F.col(m).cast("long") for m in metrics))
         .sortWithinPartitions(*keys, *metrics)
-        .mapInArrow(_builder(fields, len(keys), list(metrics), k), _ddl(rows, keys) + _SKETCH)
+        .mapInArrow(_builder(fields, len(keys), list(metrics), k, seed), _ddl(rows, keys) + _SKETCH)
     )
-    return merged(partial, keys, k)
+    return merged(partial, keys, k, seed)
 
 
 def percentiles(sketches: DataFrame, keys: Sequence[str], ps: dict[str, float], k: int = K, delta: float = DELTA) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stelae.llm import quantiles
 from stelae.llm.quantiles import Compactors, merged, once_each, percentiles, sketched
 
 PS = {"p50": 0.5, "p99": 0.99}
@@ -63,6 +64,41 @@ def test_merge_equals_one_sketch_within_the_bound():
     assert total.row() == before
 
 
+def test_equal_partitions_toss_their_own_coins():
+    """A thousand copies of one partition: their errors do not add up, and a repeat gives the same."""
+    rng = np.random.default_rng(11)
+    part = rng.integers(0, 10**9, 4_000).astype(np.int64)
+
+    def whole(times):
+        total = Compactors(name=("merge",))
+        for n in range(times):
+            one = Compactors(name=("build", n))
+            one.update(part)
+            total.merge(Compactors.of_row(one.k, *one.row()))
+        return total
+
+    total = whole(1_000)
+    values = np.tile(part, 1_000)
+    for p in (0.01, 0.25, 0.5, 0.75, 0.99):
+        assert off(values, total.percentiles([p])[0], p) <= total.rank_error() * total.n + 1
+    assert whole(40).row() == whole(40).row()
+    first, second = Compactors(name=("build", 1)), Compactors(name=("build", 2))
+    first.update(part), second.update(part)
+    assert first.row() != second.row()
+
+
+def test_sketches_are_merged_in_steps(spark, monkeypatch):
+    """No task of the last step sees more sketches of a group than there are groups of tasks."""
+    monkeypatch.setattr(quantiles, "FAN_IN", 4)
+    df = spark.range(0, 64_000, 1, 16).selectExpr("'hot' AS model", "id AS w")
+    sketches = sketched(df, ["model"], ["w"])
+    assert sketches.count() == 1
+    answer = percentiles(sketches, ["model"], PS).first()
+    assert answer.n == 64_000 and abs(answer.p50 - 32_000) <= answer.rank_error * 64_000 + 1
+    near = quantiles._merge_step(sketches.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["model"], F.floor(F.col("part") / 4), quantiles.K, 0, 1)
+    assert sorted(r.part for r in near.collect()) == [0, 1, 2, 3]
+
+
 def test_groups_days_and_the_whole(spark):
     rng = np.random.default_rng(2)
     data = [(m, d, None if rng.random() < 0.1 else int(rng.integers(0, 100)), int(rng.integers(0, 10**12))) for m in ("a", None) for d in range(3) for _ in range(700)]
