@@ -9,15 +9,20 @@ corpus is encoded word by word and every distinct word only once.
    tokenizer itself, since their class may differ there.
 2. *Blocks.*  Texts are hashed into blocks of about ``block_octets`` octets.  The
    distinct words of each block are taken once (``block, word``).
-3. *Distinct words.*  These pairs are brought together by word and every distinct
-   word is encoded once, which gives the table ``block, word, ids``.  A word has
-   one row per block there, however often it is used, so no key is hot.
+3. *Distinct words.*  The words of these pairs, combined on the map side, are encoded
+   once each: the table ``word, ids`` has one row per word.  It is joined back to the
+   pairs, of which a common word has one per block; its side of the join is unique, so
+   adaptive execution splits such a word's pairs over tasks.
 4. *Ids by position.*  Each block meets its own dictionary; words are replaced by
    their ids by position, without a row or a Python object per word.
 
-Nothing is broadcast and nothing but one number, the octets of the corpus,
-reaches the driver.  A task holds one block, or one text where a text is larger
-than a block; texts are never cut.
+Decoding goes the same way back: the distinct ids of every block are joined with the
+table of pieces by id, and each block puts its texts together by position.
+
+Nothing but one number, the size of the corpus, reaches the driver.  The table of pieces is
+as large as the vocabulary, whatever the corpus.  A task holds one block at a time, or one text where a text is larger
+than a block; texts are never cut.  The number of shuffle partitions follows the size of the
+corpus, up to ``MOST_PARTITIONS``; beyond that partitions grow, blocks do not.
 
 Cases: empty and null texts have the empty list of ids (0 tokens); blank texts
 are encoded like others; a null id is kept; repeated rows and repeated ids give
@@ -33,13 +38,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_OCTETS = 4 << 20
-#: Text per shuffle partition, where the session's number of partitions would give more.
-PARTITION_OCTETS = 64 << 20
+#: Text per shuffle partition, and the most partitions of one shuffle.
+PARTITION_OCTETS = 8 << 20
+MOST_PARTITIONS = 50_000
 
 # The pattern of the byte-level vocabularies, with the white space
 # of the tokenizer spelled out because Java's \s is ASCII only.
@@ -117,24 +123,10 @@ def _distinct_words(path: str) -> Callable:
 
 def _encoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``block, word, ids`` once per pair, from pairs sorted by word and block."""
-        tokenizer, word, ids, block = _tokenizer(path), None, [], None
+        """``word, ids`` of every word."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = pc.dictionary_encode(batch.column(1))
-            distinct, blocks = coded.dictionary.to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
-            known = distinct[0] == word  # the run of the batch before goes on
-            lists = [ids] if known else []
-            lists += [e.ids for e in tokenizer.encode_batch(distinct[known:], add_special_tokens=False)]
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            first = np.concatenate([[not known or blocks[0] != block], (at[1:] != at[:-1]) | (blocks[1:] != blocks[:-1])])
-            kept = pa.array(np.flatnonzero(first))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(lists, pa.list_(pa.int32())).take(pa.array(at)).take(kept)],
-                names=["block", "word", "ids"],
-            )
-            word, ids, block = distinct[at[-1]], lists[at[-1]], blocks[-1]
+            coded = _tokenizer(path).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in coded], pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
 
@@ -167,22 +159,16 @@ def _by_position(path: str, ids_wanted: bool, result: pa.Schema) -> Callable:
     return run
 
 
-def _repartitioned(rows: DataFrame, octets: int, column: str) -> DataFrame:
-    """By ``column``, into as many partitions as the session has or the size asks for."""
-    asked = -(-octets // PARTITION_OCTETS)
-    enough = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(asked, column) if asked > enough else rows.repartition(column)
+def _partitions(rows: DataFrame, octets: int, blocks: int) -> int:
+    """Shuffle partitions for texts of ``octets`` in ``blocks``: as many as their size asks for
+    or the session can run at once, never more than there are blocks."""
+    asked = min(-(-octets // PARTITION_OCTETS), MOST_PARTITIONS)
+    return max(1, min(blocks, max(asked, rows.sparkSession.sparkContext.defaultParallelism)))
 
 
-def word_table(pairs: DataFrame, path: str = TOKENIZER, octets: int = 0) -> DataFrame:
-    """``block, word, ids`` of every distinct pair of ``block, word``.
-
-    All rows of a word meet in one task, in order, which encodes it once.  A word
-    has at most one row per block (and batch of it), however often it is used.
-    ``octets`` is about the size of the pairs.
-    """
-    together = _repartitioned(pairs, octets, "word").sortWithinPartitions("word", "block")
-    return together.mapInArrow(_encoder(path), "block int, word string, ids array<int>")
+def word_table(pairs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """``word, ids`` of every distinct word of ``pairs``, each encoded once."""
+    return pairs.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
 
 
 def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int, ids_wanted: bool) -> DataFrame:
@@ -197,12 +183,11 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int,
         content.alias("text"),
         word_octets(content).alias("lengths"),
     )
-    texts = _repartitioned(split, octets, "block")
-    # All columns, though the ids are not needed: with the same columns on both
+    texts = split.repartition(_partitions(docs, octets, blocks), "block")
+    # All columns, though the ids are not needed: with the same columns on all
     # paths the texts are split and shuffled once and the exchange is reused.
-    dictionary = word_table(
-        texts.sortWithinPartitions("block").mapInArrow(_distinct_words(path), "block int, word string"), path, octets // 4
-    )
+    pairs = texts.sortWithinPartitions("block").mapInArrow(_distinct_words(path), "block int, word string")
+    dictionary = pairs.join(word_table(pairs, path), "word").select("block", "word", "ids")
     kind = docs.schema[key].dataType
     out = pa.field("ids", pa.list_(pa.int32())) if ids_wanted else pa.field("tokens", pa.int64())
     result = pa.schema([pa.field("id", to_arrow_type(kind)), out])
@@ -243,16 +228,69 @@ def pieces(path: str = TOKENIZER) -> list[bytes]:
     return table
 
 
-def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER) -> DataFrame:
-    """``key, text``: the inverse of ``encoded``, by a look-up of ids in place of a join.
+def piece_table(spark: SparkSession, path: str = TOKENIZER) -> DataFrame:
+    """``token, piece``: the octets of every piece of the vocabulary."""
+    rows = [(i, bytearray(p)) for i, p in enumerate(pieces(path))]
+    return spark.createDataFrame(rows, "token int, piece binary")
+
+
+def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, token`` once per block and batch, from lists sorted by block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        for start, stop in zip(starts, [*starts[1:], len(blocks)]):
+            ids = np.unique(pc.list_flatten(batch.column(2).slice(int(start), int(stop - start))).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), blocks[start]), pa.int32()), pa.array(ids, pa.int32())], names=["block", "token"])
+
+
+def _put_together(result: pa.Schema) -> Callable:
+    def run(lists: pa.Table, known: pa.Table) -> pa.Table:
+        if not lists.num_rows:
+            return result.empty_table()
+        lists, known = lists.combine_chunks(), known.combine_chunks()
+        ids = lists.column("ids").chunk(0)
+        tokens = pc.list_flatten(ids)
+        at = pc.index_in(tokens, value_set=known.column("token").chunk(0) if known.num_rows else pa.array([], pa.int32()))
+        if at.null_count:
+            raise ValueError("an id has no piece")
+        found = (known.column("piece").chunk(0) if known.num_rows else pa.array([], pa.binary())).take(at).cast(pa.large_binary())
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])]
+        octets = memoryview(data or b"")
+        texts = [bytes(octets[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+        return pa.table([lists.column("id"), pa.array(texts, pa.string())], schema=result)
+
+    return run
+
+
+def decoded(ids: DataFrame, key: str, column: str = "ids", path: str = TOKENIZER, block_octets: int = BLOCK_OCTETS) -> DataFrame:
+    """``key, text``: the inverse of ``encoded``, by a join of ids with pieces.
 
-    The table of pieces is a constant of the plan, indexed by id, so this is a
-    look-up inside generated code: no shuffle, no Python.  Its size is that of the
-    vocabulary, whatever the corpus.  Octets that are no UTF-8 become replacement
-    characters; an empty or null list gives the empty text; an id without a piece
-    fails.
+    The ids of each block of texts, every one once, are joined with the table of pieces
+    by id; the blocks then put their texts together by position.  Octets that are no
+    UTF-8 become replacement characters; an empty or null list gives the empty text; an
+    id without a piece fails.
     """
-    table = F.split(F.lit(",".join(p.hex() for p in pieces(path))), ",", -1)
-    found = F.transform(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda i: F.element_at(table, i + 1))
-    octets = F.unhex(F.array_join(found, ""))
-    return ids.select(key, F.make_valid_utf8(octets.cast("string")).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    tokens = ids.agg(F.sum(F.size(F.coalesce(F.col(column), F.array())))).first()[0] or 0
+    blocks = max(1, -(-4 * tokens // block_octets))
+    lists = ids.select(
+        F.pmod(F.xxhash64(F.col(key), F.col(column)), F.lit(blocks)).cast("int").alias("block"),
+        F.col(key).alias("id"),
+        F.coalesce(F.col(column), F.array().cast("array<int>")).alias("ids"),
+    ).repartition(_partitions(ids, 4 * tokens, blocks), "block")
+    pairs = lists.sortWithinPartitions("block").mapInArrow(_distinct_ids, "block int, token int").distinct()
+    known = pairs.join(piece_table(ids.sparkSession, path), "token")
+    kind = ids.schema[key].dataType
+    result = pa.schema([pa.field("id", to_arrow_type(kind)), pa.field("text", pa.string())])
+    return (
+        lists.groupBy("block")
+        .cogroup(known.groupBy("block"))
+        .applyInArrow(_put_together(result), f"id {kind.simpleString()}, text string")
+        .withColumnRenamed("id", key)
+    )
