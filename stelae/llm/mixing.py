@@ -42,30 +42,33 @@ RANGE_ROWS = 50_000
 def subset_fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length make up the largest total of at most ``budget``.
 
-    Bounded knapsack over sums: each length is taken in bundles of 1, 2, 4, ...
-    and the reachable sums are the bits of one integer per bundle.  It ends as
-    soon as the budget itself is reached.
+    Bounded knapsack over sums: each length is taken in bundles of 1, 2, 4, ...,
+    the reachable sums are the bits of one integer, and of every sum the bundle that
+    reached it first is kept, so the table has one entry per sum however many bundles
+    there are.  It ends as soon as the budget itself is reached.
     """
     taken = [0] * len(lengths)
     if budget <= 0:
         return taken
     mask = (1 << (budget + 1)) - 1
-    reach, states, bundles = 1, [], []
+    reach, bundles, first = 1, [], np.full(budget + 1, -1, np.int64)
     for i, (length, count) in enumerate(zip(lengths, counts)):
         left, bundle = min(count, budget // length if length else 0), 1
         while left > 0 and not reach >> budget & 1:
             some = min(bundle, left)
-            states.append(reach)
+            fresh = (reach << (some * length)) & mask & ~reach
+            sums = np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8)
+            first[np.flatnonzero(np.unpackbits(sums, bitorder="little")[: budget + 1])] = len(bundles)
             bundles.append((i, some))
-            reach |= (reach << (some * length)) & mask
+            reach |= fresh
             left, bundle = left - some, bundle * 2
         if reach >> budget & 1:
             break
     total = reach.bit_length() - 1
-    for before, (i, some) in zip(reversed(states), reversed(bundles)):
-        if not before >> total & 1:
-            taken[i] += some
-            total -= some * lengths[i]
+    while total:  # a sum was first reached from one that an earlier bundle had reached
+        i, some = bundles[first[total]]
+        taken[i] += some
+        total -= some * lengths[i]
     return taken
 
 

@@ -142,6 +142,14 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Does every source keep its cap and its budget, and come within a hundredth of what it can give?"""
+    report = p7_shares(spark, folder)
+    near = F.col("tokens_taken") >= F.least("budget", F.col("max_repeats") * F.col("tokens_held")) * 0.99 - 64
+    kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("tokens_taken") <= F.col("budget")) & near
+    return report.select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats"), "documents_held", kept.alias("kept"))
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality.statistics(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -161,6 +169,7 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_shares": p7_shares,
     "p7_selection": p7_selection,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
@@ -179,5 +188,7 @@ FROM per WHERE v IS NOT NULL GROUP BY ALL""",
     "p3_found": "SELECT DISTINCT document FROM sources WHERE octet_length(content) > 4000",
     "p3_rejoined": """SELECT DISTINCT document, sha256(content) AS digest, true AS kept_limits
 FROM sources WHERE octet_length(content) > 4000""",
+    "p7_kept": """SELECT t.source, t.target_share, t.max_repeats::BIGINT AS max_repeats, count(d.doc_id) AS documents_held, true AS kept
+FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY ALL""",
     "p6_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
 }

@@ -19,6 +19,12 @@ def test_subset_fill_is_optimal():
         assert got == max(s for s in sums if s <= budget)
 
 
+def test_subset_fill_without_a_way_to_the_budget():
+    """All lengths even and an odd budget: every bundle is looked at, and the table stays one entry per sum."""
+    taken = mixing.subset_fill(list(range(2, 402, 2)), [1_000] * 200, 9_999)
+    assert sum(t * n for t, n in zip(taken, range(2, 402, 2))) == 9_998
+
+
 def test_plan_keeps_budget_counts_and_lengths():
     rng = np.random.default_rng(5)
     lengths = np.sort(rng.choice(np.arange(1, 5000), 400, replace=False))
