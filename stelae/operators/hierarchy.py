@@ -3,17 +3,18 @@
 Every node has at most one parent link, so the links form trees that end in a
 node without a link, or run into a cycle.
 
-1. *Partition-local forests.*  Links are hashed by node; each partition builds a
-   weighted disjoint-set forest over its own links (``WeightedForest``) and
-   leaves every node with the root of its local tree and the offset to it.
-2. *Hierarchical merge.*  In each round every unfinished local tree is hung
-   under the tree that holds its root, offsets added, by one equi-join.  The
-   height that a tree covers doubles per round, so a chain of depth d needs
-   about log2(d) rounds and no task ever holds more than its hash partition.
-   Finished nodes leave the working set.
-3. *Cycles.*  If a round finishes no node, none of the rest has an end: if some
-   node had a finite depth, so would its ancestors, and one of them would have
-   finished.  The rest are the nodes on cycles and those that lead there.
+1. *Partition-local forests.*  Each partition of the links builds a weighted
+   disjoint-set forest over its own links (``forest``) and leaves every node with the
+   root of its local tree and the offset to it.
+2. *Hierarchical merge.*  What has to be merged are the *root edges*: the links of nodes
+   that are the root of another partition's tree, each with its own root and offset,
+   one row however many nodes hang below.  While more of them are loose than a task holds
+   (``FOREST_LINKS``), rounds join them with each other, which doubles the height that an edge
+   covers; the rest are merged as one forest of bounded size.  Then every node gets, by one
+   join on its local root, the root and offset of that.
+3. *Cycles.*  A forest finds the cycles among its links and leaves their nodes, and those
+   that lead there, without an end.  If a round settles no edge, none of the rest has an end:
+   if some had a finite depth, so would the edges above it, and one of them would have settled.
 4. *Paths.*  A path is read off by traversing parents by position: nodes are
    indexed by (node, steps) and prefixes double like the rounds above, each the
    concatenation of a node's prefix and that of the node the prefix ends in.
@@ -35,7 +36,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,84 +48,57 @@ from stelae.session import Scratch
 NO_END = -1
 
 
-class WeightedForest:
-    """Disjoint sets over hashable names, each with its offset to its root."""
-
-    def __init__(self) -> None:
-        self.index: dict = {}
-        self.names: list = []
-        self.parent: list[int] = []
-        self.offset: list[int] = []
-        self.endless: set[int] = set()
-
-    def _node(self, name) -> int:
-        at = self.index.get(name)
-        if at is None:
-            at = self.index[name] = len(self.names)
-            self.names.append(name)
-            self.parent.append(at)
-            self.offset.append(0)
-        return at
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """Root and offset of a node; every node on the way then points to the root."""
-        way = []
-        while self.parent[at] != at:
-            way.append(at)
-            at = self.parent[at]
-        beyond = 0
-        for node in reversed(way):
-            beyond += self.offset[node]
-            self.parent[node], self.offset[node] = at, beyond
-        return at, beyond
-
-    def hang(self, child, parent, steps: int = 1) -> None:
-        """Union along a link; ``child`` must have no link yet."""
-        below, above = self._node(child), self._node(parent)
-        root, beyond = self._find(above)
-        if root == below:
-            self.endless.add(below)
-        else:
-            self.parent[below], self.offset[below] = root, beyond + steps
-
-    def root(self, name) -> tuple:
-        """Root's name, offset, and whether the set has no end."""
-        root, beyond = self._find(self.index[name])
-        return self.names[root], beyond, root in self.endless
-
-
+#: Links per forest.  A larger partition has several, which are merged like those of other partitions.
+FOREST_LINKS = 500_000
 _FOREST = "node binary, at binary, steps long, state string"
+OPEN, ENDED, ENDLESS = "open", "ended", "endless"
 
 
-#: Links per local forest; a larger partition has several forests, which the rounds merge like those of other partitions.
-FOREST_LINKS = 500_000
-
+def forest(nodes: pa.Array, parents: pa.Array, steps: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Root, offset to it, and whether there is none, of every node of a set of weighted links.
 
-def _rooted(forest: WeightedForest, nodes: list) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(nodes), 10_000):
-        part = nodes[start : start + 10_000]
-        ends = [forest.root(n) for n in part]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(part, pa.binary()),
-                pa.array([None if e else r for r, _, e in ends], pa.binary()),
-                pa.array([NO_END if e else s for _, s, e in ends], pa.int64()),
-                pa.array(["endless" if e else "open" for _, _, e in ends], pa.string()),
-            ],
-            names=["node", "at", "steps", "state"],
+    Nodes are distinct; a root is a parent without a link in the set.  All nodes follow
+    their pointers at once and then point to where these pointed, so a set is as
+    deep as one after about log2 of its links rounds; what points into the set still, has no end.
+    """
+    count = len(nodes)
+    coded = pc.dictionary_encode(pa.concat_arrays([nodes, parents]))  # nodes are 0 .. count - 1
+    root = np.arange(len(coded.dictionary))
+    root[:count] = coded.indices.to_numpy(zero_copy_only=False)[count:]
+    offset = np.zeros(len(root), np.int64)
+    offset[:count] = steps
+    for _ in range(count.bit_length() + 1):
+        further = root[root]
+        if (further == root).all():
+            break
+        offset += offset[root]
+        root = further
+    endless = root[:count] < count
+    return coded.dictionary.take(pa.array(root[:count])), np.where(endless, NO_END, offset[:count]), endless
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_FOREST`` of ``node, parent, steps``, a forest at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def rooted() -> pa.RecordBatch:
+        links = pa.Table.from_batches(held).combine_chunks()
+        nodes, parents = links.column(0).combine_chunks(), links.column(1).combine_chunks()
+        root, offset, endless = forest(nodes, parents, links.column(2).to_numpy())
+        gone = pa.array(endless)
+        state = pc.if_else(gone, ENDLESS, OPEN)
+        return pa.RecordBatch.from_arrays(
+            [nodes, pc.if_else(gone, pa.scalar(None, pa.binary()), root), pa.array(offset), state], names=["node", "at", "steps", "state"]
         )
 
-
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest, nodes = WeightedForest(), []
     for batch in batches:
-        for node, parent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            forest.hang(node, parent)
-            nodes.append(node)
-        if len(nodes) >= FOREST_LINKS:
-            yield from _rooted(forest, nodes)
-            forest, nodes = WeightedForest(), []
-    yield from _rooted(forest, nodes)
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= FOREST_LINKS:
+            yield rooted()
+            held = []
+    if held:
+        yield rooted()
 
 
 def links_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
@@ -135,48 +111,65 @@ def links_of(rows: DataFrame, node: str, parent: str) -> DataFrame:
     )
 
 
+def _beyond(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """``edges`` with their open ends moved on to where ``targets`` lead; an open end that is
+    no node of ``targets`` has ended."""
+    above = targets.select(
+        F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("state").alias("_state")
+    )
+    done = edges.filter(F.col("state") != OPEN)
+    moved = edges.filter(F.col("state") == OPEN).join(above, "at", "left")
+    return done.unionByName(
+        moved.select(
+            "node",
+            F.when(F.col("_state").isNull(), F.col("at")).otherwise(F.col("_at")).alias("at"),
+            F.when(F.col("_state") == ENDLESS, F.lit(NO_END))
+            .otherwise(F.col("steps") + F.coalesce(F.col("_steps"), F.lit(0)))
+            .cast("long")
+            .alias("steps"),
+            F.coalesce("_state", F.lit(ENDED)).alias("state"),
+        )
+    )
+
+
+def _merged(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Root edges with their final ends."""
+    step, loose = 0, edges.filter(F.col("state") == OPEN).count()
+    while loose > FOREST_LINKS:
+        step += 1
+        edges = scratch.keep(_beyond(edges, edges), f"edges-{step}")
+        left = edges.filter(F.col("state") == OPEN).count()
+        if left == loose:  # all that is left leads to cycles
+            endless = F.col("state") == OPEN
+            return edges.select(
+                "node", F.when(~endless, F.col("at")).alias("at"), F.when(endless, F.lit(NO_END)).otherwise(F.col("steps")).cast("long").alias("steps"),
+                F.when(endless, F.lit(ENDLESS)).otherwise(F.col("state")).alias("state"),
+            )
+        loose = left
+    links = edges.filter(F.col("state") == OPEN).select("node", F.col("at").alias("parent"), "steps")
+    one = scratch.keep(links.repartition(1).mapInArrow(_forests, _FOREST), "merged")  # at most FOREST_LINKS rows
+    settled = edges.filter(F.col("state") != OPEN)
+    return settled.unionByName(_beyond(one, settled))
+
+
 def resolve(links: DataFrame) -> DataFrame:
     """``node, root, depth`` (keys packed) of every node with a link.
 
     ``root`` is null and ``depth`` -1 where the links never end.
     """
     scratch = Scratch(links.sparkSession, "hierarchy")
-    known = scratch.keep(links.repartition("node").mapInArrow(_local_forest, _FOREST), "forest-0")
-    step, unfinished = 0, known.filter(F.col("state") == "open").count()
-    while unfinished:
-        step += 1
-        above = known.select(
-            F.col("node").alias("at"),
-            F.col("at").alias("a_at"),
-            F.col("steps").alias("a_steps"),
-            F.col("state").alias("a_state"),
-        )
-        merged = (
-            known.filter(F.col("state") == "open")
-            .join(above, "at", "left")
-            .select(
-                "node",
-                F.when(F.col("a_state").isNull(), F.col("at")).otherwise(F.col("a_at")).alias("at"),
-                F.when(F.col("a_state") == "endless", F.lit(NO_END))
-                .otherwise(F.col("steps") + F.coalesce(F.col("a_steps"), F.lit(0)))
-                .cast("long")
-                .alias("steps"),
-                F.coalesce("a_state", F.lit("ended")).alias("state"),
-            )
-        )
-        finished = known.filter(F.col("state") != "open")
-        known = scratch.keep(finished.unionByName(merged), f"forest-{step}")
-        scratch.drop(f"forest-{step - 1}")
-        left = known.filter(F.col("state") == "open").count()
-        if left == unfinished:
-            break
-        unfinished = left
-    ended = F.col("state") == "ended"
-    return known.select(
+    weighted = links.select("node", "parent", F.lit(1).cast("long").alias("steps"))
+    known = scratch.keep(weighted.mapInArrow(_forests, _FOREST), "forests")
+    local_roots = known.filter(F.col("state") == OPEN).select(F.col("at").alias("node")).distinct()
+    edges = scratch.keep(known.join(local_roots, "node", "left_semi"), "edges-0")
+    resolved = _beyond(known, _merged(edges, scratch))
+    ended = F.col("state") == ENDED
+    result = resolved.select(
         "node",
         F.when(ended, F.col("at")).alias("root"),
         F.when(ended, F.col("steps")).otherwise(F.lit(NO_END)).cast("long").alias("depth"),
     )
+    return scratch.keep(result, "resolved")
 
 
 def roots(rows: DataFrame, node: str, parent: str) -> DataFrame:

@@ -1,6 +1,11 @@
 import random
 
-from stelae.operators.hierarchy import WeightedForest, all_descendants, all_paths, descendants, paths, roots
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from stelae.operators import hierarchy
+from stelae.operators.hierarchy import all_descendants, all_paths, descendants, paths, roots
 
 
 def walk(links, node):
@@ -63,18 +68,27 @@ def test_odd_rows(spark, rows):
     assert rows(descendants(frame(spark, []), "concept", "successor")) == []
 
 
-def test_weighted_forest_offsets():
+def test_forest_offsets():
     rng = random.Random(1)
     for _ in range(20):
         links = random_links(rng, 50)
-        forest = WeightedForest()
-        for a, b in sorted(links.items(), key=lambda _: rng.random()):
-            forest.hang(a, b)
-        for node in links:
-            path, (root, offset, endless) = walk(links, node), forest.root(node)
-            assert endless == (path is None)
+        weights = {n: rng.randrange(1, 9) for n in links}
+        nodes = sorted(links, key=lambda _: rng.random())
+        root, offset, endless = hierarchy.forest(pa.array([n.encode() for n in nodes], pa.binary()), pa.array([links[n].encode() for n in nodes], pa.binary()), np.array([weights[n] for n in nodes]))
+        for node, r, o, e in zip(nodes, root.to_pylist(), offset, endless):
+            path = walk(links, node)
+            assert e == (path is None)
             if path:
-                assert (root, offset) == (path[-1], len(path) - 1)
+                assert (r.decode(), o) == (path[-1], sum(weights[n] for n in path[:-1]))
+
+
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_root_edges_beyond_one_forest(spark, rows, monkeypatch, most):
+    """Forests of few links: rounds over root edges until the rest is one forest, cycles among them."""
+    monkeypatch.setattr(hierarchy, "FOREST_LINKS", most)
+    chain = {f"c{i}": f"c{i + 1}" for i in range(60)} | {f"r{i}": f"r{(i + 1) % 9}" for i in range(9)} | {f"to{i}": f"r{i % 9}" for i in range(20)}
+    for links in (chain, random_links(random.Random(5), 80)):
+        assert rows(roots(given(spark, links), "concept", "successor")) == expected(links)
 
 
 def walked(links, node):
