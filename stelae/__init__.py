@@ -6,3 +6,5 @@ writers, ``plans`` the registered queries, ``streaming`` the live variants and
 ``llm`` the operators for preparing training text.  Nothing outside ``llm``
 imports it.
 """
+
+__version__ = "0.2.0"

@@ -26,11 +26,12 @@ STATEMENTS = (
 )
 
 
-def normal(statements: DataFrame) -> DataFrame:
-    """Proposals in normal form; ``complete`` is false where a half is empty."""
+def normal(statements: DataFrame, *further: str) -> DataFrame:
+    """Proposals in normal form, with ``further`` columns as they are; ``complete`` is false
+    where a half is empty."""
     half = lambda c: normalized(F.coalesce(c, F.lit(""))).alias(c)
     return statements.select(
-        "run", "document", half("scope"), "passage", "ordinal", half("concept_name"), half("claim_text")
+        "run", "document", half("scope"), "passage", "ordinal", half("concept_name"), half("claim_text"), *further
     ).withColumn("complete", (F.col("concept_name") != "") & (F.col("claim_text") != ""))
 
 
@@ -45,10 +46,10 @@ def _identified(proposals: DataFrame) -> DataFrame:
     )
 
 
-def linked(statements: DataFrame) -> DataFrame:
+def linked(statements: DataFrame, *further: str) -> DataFrame:
     """Proposals with their identities.  A claim hangs on the concept its own proposal
     names."""
-    return _identified(normal(statements))
+    return _identified(normal(statements, *further))
 
 
 def _position():
@@ -73,16 +74,20 @@ def concepts(links: DataFrame) -> DataFrame:
     )
 
 
-def coverage(found, readings):
-    """Coverage of a reading: no reading at all is unmet, else it looked."""
-    return F.when(readings == 0, F.lit(UNMET)).otherwise(coverage_of_run(found))
+def coverage(found, readings, refusal=None):
+    """Coverage of a reading: a refusal and no reading at all are unmet, else it looked, and
+    a reading that found nothing is barren."""
+    unmet = readings == 0 if refusal is None else (readings == 0) | refusal.isNotNull()
+    return F.when(unmet, F.lit(UNMET)).otherwise(coverage_of_run(found))
 
 
 def report(statements: DataFrame, runs: DataFrame | None = None, known: KnowledgeGraph | None = None) -> DataFrame:
     """One row per run: coverage, distinct concepts, claims and citations, and what
     was refused, repeated, merged or closed.
 
-    ``runs`` (``run, document``) adds runs whose reader returned nothing.
+    ``runs`` (``run, document``) adds runs without statements.  With ``readings``,
+    ``refusal`` and ``needs`` (``reading.examined``) those decide the coverage of every run and are reported; without, a
+    run without statements is one whose reader returned no reading.
     ``closed`` counts admitted concepts that ``known`` holds closed.
 
     Equal normal texts have equal identities, so everything is counted on the texts,
@@ -114,7 +119,11 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
     )
     counts = ["proposals", "refused", "citations", "repeated", "claims", "concepts", "merged", "closed"]
     if runs is not None:
-        counted = runs.select("run", "document").join(counted, ["run", "document"], "left").na.fill(0, counts)
+        told = [c for c in ("readings", "refusal", "needs") if c in runs.columns]
+        counted = runs.select("run", "document", *told).join(counted, ["run", "document"], "left").na.fill(0, counts)
+        if "readings" in told:
+            refusal = F.col("refusal") if "refusal" in told else None
+            return counted.withColumn("coverage", coverage(F.col("citations"), F.col("readings"), refusal)).drop("_last")
     readings = F.when(F.col("_last").isNull(), F.lit(0)).otherwise(F.lit(1))
     return counted.withColumn("coverage", coverage(F.col("citations"), readings)).drop("_last")
 

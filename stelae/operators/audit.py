@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stelae.functions.values import SKIPPED, UNMET
-from stelae.operators.graph import ASSERTED, SUPERSEDED, _identified
+from stelae.operators.graph import ASSERTED, SUPERSEDED, identified
 from stelae.operators.ordered import previous
 from stelae.session import Scratch
 
@@ -45,7 +45,7 @@ def merges(log: DataFrame) -> DataFrame:
     Standings as of a position are the last ones before it, of the concept itself
     and, asked among the successor's own records, of the successor.
     """
-    concepts = _identified(log.filter(F.col("kind") == "concept")).select("seq", "id", "standing", "successor", "because")
+    concepts = identified(log.filter(F.col("kind") == "concept")).select("seq", "id", "standing", "successor", "because")
     before = previous(concepts, "id", "seq", F.col("standing"), "before")
     acts = before.filter(F.col("standing") == SUPERSEDED)
     told = concepts.select("id", "seq", "standing", F.lit(False).alias("asks"))
@@ -104,68 +104,89 @@ def by_fidelity(passages: DataFrame) -> DataFrame:
 
 
 def stale(derived: DataFrame, now: DataFrame) -> DataFrame:
-    """``artifact, status`` of derived artifacts.
+    """``artifact, status, path`` of derived artifacts.
 
     ``derived``: ``artifact, input, identity_then``; ``now``: ``input, identity_now``.
     ``unsupported`` if an input is gone, else ``stale`` if an input has changed,
     else ``propagated`` if an input is itself an artifact that is not sound, else
-    ``sound``.  Unsoundness is passed on along inputs in rounds, each written, and
+    ``sound``.  ``path`` says why, from the artifact to where the cause lies: of a direct
+    case the least input that is gone or has changed, of a propagated one the artifacts on a
+    shortest way to such an input, the least of equally short ones.  Unsoundness is passed on
+    along inputs in rounds, each written, and
     each round looks only at what the last one found.
     """
+    missing, moved = F.col("identity_now").isNull(), F.col("identity_now") != F.col("identity_then")
     direct = (
         derived.join(now.select("input", "identity_now"), "input", "left")
         .groupBy("artifact")
-        .agg(
-            F.max(F.col("identity_now").isNull().cast("int")).alias("gone"),
-            F.max((F.col("identity_now") != F.col("identity_then")).cast("int")).alias("changed"),
-        )
+        .agg(F.min(F.when(missing, F.col("input"))).alias("gone"), F.min(F.when(moved, F.col("input"))).alias("changed"))
         .select(
             "artifact",
-            F.when(F.col("gone") == 1, F.lit("unsupported"))
-            .when(F.coalesce("changed", F.lit(0)) == 1, F.lit("stale"))
+            F.when(F.col("gone").isNotNull(), F.lit("unsupported"))
+            .when(F.col("changed").isNotNull(), F.lit("stale"))
             .otherwise(F.lit("sound"))
             .alias("status"),
+            F.coalesce("gone", "changed").alias("cause"),
         )
     )
     scratch = Scratch(derived.sparkSession, "stale")
     status = scratch.keep(direct, "direct")
-    unsound = status.filter(F.col("status") != "sound").select("artifact")
-    frontier, known, step = unsound, unsound, 0
+    way = status.filter(F.col("status") != "sound").select("artifact", F.array("artifact", "cause").alias("path"))
+    frontier, known, step = way, way, 0
     edges = derived.select("artifact", "input").distinct()
     while True:
         step += 1
         reached = (
-            edges.join(frontier.select(F.col("artifact").alias("input")), "input", "left_semi")
-            .select("artifact")
-            .distinct()
-            .join(known, "artifact", "left_anti")
+            edges.join(frontier.select(F.col("artifact").alias("input"), F.col("path").alias("_on")), "input")
+            .groupBy("artifact")
+            .agg(F.min("_on").alias("_on"))
+            .join(known.select("artifact"), "artifact", "left_anti")
+            .select("artifact", F.concat(F.array("artifact"), "_on").alias("path"))
         )
         frontier = scratch.keep(reached, f"reached-{step}")
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-    passed = known.select("artifact", F.lit(1).alias("_hit"))
-    return status.join(passed, "artifact", "left").select(
+    passed = status.join(known, "artifact", "left")
+    return passed.select(
         "artifact",
-        F.when((F.col("status") == "sound") & F.col("_hit").isNotNull(), F.lit("propagated")).otherwise(F.col("status")).alias("status"),
+        F.when((F.col("status") == "sound") & F.col("path").isNotNull(), F.lit("propagated")).otherwise(F.col("status")).alias("status"),
+        F.coalesce("path", F.array().cast("array<string>")).alias("path"),
     )
 
 
-def closes_cycle(derived: DataFrame, artifact: str, inputs: list[str]) -> bool:
-    """Whether deriving ``artifact`` from ``inputs`` would make it its own ancestor:
-    the write path asks this before it appends."""
-    spark = derived.sparkSession
-    scratch, step = Scratch(spark, "cycle"), 0
-    frontier = spark.createDataFrame([(i,) for i in inputs], "node string")
-    seen = frontier
+def refused_cycles(derived: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``artifact`` of the proposed derivations (``artifact, input``) that would make an artifact
+    its own ancestor, alone or together with the others: the write path appends none of these.
+
+    Ancestors are followed from the proposed inputs in rounds over what is held and proposed,
+    each round from what the last one found, each written.
+    """
+    edges = derived.select("artifact", "input").unionByName(proposed.select("artifact", "input")).distinct()
+    scratch, step = Scratch(derived.sparkSession, "cycle"), 0
+    seen = scratch.keep(proposed.select("artifact", "input").distinct(), "up-0")
+    frontier = seen
     while not frontier.isEmpty():
-        if not frontier.filter(F.col("node") == artifact).isEmpty():
-            return True
         step += 1
-        above = derived.join(frontier.select(F.col("node").alias("artifact")), "artifact", "left_semi")
-        frontier = scratch.keep(above.select(F.col("input").alias("node")).distinct().join(seen, "node", "left_anti"), f"up-{step}")
+        above = frontier.select(F.col("artifact").alias("_low"), F.col("input").alias("artifact")).join(edges, "artifact")
+        further = above.select(F.col("_low").alias("artifact"), "input").distinct()
+        frontier = scratch.keep(further.join(seen, ["artifact", "input"], "left_anti"), f"up-{step}")
         seen = seen.unionByName(frontier)
-    return False
+    return seen.filter(F.col("artifact") == F.col("input")).select("artifact").distinct()
+
+
+def derive(derived: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The write path of derivations (``artifact, input, identity_then``): the log with what is
+    accepted appended, and the artifacts refused because they would close a cycle."""
+    refused = refused_cycles(derived, proposed)
+    fine = proposed.join(refused, "artifact", "left_anti")
+    return derived.unionByName(fine.select(*derived.columns)), refused
+
+
+def closes_cycle(derived: DataFrame, artifact: str, inputs: list[str]) -> bool:
+    """Whether deriving ``artifact`` from ``inputs`` would make it its own ancestor."""
+    asked = derived.sparkSession.createDataFrame([(artifact, i) for i in inputs], "artifact string, input string")
+    return not refused_cycles(derived, asked).isEmpty()
 
 
 def failed_run(documents: DataFrame, readings: DataFrame) -> DataFrame:

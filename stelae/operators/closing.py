@@ -19,6 +19,7 @@ NOT_HELD = "nothing published a concept named %s to close"
 CLOSED_ALREADY = "a concept named %s is already %s"
 ITSELF = "a concept cannot supersede itself"
 SUCCESSOR_NOT_HELD = "nothing published a concept named %s to merge into"
+NOT_HELD_TO_REOPEN, CURRENT_ALREADY = "nothing published a concept named %s to reopen", "a concept named %s is current"
 
 CLOSINGS = "name string, into string, because string, merging boolean"
 
@@ -70,15 +71,12 @@ def verdicts(closings: DataFrame, graph: KnowledgeGraph) -> DataFrame:
 
 
 def publications(judged: DataFrame, next_seq: int, at: int | None) -> DataFrame:
-    """The log rows of accepted closings, numbered from ``next_seq`` by name.
+    """The log rows of accepted closings, numbered from ``next_seq`` by name."""
+    from stelae.sources.record_log import with_positions
 
-    Closings of one batch are few (a person's acts), so one window numbers them.
-    """
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy("name")) + F.lit(next_seq - 1)
-    return judged.filter(F.col("refusal").isNull()).select(
-        number.cast("long").alias("seq"),
+    numbered = with_positions(judged.filter(F.col("refusal").isNull()), ["name", "successor", "reason"])
+    return numbered.select(
+        (F.col("position") + F.lit(next_seq - 1)).cast("long").alias("seq"),
         F.lit("concept").alias("kind"),
         F.when(F.coalesce("merging", F.lit(False)), F.lit(SUPERSEDED)).otherwise(F.lit(RETIRED)).alias("standing"),
         F.coalesce("successor", F.lit("")).alias("successor"),
@@ -99,17 +97,19 @@ def reopenings(asked: DataFrame, graph: KnowledgeGraph) -> DataFrame:
     named = asked.withColumns({"concept": concept_identity(F.col("name")), "reason": normalized(F.coalesce("because", F.lit("")))})
     refusal = (
         F.when(F.col("reason") == "", F.lit("a reason is required"))
-        .when(F.col("_current").isNull(), F.concat(F.lit("nothing published a concept named "), "name", F.lit(" to reopen")))
-        .when(F.col("_current"), F.concat(F.lit("a concept named "), "name", F.lit(" is current")))
+        .when(F.col("_current").isNull(), F.format_string(NOT_HELD_TO_REOPEN, "name"))
+        .when(F.col("_current"), F.format_string(CURRENT_ALREADY, "name"))
     )
     return named.join(held, "concept", "left").select("name", "concept", "reason", refusal.alias("refusal"))
 
 
-def reopened(judged: DataFrame, seq: int, at: int | None) -> DataFrame:
-    """The log row of one accepted reopening."""
+def reopened(judged: DataFrame, next_seq: int, at: int | None) -> DataFrame:
+    """The log rows of accepted reopenings, numbered from ``next_seq`` by name."""
+    from stelae.sources.record_log import with_positions
+
     empty = F.lit("")
-    return judged.filter(F.col("refusal").isNull()).select(
-        F.lit(seq).cast("long").alias("seq"), F.lit("concept").alias("kind"), F.lit(REOPENED).alias("standing"),
+    return with_positions(judged.filter(F.col("refusal").isNull()), ["name", "reason"]).select(
+        (F.col("position") + F.lit(next_seq - 1)).cast("long").alias("seq"), F.lit("concept").alias("kind"), F.lit(REOPENED).alias("standing"),
         empty.alias("successor"), F.col("reason").alias("because"), empty.alias("ref"), F.col("name").alias("text"),
         empty.alias("source"), empty.alias("scope"), F.lit(at).cast("long").alias("at"),
     )

@@ -23,6 +23,7 @@ from stelae.functions.identity import (
 )
 from stelae.functions.normalize import normalized
 from stelae.functions.values import fields_of, joined, parsed_time
+from stelae.session import Scratch
 
 LOG = (
     "seq long, kind string, standing string, successor string, because string, "
@@ -86,8 +87,11 @@ def parsed(records: DataFrame) -> DataFrame:
     )
 
 
-def _identified(log: DataFrame) -> DataFrame:
-    """The log with each record's derived ``id``, null where it has no address."""
+def identified(log: DataFrame) -> DataFrame:
+    """The log with each record's derived ``id``, null where it has no address; a log that
+    has it already is left as it is."""
+    if "id" in log.columns:
+        return log
     ref = F.when(is_identity(F.col("ref")), F.col("ref"))
     text, source, scope = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "scope"))
     return log.withColumn(
@@ -108,21 +112,25 @@ def _legal_standing(reopening: bool) -> Column:
     )
 
 
-def violations(log: DataFrame, reopening: bool = False) -> DataFrame:
+def first_positions(log: DataFrame) -> DataFrame:
+    """``kind, ref, first``: where each identity was first published, under the kind of record
+    that may refer to it."""
+    rows = identified(log).filter(F.col("kind").isin("concept", "claim") & F.col("id").isNotNull())
+    refers = F.when(F.col("kind") == "concept", "claim").otherwise("assertion").alias("kind")
+    return rows.groupBy(refers, F.col("id").alias("ref")).agg(F.min("seq").alias("first"))
+
+
+def violations(log: DataFrame, reopening: bool = False, earlier: DataFrame | None = None) -> DataFrame:
     """``seq, kind, error, detail`` of every record that a replay refuses.
 
+    ``earlier`` are the ``first_positions`` of a log that ``log`` goes on from.
     ``reopening`` admits the standing of reopened concepts.  Per record the shape counts first, then the address, then whether the parent
     was published before (at any standing), then the standing.
     """
-    rows = _identified(log)
-    parents = (
-        rows.filter(F.col("kind").isin("concept", "claim") & F.col("id").isNotNull())
-        .groupBy(
-            F.when(F.col("kind") == "concept", "claim").otherwise("assertion").alias("kind"),
-            F.col("id").alias("ref"),
-        )
-        .agg(F.min("seq").alias("first"))
-    )
+    rows = identified(log)
+    parents = first_positions(rows)
+    if earlier is not None:
+        parents = parents.unionByName(earlier).groupBy("kind", "ref").agg(F.min("first").alias("first"))
     shaped = F.col("shaped") if "shaped" in log.columns else F.col("kind").isin(*ARITY)
     child = F.col("kind").isin("claim", "assertion")
     error = (
@@ -162,7 +170,7 @@ class ReplayRefused(ValueError):
 def latest(log: DataFrame, kind: str) -> DataFrame:
     """The last version of every identity of ``kind``: ``id``, its fields, its
     standing and its ``seq`` and ``at``."""
-    rows = _identified(log.filter(F.col("kind") == kind)).filter(F.col("id").isNotNull())
+    rows = identified(log.filter(F.col("kind") == kind)).filter(F.col("id").isNotNull())
     last = Window.partitionBy("id").orderBy(F.col("seq").desc())
     return rows.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") == 1).drop("_rank", "kind")
 
@@ -198,7 +206,9 @@ class KnowledgeGraph:
 
     @classmethod
     def replayed(cls, log: DataFrame, reopening: bool = False) -> KnowledgeGraph:
-        """The graph of a log, refused as a whole at its first bad record."""
+        """The graph of a log, refused as a whole at its first bad record.  Identities are
+        derived once, for the check and the fold."""
+        log = Scratch(log.sparkSession, "replay").keep(identified(log), "identified")
         bad = first_violation(log, reopening).collect()
         if bad:
             raise ReplayRefused(f"publication {bad[0].seq}: {bad[0].error} ({bad[0].detail})")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stelae.operators.graph import KnowledgeGraph
+from stelae.operators.graph import ARITY, KnowledgeGraph, identified, is_current, violations
+
+COUNTS = ("concepts", "claims", "citations", "held")
+# Fixed value: how a question that the log cannot answer is refused.
+UNTIMED = "nothing in this log carries a time, so as of {} cannot be answered"
 
 
 class HistoryRefused(ValueError):
@@ -35,7 +39,7 @@ def as_of(log: DataFrame, seconds: int) -> DataFrame:
         F.count("at").alias("timed"), F.min(F.when(F.col("at") > seconds, F.col("seq"))).alias("cut")
     ).first()
     if not bounds.timed:
-        raise HistoryRefused(f"nothing in this log carries a time, so as of {seconds} cannot be answered")
+        raise HistoryRefused(UNTIMED.format(seconds))
     return log if bounds.cut is None else log.filter(F.col("seq") < bounds.cut)
 
 
@@ -52,8 +56,35 @@ def counts(prefix: DataFrame) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    names = ["concepts", "claims", "citations", "held"]
-    return rows.agg(*(F.count(F.when(F.col("what") == n, 1)).alias(n) for n in names))
+    return rows.agg(*(F.count(F.when(F.col("what") == n, 1)).alias(n) for n in COUNTS))
+
+
+def replay(log: DataFrame, reopening: bool = False) -> DataFrame:
+    """One row for a whole log: its first bad record (``refused_at``, ``error``), or null there
+    and the counts of its graph.
+
+    The records are grouped by identity once: the group's first position is what its
+    children must come after, its last version is what is held.
+    """
+    rows = identified(log)
+    state = rows.filter(F.col("id").isNotNull() & F.col("kind").isin(*ARITY)).groupBy("kind", "id").agg(
+        F.max_by(F.struct("ref", "standing"), "seq").alias("last")
+    )
+    live = state.filter(is_current(F.col("last.standing")))
+    alive = lambda kind: live.filter(F.col("kind") == kind)
+    concepts = alive("concept").select(F.col("id").alias("concept"))
+    claims = alive("claim").select(F.col("id").alias("claim"), F.col("last.ref").alias("concept")).join(concepts, "concept", "left_semi")
+    cited = alive("assertion").select(F.col("last.ref").alias("claim")).join(claims.select("claim"), "claim", "left_semi")
+    one = lambda frame, what: frame.select(F.lit(what).alias("what"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("error"))
+    bad = violations(rows, reopening).select(F.lit("bad").alias("what"), "seq", "error")
+    parts = one(concepts, "concepts").unionByName(one(claims, "claims")).unionByName(one(cited, "citations"))
+    parts = parts.unionByName(one(state.filter("kind = 'concept'"), "held")).unionByName(bad)
+    first = F.min(F.when(F.col("what") == "bad", F.struct("seq", "error"))).alias("_first")
+    counted = parts.agg(*(F.count(F.when(F.col("what") == n, 1)).alias(n) for n in COUNTS), first)
+    good = F.col("_first").isNull()
+    return counted.select(
+        *(F.when(good, F.col(n)).alias(n) for n in COUNTS), F.col("_first.seq").alias("refused_at"), F.col("_first.error").alias("error")
+    )
 
 
 def timeline(log: DataFrame) -> DataFrame:

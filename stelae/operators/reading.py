@@ -7,12 +7,15 @@ model from a task that may run twice; ``read_with`` is the door for readers that
 are functions of the text.
 
 Readings: ``document, passage, location, protocol, reader`` and ``proposed``, an
-array of ``concept_name, claim_text``.  Refusals: ``document, refusal, needs``.
+array of ``concept_name, claim_text``; where a reader names its document itself,
+``asked`` is the one it was handed.  Refusals: ``document, refusal, needs``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,41 @@ ROLE = "extractor"
 TEXT, VISUAL = "text", "visual"
 OUTCOMES = ("answered", "malformed", "abandoned", "budget-exhausted")
 #: What each refusal lacks.
+CANNOT_READ, NOT_READ, READER_FAILED = "cannot read", "not read", "reader failed"
 PREREQUISITES = {
-    "cannot read": "a reading this extractor cannot do",
-    "not read": "a reader",
-    "reader failed": "an answer from the reader",
+    CANNOT_READ: "a reading this extractor cannot do",
+    NOT_READ: "a reader",
+    READER_FAILED: "an answer from the reader",
+}
+NO_READING = "the reader returned no reading"
+#: The shape an answer must have; a request carries it and ``answer_fault`` checks it.
+ANSWER_SCHEMA = {
+    "title": "propositions",
+    "type": "array",
+    "maxItems": MOST_PROPOSITIONS,
+    "items": {
+        "type": "object",
+        "properties": {"concept": {"type": "string"}, "claim": {"type": "string"}},
+        "required": ["concept", "claim"],
+    },
 }
 PROPOSED = "array<struct<concept_name:string,claim_text:string>>"
 READINGS = f"document string, passage int, location string, protocol string, reader string, proposed {PROPOSED}"
+#: What a reader gave for each document it was handed: readings, or a refusal.
+ANSWERS = f"asked string, {READINGS}, refusal string"
+
+
+class CannotRead(ValueError):
+    """A reader raises this for a source that is not of a kind it reads."""
+
+
+class Reading(NamedTuple):
+    """What a reader proposes of one passage: the document it read, where, and pairs of
+    concept and claim in order."""
+
+    document: str
+    location: str
+    proposed: list[tuple[str, str]]
 
 
 def needs(refusal: Column) -> Column:
@@ -76,13 +107,27 @@ def fingerprint(model: str, instructions: str, passage: Column) -> Column:
     )
 
 
-def protocol_identity(instructions: str, schema: str) -> Column:
-    """Version of a protocol: its instructions, schema and bounds, not its model."""
+def requests(parts: DataFrame, model: str, instructions: str) -> DataFrame:
+    """``document, passage, fingerprint, request``: what is asked of every readable passage,
+    one block of content each."""
+    return parts.filter("readable").select(
+        "document", "passage", fingerprint(model, instructions, F.col("text")).alias("fingerprint"),
+        F.struct(
+            F.lit(model).alias("model"), F.lit(ROLE).alias("role"), F.lit(instructions).alias("instructions"),
+            F.lit(json.dumps(ANSWER_SCHEMA)).alias("schema"), F.lit(OUTPUT_TOKENS).alias("output_tokens"), F.col("text").alias("content"),
+        ).alias("request"),
+    )
+
+
+def protocol_identity(instructions: str, schema: str | None = None) -> Column:
+    """Version of a protocol: its instructions, schema and budgets, not its model."""
     return (
         Derivation("protocol")
         .text("instructions", F.lit(instructions))
-        .text("schema", F.lit(schema))
+        .text("schema", F.lit(json.dumps(ANSWER_SCHEMA) if schema is None else schema))
         .text("most", F.lit(str(MOST_PROPOSITIONS)))
+        .text("tokens", F.lit(str(OUTPUT_TOKENS)))
+        .text("passage", F.lit(str(PASSAGE_CHARACTERS)))
         .excluding("model", "another model under one protocol is comparable")
         .seal()
     )
@@ -122,16 +167,21 @@ def propositions(answer: Column) -> Column:
     )
 
 
-def recorded_readings(parts: DataFrame, recordings: DataFrame, model: str, instructions: str, protocol: str) -> tuple[DataFrame, DataFrame]:
+def recorded_readings(
+    parts: DataFrame, recordings: DataFrame, model: str, instructions: str, protocol: str, needed: str = TEXT
+) -> tuple[DataFrame, DataFrame]:
     """Readings and refusals from recorded answers (``fingerprint, answer``).
 
     One passage that cannot be read, or has no or a malformed answer, refuses its
-    whole document.
+    whole document.  Answers to text requests are no visual reading: where one is
+    ``needed`` nothing can be read.
     """
+    if needed != TEXT:
+        parts = parts.withColumn("readable", F.lit(False))
     asked = parts.withColumn("fingerprint", fingerprint(model, instructions, F.coalesce("text", F.lit(""))))
     answered = asked.join(recordings.select("fingerprint", "answer"), "fingerprint", "left").withColumn(
         "fault",
-        F.when(~F.col("readable"), F.lit("cannot read")).when(answer_fault(F.col("answer")).isNotNull(), F.lit("reader failed")),
+        F.when(~F.col("readable"), F.lit(CANNOT_READ)).when(answer_fault(F.col("answer")).isNotNull(), F.lit(READER_FAILED)),
     )
     worst = answered.groupBy("document").agg(F.min("fault").alias("refusal"))
     kept = answered.join(worst.filter(F.col("refusal").isNull()).select("document"), "document", "left_semi")
@@ -159,30 +209,96 @@ def stated_readings(said: DataFrame, protocol: str = "stated", reader: str = "a
     )
 
 
-def read_with(reader: Callable[[str, bytes], list[tuple[str, str]]], documents: DataFrame, protocol: str, name: str) -> DataFrame:
-    """Readings by a Python function of a document's address and octets, batch by
-    batch.  The function must give the same answer when it is asked twice."""
+def read_with(
+    reader: Callable[[str, bytes, str], list[Reading]], documents: DataFrame, protocol: str, name: str, needed: str = TEXT
+) -> DataFrame:
+    """``ANSWERS`` of a Python function of a document's address, its octets and the kind of
+    reading needed, batch by batch: one row per reading, or one with a refusal.
+
+    ``CannotRead`` and any other exception of the reader refuse that document and no
+    other.  The function must give the same answer when it is asked twice.
+    """
+
+    def rows(document: str, content: bytes) -> list[tuple]:
+        try:
+            found = [Reading(*r) for r in reader(document, bytes(content), needed)]
+            pairs = [[{"concept_name": c, "claim_text": t} for c, t in r.proposed] for r in found]
+        except CannotRead:
+            return [(document, document, None, None, protocol, name, None, CANNOT_READ)]
+        except Exception:  # whatever a reader does, it is a fact about one source
+            return [(document, document, None, None, protocol, name, None, READER_FAILED)]
+        return [(document, r.document, n, r.location, protocol, name, p, None) for n, (r, p) in enumerate(zip(found, pairs), 1)]
+
+    columns = [c.split()[0] for c in ANSWERS.replace(PROPOSED, "x").split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            proposed = [
-                [{"concept_name": c, "claim_text": t} for c, t in reader(d, bytes(o))]
-                for d, o in zip(frame["document"], frame["content"])
-            ]
-            yield pd.DataFrame({
-                "document": frame["document"], "passage": 1, "location": "pages 1 to 1 of the text",
-                "protocol": protocol, "reader": name, "proposed": proposed,
-            })
+            answered = [r for d, o in zip(frame["document"], frame["content"]) for r in rows(d, o)]
+            out = pd.DataFrame(answered, columns=columns)
+            yield out.astype({"passage": "Int32"})
+
+    return documents.select("document", "content").mapInPandas(run, ANSWERS)
+
 
-    return documents.select("document", "content").mapInPandas(run, READINGS)
+def answered(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings (with ``asked``) and refusals of ``ANSWERS``."""
+    given = answers.filter("refusal IS NULL").drop("refusal")
+    refused = answers.filter("refusal IS NOT NULL").select(F.col("asked").alias("document"), "refusal")
+    return given, refused.distinct().withColumn("needs", needs(F.col("refusal")))
 
 
-def misdirected(readings: DataFrame, handed: DataFrame) -> DataFrame:
-    """Handed documents of which a reading names another document.
+def misdirected(readings: DataFrame) -> DataFrame:
+    """Handed documents (``asked``) of which a reading names another document."""
+    return readings.filter(~F.col("asked").eqNullSafe(F.col("document"))).select("asked").distinct()
 
-    ``handed`` pairs what was ``asked`` with the ``document`` a reading names.
+
+def examined(documents: DataFrame, readings: DataFrame | None = None, refusals: DataFrame | None = None) -> DataFrame:
+    """``document, readings, refusal, needs``: what came of reading every handed document.
+
+    No reader (``readings`` None) leaves every document not read.  A refusal, or one
+    misdirected reading, refuses the whole document, which then counts no readings; a
+    document without any reading has no refusal, and needs one all the same.
     """
-    return handed.filter(~F.col("asked").eqNullSafe(F.col("document"))).select("asked").distinct()
+    handed = documents.select("document").distinct()
+    none = F.lit(0).cast("long")
+    if readings is None:
+        refusal = F.lit(NOT_READ)
+        return handed.select("document", none.alias("readings"), refusal.alias("refusal"), needs(refusal).alias("needs"))
+    asked = F.col("asked") if "asked" in readings.columns else F.col("document")
+    given = readings.groupBy(asked.alias("document")).agg(
+        F.count("*").alias("_given"), F.max(~asked.eqNullSafe(F.col("document"))).alias("_astray")
+    )
+    joined = handed.join(given, "document", "left")
+    if refusals is None:
+        joined = joined.withColumn("_refused", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(refusals.groupBy("document").agg(F.min("refusal").alias("_refused")), "document", "left")
+    refusal = F.coalesce("_refused", F.when(F.col("_astray"), F.lit(READER_FAILED)))
+    counted = joined.select(
+        "document", F.when(refusal.isNull(), F.coalesce("_given", none)).otherwise(none).alias("readings"), refusal.alias("refusal")
+    )
+    lacking = F.when(F.col("refusal").isNotNull(), needs(F.col("refusal"))).when(F.col("readings") == 0, F.lit(NO_READING))
+    return counted.withColumn("needs", lacking)
+
+
+def accepted(readings: DataFrame, outcome: DataFrame) -> DataFrame:
+    """The readings of documents that ``examined`` does not refuse."""
+    return readings.join(outcome.filter("refusal IS NULL").select("document"), "document", "left_semi")
+
+
+def lineage(readings: DataFrame, scope: Column | None = None) -> DataFrame:
+    """``assertion, document, passage, location, protocol, reader``: every reading as a fact
+    of its own about each assertion it makes, never a part of the assertion's identity."""
+    from stelae.operators.admission import linked
+
+    said = readings.select(
+        F.lit(0).cast("long").alias("run"), "document", (F.lit("") if scope is None else scope).alias("scope"), "passage",
+        "location", "protocol", "reader", F.posexplode("proposed").alias("ordinal", "_p"),
+    )
+    flat = said.select("*", F.col("_p.concept_name").alias("concept_name"), F.col("_p.claim_text").alias("claim_text"))
+    carried = flat.withColumn("_lineage", F.struct("passage", "location", "protocol", "reader"))
+    made = linked(carried, "_lineage").filter("complete")
+    return made.select("assertion", "document", "_lineage.*").distinct()
 
 
 def statements(readings: DataFrame, runs: DataFrame, scope: Column | None = None) -> DataFrame:
@@ -215,6 +331,27 @@ def outcomes(requests: DataFrame, ceiling: int) -> DataFrame:
     return spent.withColumn("judged", judged)
 
 
+def retried(attempts: DataFrame, most: int) -> DataFrame:
+    """``document, passage, failed, answered, answer`` of ``document, passage, attempt, answer``:
+    each request is asked until an answer has no fault, ``most`` times at most; what
+    would have come later was never asked."""
+    judged = attempts.filter(F.col("attempt").between(1, most)).withColumn("ok", answer_fault(F.col("answer")).isNull())
+    first = F.min(F.when(F.col("ok"), F.col("attempt")))
+    answer = F.min_by("answer", F.when(F.col("ok"), F.col("attempt")))
+    asked = judged.groupBy("document", "passage").agg(first.alias("_first"), F.max("attempt").alias("_made"), answer.alias("answer"))
+    return asked.select(
+        "document", "passage", F.coalesce(F.col("_first") - 1, "_made").cast("long").alias("failed"),
+        F.col("_first").isNotNull().cast("int").alias("answered"), F.when(F.col("_first").isNotNull(), F.col("answer")).alias("answer"),
+    )
+
+
+def priced(usage: DataFrame, card: dict[str, int]) -> DataFrame:
+    """``usage`` with ``cost_micros`` by a card of micros per million tokens of each kind,
+    rounded down once; a count that was not reported leaves the cost absent."""
+    cost = sum((F.col(kind) * F.lit(rate) for kind, rate in card.items()), F.lit(0).cast("long"))
+    return usage.withColumn("cost_micros", F.floor(cost / 1_000_000).cast("long"))
+
+
 def measures(ledger: DataFrame, priced: bool = True) -> DataFrame:
     """Per-request usage from a running ledger of ``document, passage, failed,
     answered`` and running ``input, output, cost_micros``.

@@ -6,7 +6,8 @@ the lines, as a session shows them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,11 +120,22 @@ TOOLS: dict[str, tuple[str, str, Callable[[KnowledgeGraph, str], DataFrame]]] =
 }
 
 
+SERVER, PROTOCOL = "stelae", "2.0"
+#: The one argument every tool takes; a tool that needs none is asked without it.
+SCHEMA = {"type": "object", "properties": {"argument": {"type": "string", "description": "what the tool is asked"}}}
+
+
+def server() -> dict:
+    """Name and version of what serves the tools."""
+    import stelae
+
+    return {"name": SERVER, "version": stelae.__version__}
+
+
 def catalogue() -> list[dict]:
     """Tool descriptions as a session lists them."""
-    schema = {"type": "object", "properties": {"argument": {"type": "string"}}}
     return [
-        {"name": name, "description": f"[{world}] {summary}", "inputSchema": schema}
+        {"name": name, "description": f"[{world}] {summary}", "inputSchema": SCHEMA}
         for name, (world, summary, _) in TOOLS.items()
     ]
 
@@ -156,3 +168,61 @@ def surface(graph: KnowledgeGraph) -> DataFrame:
     return graph.concepts.agg(
         F.count_if(is_current(F.col("standing"))).alias("current"), F.count("*").alias("held")
     )
+
+
+def listing(graph: KnowledgeGraph) -> str:
+    """What is served, over what, and what is not: the tools with their worlds, the corpus and
+    the absences."""
+    counted = surface(graph).first()
+    lines = [f"{SERVER}: {len(TOOLS)} read-only tools"]
+    lines += [f"  {name:<16}[{world}]  {summary}" for name, (world, summary, _) in TOOLS.items()]
+    lines += ["", f"corpus     {counted.current} current, {counted.held} held", "", *ABSENCES]
+    return "\n".join(lines)
+
+
+ABSENCES = (
+    "No tool writes: each reads one of two worlds that have no way to.",
+    "No paths and no connections: relations between concepts have no declared kinds in the log.",
+    "No proofs and no code: the log has no such records.",
+    "No ranking: answers are whole and in order of identity.",
+)
+
+
+def respond(graph: KnowledgeGraph, line: str) -> str | None:
+    """One line of a session, a JSON-RPC request, answered; None for a notification.
+
+    A line that is no JSON, no request or of an unknown method is answered with an error, and
+    the session goes on; a tool that fails is an answer that says so.
+    """
+    try:
+        request = json.loads(line)
+    except json.JSONDecodeError:
+        return _reply(None, error=(-32700, "the line is not JSON"))
+    if not isinstance(request, dict) or request.get("jsonrpc") != PROTOCOL or not isinstance(request.get("method"), str):
+        return _reply(request.get("id") if isinstance(request, dict) else None, error=(-32600, "the line is no request"))
+    if "id" not in request:
+        return None
+    method, params = request["method"], request.get("params") or {}
+    if method == "initialize":
+        return _reply(request["id"], {"serverInfo": server(), "capabilities": {"tools": {}}})
+    if method == "tools/list":
+        return _reply(request["id"], {"tools": catalogue()})
+    if method == "tools/call" and isinstance(params, dict) and isinstance(params.get("name"), str):
+        done = call(graph, params["name"], json.dumps(params.get("arguments") or {}))
+        return _reply(request["id"], {"content": [{"type": "text", "text": done["text"]}], "isError": done["isError"]})
+    known = method == "tools/call"
+    return _reply(request["id"], error=(-32602, "a call names a tool") if known else (-32601, f"no method named {method}"))
+
+
+def _reply(identity, result: dict | None = None, error: tuple[int, str] | None = None) -> str:
+    body = {"result": result} if error is None else {"error": {"code": error[0], "message": error[1]}}
+    return json.dumps({"jsonrpc": PROTOCOL, "id": identity, **body})
+
+
+def session(graph: KnowledgeGraph, lines: Iterable[str]) -> Iterator[str]:
+    """Answers to the lines of a session, blank lines passed over; over standard input and
+    output: ``for a in session(graph, sys.stdin): print(a, flush=True)``."""
+    for line in lines:
+        reply = respond(graph, line) if line.strip() else None
+        if reply is not None:
+            yield reply

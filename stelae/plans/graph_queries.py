@@ -20,7 +20,7 @@ from stelae.sources.tables import table
 
 _WORDS = "iron by"
 _AS_OF = 1_718_000_000
-_THROUGH = 200
+_SHARE = 2  # history_through asks for the first half of the log
 
 
 def log_view(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +127,9 @@ def history_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_through(spark: SparkSession, folder: str) -> DataFrame:
-    return history.counts(history.through(log_view(spark, folder), _THROUGH))
+    """Counts of the first half of the log's positions."""
+    log = log_view(spark, folder)
+    return history.counts(history.through(log, (log.agg(F.max("seq")).first()[0] or 0) // _SHARE))
 
 
 def history_as_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +184,7 @@ def stale_claims(spark: SparkSession, folder: str) -> DataFrame:
     now = held.concepts.select(F.col("concept").alias("input"), F.coalesce("standing", F.lit("")).alias("identity_now")).unionByName(
         held.claims.select(F.col("claim").alias("input"), F.lit("held").alias("identity_now"))
     )
-    return audit.stale(derived, now)
+    return audit.stale(derived, now).withColumn("path", F.array_join("path", " "))
 
 
 QUERIES = {
@@ -277,7 +279,7 @@ UNION ALL SELECT 2, assertion, 'cited    ' || source || ' [' || (CASE WHEN asser
 FROM ga WHERE claim IN (SELECT claim FROM k)""",
     "corpus_surface": f"WITH {_GRAPH} SELECT (SELECT count(*) FROM cc) AS current, (SELECT count(*) FROM gc) AS held",
     "history_counts": f"WITH {_folded(_LOG)} {_COUNTS}",
-    "history_through": f"WITH {_folded(_LOG + f', prefix AS (SELECT * FROM identified WHERE seq <= {_THROUGH})').replace('FROM identified WHERE kind', 'FROM prefix WHERE kind')} {_COUNTS}",
+    "history_through": f"WITH {_folded(_LOG + f', prefix AS (SELECT * FROM identified WHERE seq <= (SELECT coalesce(max(seq), 0) // {_SHARE} FROM log))').replace('FROM identified WHERE kind', 'FROM prefix WHERE kind')} {_COUNTS}",
     "history_as_of": f"""WITH {_folded(_LOG + f''', prefix AS (SELECT * FROM identified
   WHERE seq < coalesce((SELECT min(seq) FROM log WHERE "at" > {_AS_OF}), 9223372036854775807))''').replace('FROM identified WHERE kind', 'FROM prefix WHERE kind')} {_COUNTS}""",
     "history_as_of_timeline": f"""WITH {_LOG}, aged AS (SELECT kind, max("at") OVER (ORDER BY seq) AS age FROM log)
@@ -311,9 +313,12 @@ FROM log, (SELECT count(*) AS found FROM (AUDIT)) f WHERE kind = 'concept' AND s
 derived AS (SELECT DISTINCT claim AS artifact, concept AS input, 'asserted' AS was FROM claims WHERE concept IS NOT NULL
             UNION SELECT DISTINCT assertion, claim, 'held' FROM assertions WHERE claim IS NOT NULL),
 now AS (SELECT concept AS input, coalesce(standing, '') AS is_now FROM gc UNION ALL SELECT claim, 'held' FROM gk),
-direct AS (SELECT artifact, CASE WHEN bool_or(is_now IS NULL) THEN 'unsupported' WHEN bool_or(is_now <> was) THEN 'stale' ELSE 'sound' END AS status
+direct AS (SELECT artifact, CASE WHEN bool_or(is_now IS NULL) THEN 'unsupported' WHEN bool_or(is_now <> was) THEN 'stale' ELSE 'sound' END AS status,
+           coalesce(min(input) FILTER (is_now IS NULL), min(input) FILTER (is_now <> was)) AS cause
            FROM derived LEFT JOIN now USING (input) GROUP BY 1),
-hit AS (SELECT artifact FROM derived WHERE input IN (SELECT artifact FROM direct WHERE status <> 'sound'))
-SELECT artifact, CASE WHEN status = 'sound' AND artifact IN (SELECT artifact FROM hit) THEN 'propagated' ELSE status END AS status FROM direct""",
+hit AS (SELECT d.artifact, min(u.artifact || ' ' || u.cause) AS via FROM derived d JOIN direct u ON d.input = u.artifact WHERE u.status <> 'sound' GROUP BY 1)
+SELECT artifact, CASE WHEN status = 'sound' AND via IS NOT NULL THEN 'propagated' ELSE status END AS status,
+  CASE WHEN status <> 'sound' THEN artifact || ' ' || cause WHEN via IS NOT NULL THEN artifact || ' ' || via ELSE '' END AS path
+FROM direct LEFT JOIN hit USING (artifact)""",
 }
 ORACLE["audit_verdicts"] = ORACLE["audit_verdicts"].replace("AUDIT", ORACLE["audit_merges"])

@@ -43,6 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path of any file system and the file system that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the process ends, through Hadoop's file system, so that nothing is
+    left in a cluster's shared folder either."""
+    where, files = hadoop_path(spark, path)
+
+    def remove() -> None:
+        try:
+            files.delete(where, True)
+        except Exception:  # the JVM may be gone; only a local folder can then be reached
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+    atexit.register(remove)
+
+
 class Scratch:
     """Tables of one run, written as Parquet into the shared folder.
 
@@ -54,8 +74,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/stelae-{label}-{uuid.uuid4().hex[:12]}"
-        if self.root.startswith("file://") or self.root.startswith("/"):
-            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
+        _removed_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -69,6 +88,5 @@ class Scratch:
         return reader.parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        where, files = hadoop_path(self.spark, self.path(name))
+        files.delete(where, True)

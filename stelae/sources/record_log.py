@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stelae.operators.graph import LOG, empty_log, parsed, rendered
-from stelae.session import Scratch
+from stelae.session import Scratch, hadoop_path
 
 
 class LogRefused(ValueError):
@@ -39,6 +39,25 @@ def with_positions(rows: DataFrame, order: Sequence[str], name: str = "position"
     )
 
 
+class AppendedTable:
+    """Records of one schema under a folder, numbered by ``seq``, appended and never rewritten;
+    kept with the session only where there is no folder."""
+
+    def __init__(self, spark: SparkSession, schema: str, path: str | None, label: str):
+        self.spark, self.schema = spark, schema
+        self.path = path or Scratch(spark, label).path("records")
+        spark.createDataFrame([], schema).write.mode("append").parquet(self.path)
+
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def last(self) -> int:
+        return self.records().agg(F.max("seq")).first()[0] or 0
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.records().schema.fields)).write.mode("append").parquet(self.path)
+
+
 class PublicationLog:
     """An append-only log under a folder; one writer at a time.
 
@@ -48,10 +67,8 @@ class PublicationLog:
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False):
         self.spark, self.path = spark, os.path.join(root, "publications")
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        if not there:
+        path, files = hadoop_path(spark, self.path)
+        if not files.exists(path):
             if not create:
                 raise LogRefused(f"there is no log under {root}")
             empty_log(spark).write.parquet(self.path)
@@ -70,16 +87,35 @@ class PublicationLog:
 def text_records(spark: SparkSession, path: str) -> DataFrame:
     """``seq, record`` of a text log: one record per line, blank lines skipped.
 
-    A last line without its line end is a torn write and refuses the log.  The
-    text is read whole, since order within it counts; keep large logs as tables.
+    A last line without its line end is a torn write and refuses the log.  Lines are read
+    by as many tasks as the text has splits; their order is that of file, split and line.
     """
-    whole = spark.read.text(path, wholetext=True)
-    torn = whole.filter((F.length("value") > 0) & ~F.col("value").endswith("\n"))
-    if torn.head(1):
-        raise LogRefused("the last record of the log has no line end")
-    lines = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line", "record"))
-    kept = lines.withColumn("record", F.regexp_replace("record", "\r$", "")).filter(F.trim("record") != "")
-    return with_positions(kept, ["line"], "seq").select(F.col("seq").cast("long").alias("seq"), "record")
+    for torn in _torn_files(spark, path):
+        raise LogRefused(f"the last record of the log has no line end: {torn}")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("record"), *place)
+    kept = lines.withColumn("record", F.regexp_replace("record", "\r\\z", "")).filter(F.trim("record") != "")
+    return with_positions(kept, ["_file", "_start", "_row"], "seq").select(F.col("seq").cast("long").alias("seq"), "record")
+
+
+def _torn_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of a text log whose last octet ends no line; one octet of each is read."""
+    where, files = hadoop_path(spark, path)
+    if not files.exists(where):
+        raise LogRefused(f"there is no log at {path}")
+    found, statuses = [], files.listStatus(where)
+    for status in statuses:
+        name = status.getPath().getName()
+        if not status.isFile() or name.startswith(("_", ".")) or not status.getLen():
+            continue
+        stream = files.open(status.getPath())
+        try:
+            stream.seek(status.getLen() - 1)
+            if stream.read() != 10:
+                found.append(name)
+        finally:
+            stream.close()
+    return found
 
 
 def import_text(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stelae.operators import audit, reading
+from stelae.operators import admission, audit, reading
 from stelae.operators.ordered import previous, running
 
 
@@ -35,17 +35,78 @@ def test_answer_shapes(spark):
     assert got[3] is not None and got[10:] == ["not JSON", "no answer"]
 
 
+def readers():
+    """Made here, so that the tasks get them by value."""
+
+    def words_of_text(document, content, needed):
+        return [reading.Reading(document, "all of it", [(w, document) for w in content.decode().split()])]
+
+    def moody(document, content, needed):
+        """Fails, refuses, answers for another document, says nothing, or reads."""
+        if needed != reading.TEXT or content == b"picture":
+            raise reading.CannotRead("not text")
+        if content == b"broken":
+            raise RuntimeError("no connection")
+        if content == b"none":
+            return []
+        if content == b"astray":
+            return [reading.Reading(document, "p", [("c", "t")]), reading.Reading("another", "p", [("c", "t")])]
+        if content == b"shapeless":
+            return [("only", "two")]
+        return [reading.Reading(document, f"p{n}", [] if content == b"barren" else [("c", f"t{n}")]) for n in range(2)]
+
+    return words_of_text, moody
+
+
+def test_every_outcome_of_a_reader(spark, rows):
+    kinds = [b"picture", b"broken", b"none", b"astray", b"shapeless", b"barren", b"fine"]
+    documents = spark.createDataFrame([(k.decode(), k) for k in kinds], "document string, content binary")
+    given, refused = reading.answered(reading.read_with(readers()[1], documents, "p", "r"))
+    outcome = reading.examined(documents, given, refused)
+    want = {
+        "picture": (0, "cannot read", "a reading this extractor cannot do"), "broken": (0, "reader failed", "an answer from the reader"),
+        "none": (0, None, "the reader returned no reading"), "astray": (0, "reader failed", "an answer from the reader"),
+        "shapeless": (0, "reader failed", "an answer from the reader"), "barren": (2, None, None), "fine": (2, None, None),
+    }
+    assert {r.document: (r.readings, r.refusal, r.needs) for r in outcome.collect()} == want
+    runs = outcome.withColumn("run", F.lit(1).cast("long"))
+    said = reading.statements(reading.accepted(given, outcome), runs)
+    got = {r.document: (r.coverage, r.citations) for r in admission.report(said, runs).collect()}
+    assert got == {**{k: ("unmet", 0) for k in ("picture", "broken", "none", "astray", "shapeless")}, "barren": ("barren", 0), "fine": ("yielded", 2)}
+    seen = reading.read_with(readers()[1], documents, "p", "r", needed=reading.VISUAL)
+    assert {r.refusal for r in seen.collect()} == {"cannot read"}
+    unread = reading.examined(documents)
+    assert {(r.refusal, r.needs) for r in unread.collect()} == {("not read", "a reader")}
+    facts = rows(reading.lineage(reading.accepted(given, outcome)).select("document", "passage", "location", "protocol", "reader"))
+    assert facts == [("fine", 1, "p0", "p", "r"), ("fine", 2, "p1", "p", "r")]
+
+
+def test_requests_protocols_prices_and_retries(spark, rows):
+    parts = reading.passages(spark.createDataFrame([("d", b"text"), ("e", b"\xff")], "document string, content binary"))
+    asked = reading.requests(parts, "m", "i").collect()
+    assert [(r.document, r.request.role, r.request.content, r.request.output_tokens) for r in asked] == [("d", "extractor", "text", 2048)]
+    assert json.loads(asked[0].request.schema)["maxItems"] == 32
+    versions = spark.range(1).select(reading.protocol_identity("i").alias("a"), reading.protocol_identity("j").alias("b"), reading.protocol_identity("i", "{}").alias("c")).first()
+    assert len(set(versions)) == 3
+    good = json.dumps([{"concept": "c", "claim": "t"}])
+    attempts = spark.createDataFrame([("d", 1, 1, "{"), ("d", 1, 2, good), ("d", 1, 3, "never"), ("d", 2, 1, None), ("d", 2, 2, "5"), ("d", 2, 3, good)], "document string, passage int, attempt int, answer string")
+    assert rows(reading.retried(attempts, 2)) == [("d", 1, 1, 1, good), ("d", 2, 2, 0, None)]
+    usage = spark.createDataFrame([(1_000_000, 500_000), (3, None)], "input long, output long")
+    assert [r.cost_micros for r in reading.priced(usage, {"input": 3, "output": 15}).collect()] == [10, None]
+
+
 def test_stated_and_function_readers(spark, rows):
     said = spark.createDataFrame([("d", "here", 2, "c2", "t2"), ("d", "here", 1, "c1", "t1")], "document string, location string, ordinal int, concept_name string, claim_text string")
     stated = reading.stated_readings(said)
     assert [tuple(p) for p in stated.first().proposed] == [("c1", "t1"), ("c2", "t2")]
     documents = spark.createDataFrame([("d", b"a b")], "document string, content binary")
-    read = reading.read_with(lambda address, octets: [(w, address) for w in octets.decode().split()], documents, "words", "splitter")
+    read, refused = reading.answered(reading.read_with(readers()[0], documents, "words", "splitter"))
+    assert refused.count() == 0
     runs = spark.createDataFrame([(7, "d")], "run long, document string")
     flat = reading.statements(read, runs)
     assert rows(flat) == [(7, "d", "", 1, 0, "a", "d"), (7, "d", "", 1, 1, "b", "d")]
     handed = spark.createDataFrame([("d", "d"), ("e", "x"), ("f", None)], "asked string, document string")
-    assert rows(reading.misdirected(read, handed)) == [("e",), ("f",)]
+    assert rows(reading.misdirected(handed)) == [("e",), ("f",)]
 
 
 def test_budget_and_measures(spark):
@@ -100,10 +161,14 @@ def test_running_and_previous_across_ranges(spark):
 def test_audits(spark, rows):
     derived = spark.createDataFrame([("b", "a", "1"), ("c", "b", "1"), ("d", "c", "1"), ("e", "gone", "1"), ("f", "ok", "1"), ("g", "f", "1"), ("h", "e", "1")], "artifact string, input string, identity_then string")
     now = spark.createDataFrame([("a", "2"), ("ok", "1"), *((x, "1") for x in "bcdefgh")], "input string, identity_now string")
-    assert rows(audit.stale(derived, now)) == [
-        ("b", "stale"), ("c", "propagated"), ("d", "propagated"), ("e", "unsupported"), ("f", "sound"), ("g", "sound"), ("h", "propagated"),
+    assert [(r.artifact, r.status, " ".join(r.path)) for r in audit.stale(derived, now).orderBy("artifact").collect()] == [
+        ("b", "stale", "b a"), ("c", "propagated", "c b a"), ("d", "propagated", "d c b a"), ("e", "unsupported", "e gone"),
+        ("f", "sound", ""), ("g", "sound", ""), ("h", "propagated", "h e gone"),
     ]
     assert audit.closes_cycle(derived, "a", ["d"]) and not audit.closes_cycle(derived, "z", ["d"]) and audit.closes_cycle(derived, "d", ["d"])
+    proposed = spark.createDataFrame([("a", "d", "1"), ("x", "y", "1"), ("y", "x", "1"), ("z", "b", "1")], "artifact string, input string, identity_then string")
+    kept, refused = audit.derive(derived, proposed)
+    assert rows(refused) == [("a",), ("x",), ("y",)] and rows(kept.join(derived, derived.columns, "left_anti")) == [("z", "b", "1")]
     log = spark.createDataFrame([(1, "d", "p", "unmet"), (2, "d", "p", "yielded"), (1, "e", "q", "barren")], "seq long, document string, protocol string, outcome string")
     assert rows(audit.latest_coverage(log).select("document", "outcome")) == [("d", "yielded"), ("e", "barren")]
     held = spark.createDataFrame([("d",), ("e",), ("e",)], "document string")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from stelae.operators import admission, audit, closing
+from stelae.operators import admission, audit, closing, relations
 from stelae.operators.graph import LOG, KnowledgeGraph, violations
 from stelae.operators.ranked import nearest
 from stelae.operators.relations import closure, kernel_faults
@@ -91,3 +91,20 @@ def test_nearest_of_queries_of_several_lengths(spark):
     for block in (1, 4_096):
         got = {(r.query, r.neighbour) for r in nearest(df, df, 3, block=block).collect()}
         assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_algebra_of_declared_relations(spark, rows):
+    def relation(name, kind, *given):
+        return (name, kind, *(p in given for p in relations.PROPERTIES))
+
+    declared = spark.createDataFrame(
+        [relation("same as", "identity", "reflexive", "symmetric", "transitive"), relation("like", "identity", "reflexive", "symmetric"),
+         relation("odd", "friendship"), relation("part of", "compositional", "transitive"), relation("near", "analogy", "transitive"), ("void", "analogy", *[None] * 12)],
+        relations.RELATIONS,
+    )
+    demands = spark.createDataFrame([*relations.IDENTITY_DEMANDS, ("analogy", "transitive", False)], relations.DEMANDS)
+    assert rows(relations.algebra_faults(declared, demands)) == [
+        ("like", "transitive", "required"), ("near", "transitive", "forbidden"), ("odd", None, "of no known kind"), ("part of", None, "of a kind that demands nothing"),
+    ]
+    assert rows(relations.certified(declared, demands)) == [("same as",)]
+    assert len(relations.KINDS) == len(set(relations.KINDS)) == 21 and len(relations.PROPERTIES) == 12

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stelae.operators import admission, closing
 from stelae.operators.graph import KnowledgeGraph
+from stelae.operators.reading import Reading
 from stelae.operators.workspace import Refused, Workspace
 from stelae.sources import content_store, record_log
 
@@ -132,3 +133,53 @@ def test_closings_are_judged_in_order(spark):
     assert got == {("a", True): "a successor is required", ("a", False): None, ("zz", True): "a reason is required"}
     recorded = closing.publications(closing.verdicts(asked, held), 2, 9).collect()
     assert [(r.seq, r.standing, r.because, r.at) for r in recorded] == [(2, "retired", "r", 9)]
+
+
+def test_admission_through_a_reader(spark, workspace):
+    """Every document is stored, every outcome reported and recorded, and nothing refused is admitted."""
+
+    def reader(document, content, needed):
+        if content == b"broken":
+            raise RuntimeError("no connection")
+        return [Reading("0" * 64 if content == b"astray" else document, "p", [] if content == b"barren" else [("alpha", content.decode())])]
+
+    got = workspace.admit(sources(spark, "broken", "astray", "barren", "fine"), reader=reader, protocol="v1", name="r", at=3).orderBy("run").collect()
+    assert [(r.coverage, r.refusal, r.needs) for r in got] == [
+        ("unmet", "reader failed", "an answer from the reader"), ("unmet", "reader failed", "an answer from the reader"), ("barren", None, None), ("yielded", None, None),
+    ]
+    assert {r.admission for r in got} == {"stored"} and workspace.store.length() == 4
+    assert workspace.ask("search", "fine") == "fine" and workspace.ask("search", "astray") == "(nothing)"
+    kept = workspace.coverage.records().orderBy("seq").collect()
+    assert [(r.seq, r.outcome, r.amount, r.protocol, r.reader, r.at) for r in kept] == [
+        (1, "unmet", 0, "v1", "r", 3), (2, "unmet", 0, "v1", "r", 3), (3, "barren", 1, "v1", "r", 3), (4, "yielded", 1, "v1", "r", 3),
+    ]
+    facts = workspace.readings.records().collect()
+    assert [(r.location, r.protocol, r.reader) for r in facts] == [("p", "v1", "r")]
+    workspace.admit(sources(spark, "fine"), reader=reader, protocol="v2", name="r")
+    assert workspace.coverage.last() == 5 and workspace.readings.records().select("assertion").distinct().count() == 1
+
+
+def test_the_fold_is_kept_until_something_is_appended(spark, workspace):
+    workspace.admit(sources(spark, "d"), said(spark, (0, "alpha", "a")), at=1)
+    before = workspace.graph()
+    assert workspace.graph() is before
+    workspace.retire("alpha", "why")
+    assert workspace.graph() is not before and workspace.graph().current().concepts().count() == 0
+
+
+def test_text_log_of_several_files_and_splits(spark, tmp_path):
+    """Lines of many splits and files keep their order; a torn file is named, a missing log refused."""
+    us = "\x1f"
+    log = spark.range(1, 3001).selectExpr("id AS seq", "'concept' AS kind", "'asserted' AS standing", "'' AS successor", "'' AS because", "'' AS ref", "concat('name ', id) AS text", "'' AS source", "'' AS scope", "CAST(NULL AS BIGINT) AS at")
+    record_log.export_text(log, str(tmp_path / "out"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        back = record_log.import_text(spark, str(tmp_path / "out"))
+        assert {(r.seq, r.text) for r in back.collect()} == {(n, f"name {n}") for n in range(1, 3001)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "out" / "part-99999.txt").write_text(us.join(["concept", "asserted", "", "", "torn"]))
+    with pytest.raises(record_log.LogRefused, match="part-99999"):
+        record_log.import_text(spark, str(tmp_path / "out"))
+    with pytest.raises(record_log.LogRefused):
+        record_log.import_text(spark, str(tmp_path / "nowhere"))
