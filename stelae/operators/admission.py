@@ -98,23 +98,27 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
         .groupBy("run", "document", "scope", "concept_name", "claim_text", "complete")
         .agg(F.count("*").alias("times"), F.max("passage").alias("_last"))
     )
+    # Per concept of a run first: one distinct count, and nothing is expanded.
+    ok = F.col("complete")
+    named = made.groupBy("run", "document", "concept_name", "complete").agg(
+        F.sum("times").alias("times"), F.count("*").alias("cited"), F.count_distinct("claim_text").alias("claims"), F.max("_last").alias("_last")
+    )
     shut = F.lit(None).cast("string")
     if known is not None:
         closed = known.concepts.filter(~is_current(F.col("standing"))).select("concept", F.col("concept").alias("_shut"))
-        made = made.withColumn("concept", F.when(F.col("complete"), concept_identity(F.col("concept_name"), normal=True)))
-        made, shut = made.join(closed, "concept", "left"), F.col("_shut")
-    ok = F.col("complete")
-    complete, cited = F.sum(F.when(ok, F.col("times")).otherwise(0)), F.count(F.when(ok, 1))
-    concept_count = F.count_distinct(F.when(ok, F.col("concept_name")))
-    counted = made.groupBy("run", "document").agg(
+        named = named.withColumn("concept", F.when(ok, concept_identity(F.col("concept_name"), normal=True)))
+        named, shut = named.join(closed, "concept", "left"), F.col("_shut")
+    complete = F.sum(F.when(ok, F.col("times")).otherwise(0))
+    cited, concept_count = F.sum(F.when(ok, F.col("cited")).otherwise(0)), F.count(F.when(ok, 1))
+    counted = named.groupBy("run", "document").agg(
         F.sum("times").alias("proposals"),
         (F.sum("times") - complete).alias("refused"),
         cited.alias("citations"),
         (complete - cited).alias("repeated"),
-        F.count_distinct(F.when(ok, F.struct("concept_name", "claim_text"))).alias("claims"),
+        F.sum(F.when(ok, F.col("claims")).otherwise(0)).alias("claims"),
         concept_count.alias("concepts"),
         (complete - concept_count).alias("merged"),
-        F.count_distinct(shut).alias("closed"),
+        F.count(shut).alias("closed"),
         F.max("_last").alias("_last"),
     )
     counts = ["proposals", "refused", "citations", "repeated", "claims", "concepts", "merged", "closed"]

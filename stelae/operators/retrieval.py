@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelae.functions.normalize import has_all_words, words_of
-from stelae.operators.graph import KnowledgeGraph, is_current
+from stelae.operators.graph import KnowledgeGraph
 
 
 def _matching(rows: DataFrame, column: str, query: str) -> DataFrame:
@@ -22,6 +22,12 @@ def _matching(rows: DataFrame, column: str, query: str) -> DataFrame:
     return rows.filter(has_all_words(F.col(column), words)) if words else rows.limit(0)
 
 
+def attached(concepts: DataFrame, claims: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims about some concepts and the citations of those claims."""
+    about = claims.join(concepts.select("concept"), "concept", "left_semi")
+    return about, assertions.join(about.select("claim"), "claim", "left_semi")
+
+
 @dataclass(frozen=True)
 class CurrentQueries:
     graph: KnowledgeGraph
@@ -36,13 +42,9 @@ class CurrentQueries:
         """The concept, its current claims and the current citations of those; all
         empty if the concept is not current."""
         world = self.graph.current()
-        claims = world.claims().filter(F.col("concept") == concept)
-        cited = world.assertions().join(claims.select("claim"), "claim", "left_semi")
-        return (
-            world.concepts().filter(F.col("concept") == concept),
-            claims,
-            cited.select("assertion", "claim", "source", "scope"),
-        )
+        named = world.concepts().filter(F.col("concept") == concept)
+        claims, cited = attached(named, world.claims(), world.assertions())
+        return named, claims, cited.select("assertion", "claim", "source", "scope")
 
     def concept_count(self) -> DataFrame:
         return self.graph.current().concepts().agg(F.count("*").alias("concepts"))
@@ -67,18 +69,9 @@ class HistoricalQueries:
             marks = current.select(key, F.lit(True).alias("current"))
             return rows.join(marks, key, "left").withColumn("current", F.coalesce("current", F.lit(False)))
 
-        claims = flagged(held.claims().filter(F.col("concept") == concept), live.claims(), "claim")
-        of_claims = held.assertions().join(claims.select("claim"), "claim", "left_semi")
-        return (
-            held.concepts().filter(F.col("concept") == concept),
-            claims,
-            flagged(of_claims, live.assertions(), "assertion"),
-        )
+        named = held.concepts().filter(F.col("concept") == concept)
+        claims, cited = attached(named, held.claims(), held.assertions())
+        return named, flagged(claims, live.claims(), "claim"), flagged(cited, live.assertions(), "assertion")
 
     def concept_count(self) -> DataFrame:
         return self.graph.every_version().concepts().agg(F.count("*").alias("concepts"))
-
-
-def is_live(rows: DataFrame) -> DataFrame:
-    """Rows whose own standing is current."""
-    return rows.filter(is_current(F.col("standing")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stelae.functions.identity import concept_identity
 from stelae.functions.values import tool_argument
 from stelae.operators.graph import KnowledgeGraph, is_current
-from stelae.operators.retrieval import CurrentQueries, HistoricalQueries
+from stelae.operators.retrieval import CurrentQueries, HistoricalQueries, attached
 
 # How answers are worded.
 CONCEPT, CLAIM, CITED = "concept  ", "claim    ", "cited    "
@@ -60,8 +60,7 @@ def neighbours(graph: KnowledgeGraph, argument: str) -> DataFrame:
     with the canonical name as it is, not normalized."""
     world = graph.current()
     named = world.concepts().filter((F.col("canonical_name") == argument) & (F.lit(argument) != ""))
-    claims = world.claims().join(named.select("concept"), "concept", "left_semi")
-    cited = world.assertions().join(claims.select("claim"), "claim", "left_semi")
+    claims, cited = attached(named, world.claims(), world.assertions())
     scope = F.when(F.col("scope") == "", F.lit(UNSTATED)).otherwise(F.col("scope"))
     return (
         _lines(named, 0, "concept", F.concat(F.lit(CONCEPT), "canonical_name"))
@@ -83,31 +82,19 @@ def merge_losers(graph: KnowledgeGraph, argument: str = "") -> DataFrame:
 def held_neighbours(graph: KnowledgeGraph, argument: str) -> DataFrame:
     """A held concept with everything ever attached to it, each with its standing.
     The argument is addressed as a concept, so it is normalized."""
-    held, live = graph.every_version(), graph.current()
-    address = concept_identity(F.lit(argument))
-    named = held.concepts().filter(F.col("concept") == address)
-    claims = held.claims().filter(F.col("concept") == address).join(
-        named.select("concept"), "concept", "left_semi"
-    )
-    cited = held.assertions().join(claims.select("claim"), "claim", "left_semi")
+    named, claims, cited = HistoricalQueries(graph).neighbourhood_of(concept_identity(F.lit(argument)))
 
-    def said(rows: DataFrame, current: DataFrame, key: str, text: str, name: str, section: int, cause: str) -> DataFrame:
-        marks = current.select(key, F.lit(True).alias("_live"))
+    def said(rows: DataFrame, key: str, text: str, name: str, section: int, cause: str) -> DataFrame:
         phrase = (
-            F.when(F.col("_live").isNotNull(), F.lit(CURRENT))
-            .when(is_current(F.col("standing")), F.lit(cause))
-            .otherwise(standing_phrase())
+            F.when(F.col("current"), F.lit(CURRENT)).when(is_current(F.col("standing")), F.lit(cause)).otherwise(standing_phrase())
         )
-        line = F.concat(F.lit(name), F.col(text), F.lit(" ["), phrase, F.lit("]"))
-        return _lines(rows.join(marks, key, "left"), section, key, line)
+        return _lines(rows, section, key, F.concat(F.lit(name), F.col(text), F.lit(" ["), phrase, F.lit("]")))
 
     head = F.concat(F.lit(CONCEPT), "canonical_name", F.lit(" ["), standing_phrase(), F.lit("]"))
     return (
         _lines(named, 0, "concept", head)
-        .unionByName(said(claims, live.claims(), "claim", "text", CLAIM, 1, CONCEPT_NOT_CURRENT))
-        .unionByName(
-            said(cited, live.assertions(), "assertion", "source", CITED, 2, CITED_NOT_CURRENT)
-        )
+        .unionByName(said(claims, "claim", "text", CLAIM, 1, CONCEPT_NOT_CURRENT))
+        .unionByName(said(cited, "assertion", "source", CITED, 2, CITED_NOT_CURRENT))
     )
 
 
@@ -122,7 +109,7 @@ TOOLS: dict[str, tuple[str, str, Callable[[KnowledgeGraph, str], DataFrame]]] =
 
 SERVER, PROTOCOL = "stelae", "2.0"
 #: The one argument every tool takes; a tool that needs none is asked without it.
-SCHEMA = {"type": "object", "properties": {"argument": {"type": "string", "description": "what the tool is asked"}}}
+SCHEMA = {"type": "object", "properties": {"argument": {"type": "string", "description": "the question"}}}
 
 
 def server() -> dict:

@@ -16,11 +16,11 @@ from stelae.functions.normalize import normalized_sql
 from stelae.operators import admission, audit
 from stelae.operators.graph import KnowledgeGraph
 from stelae.sources import content_store
-from stelae.sources.tables import table
+from stelae.sources.tables import spread, table
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").filter(F.col("text").isNotNull())
+    documents = spread(table(spark, folder, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text", "lang", "source"))
     addressed = documents.select(
         F.col("doc_id").alias("run"),
         i.document_identity(F.encode("text", "UTF-8")).alias("document"),
