@@ -41,6 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stelae.sources.tables import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_OCTETS = 4 << 20
 #: Text per shuffle partition, and the most partitions of one shuffle.
@@ -177,11 +179,8 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block_octets: int,
     octets = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-octets // block_octets))
     content = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(
-        F.pmod(F.xxhash64(F.col(key), content), F.lit(blocks)).cast("int").alias("block"),
-        F.col(key).alias("id"),
-        content.alias("text"),
-        word_octets(content).alias("lengths"),
+    split = spread(docs.select(F.col(key).alias("id"), content.alias("text"))).select(
+        F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text", word_octets(F.col("text")).alias("lengths")
     )
     texts = split.repartition(_partitions(docs, octets, blocks), "block")
     # All columns, though the ids are not needed: with the same columns on all

@@ -56,6 +56,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stelae.sources.tables import spread
+
 BLOCK_OCTETS = 4 << 20
 #: Autocorrelation from which indentation, and line length, count as periodic.
 INDENTED, RHYTHMIC = 0.7, 0.5
@@ -468,7 +470,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_words(docs: DataFrame, text: str, most: int = COMMON_WORDS) -> DataFrame:
     """``word, documents``: the ``most`` words that stand in the spoken lines of most
     documents, whatever their languages; ties in order of the words."""
-    counts = docs.filter(F.length(text) > 0).select(text).mapInArrow(_counted, "word string, held long")
+    counts = spread(docs.filter(F.length(text) > 0).select(text)).mapInArrow(_counted, "word string, held long")
     return counts.groupBy("word").agg(F.sum("held").alias("documents")).orderBy(F.col("documents").desc(), "word").limit(most)
 
 
@@ -479,7 +481,7 @@ def layouts(docs: DataFrame, key: str, text: str, common: frozenset[str] = froze
     kind = docs.schema[key].dataType
     result = pa.schema([pa.field("id", to_arrow_type(kind)), *(pa.field(n, t) for n, t, _ in FIELDS)])
     ddl = ", ".join([f"id {kind.simpleString()}", *(f"{n} {d}" for n, _, d in FIELDS)])
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = spread(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     return texts.mapInArrow(_measured(result, common), ddl).withColumnRenamed("id", key)
 
 
