@@ -349,7 +349,7 @@ def priced(usage: DataFrame, card: dict[str, int]) -> DataFrame:
     """``usage`` with ``cost_micros`` by a card of micros per million tokens of each kind,
     rounded down once; a count that was not reported leaves the cost absent."""
     cost = sum((F.col(kind) * F.lit(rate) for kind, rate in card.items()), F.lit(0).cast("long"))
-    return usage.withColumn("cost_micros", F.floor(cost / 1_000_000).cast("long"))
+    return usage.withColumn("cost_micros", cost).withColumn("cost_micros", F.expr("cost_micros div 1000000"))
 
 
 def measures(ledger: DataFrame, priced: bool = True) -> DataFrame:

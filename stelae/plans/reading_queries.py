@@ -57,6 +57,31 @@ def call_usage(spark: SparkSession, folder: str) -> DataFrame:
     return reading.measures(rows).withColumnRenamed("passage", "call_id")
 
 
+_CARD = {"input": 3_000_000, "output": 15_000_000, "cache_read": 300_000, "cache_write": 3_750_000}
+
+
+def call_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """What every call would cost by a price card; nothing where a count was not reported."""
+    usage = calls(spark, folder).filter("call_id IS NOT NULL").select("call_id", *_CARD)
+    return reading.priced(usage, _CARD).select("call_id", "cost_micros")
+
+
+def retried_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every call asked as often as it says, three times at most; an answered one is answered at its last attempt."""
+    rows = calls(spark, folder).filter("call_id IS NOT NULL AND attempts BETWEEN 1 AND 64")
+    tried = rows.select("document", F.col("call_id").alias("passage"), "outcome", "attempts", F.explode(F.sequence(F.lit(1).cast("long"), "attempts")).alias("attempt"))
+    good = (F.col("outcome") == "answered") & (F.col("attempt") == F.col("attempts"))
+    answers = tried.withColumn("answer", F.when(good, F.lit("[]")).otherwise(F.lit("{")))
+    return reading.retried(answers, 3).select(F.col("passage").alias("call_id"), "failed", "answered")
+
+
+def visual_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """No source can be read where a picture is needed and only texts were asked."""
+    sources = table(spark, folder, "sources").select("document", "content").dropDuplicates(["document"])
+    none = spark.createDataFrame([], "fingerprint string, answer string")
+    return reading.recorded_readings(reading.passages(sources), none, "a model", "", "p", needed=reading.VISUAL)[1]
+
+
 def source_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of all sources, and which can be read as text."""
     sources = table(spark, folder, "sources").select("document", "content").dropDuplicates(["document"])
@@ -117,7 +142,7 @@ def source_files_identity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        call_record_codec, call_record_faults, call_budget, call_usage, source_passages, reading_fidelity, recorded_answers,
+        call_record_codec, call_record_faults, call_budget, call_usage, call_prices, retried_calls, visual_refusals, source_passages, reading_fidelity, recorded_answers,
         grounded_quotes, grounded_texts, source_files_identity,
     )
 }
@@ -152,6 +177,11 @@ SELECT document, call_id, spent::BIGINT AS spent, CASE WHEN spent >= {_CEILING}
     "call_usage": f"""WITH {_CALLS}, u AS (SELECT *, coalesce(outcome IN ('answered', 'malformed'), false) AS used FROM calls WHERE call_id IS NOT NULL)
 SELECT document, call_id, used::INTEGER AS attempts, CASE WHEN used THEN coalesce(input, 0) END AS input,
   CASE WHEN used THEN coalesce(output, 0) END AS output, CASE WHEN used THEN coalesce(cost_micros, 0) END AS cost_micros FROM u""",
+    "call_prices": f"""WITH {_CALLS} SELECT call_id, ({" + ".join(f"{k}::HUGEINT * {v}" for k, v in _CARD.items())})::BIGINT // 1000000 AS cost_micros
+FROM calls WHERE call_id IS NOT NULL""",
+    "retried_calls": f"""WITH {_CALLS} SELECT call_id, CASE WHEN outcome = 'answered' AND attempts <= 3 THEN attempts - 1 ELSE least(attempts, 3) END::BIGINT AS failed,
+  coalesce(outcome = 'answered' AND attempts <= 3, false)::INTEGER AS answered FROM calls WHERE call_id IS NOT NULL AND attempts BETWEEN 1 AND 64""",
+    "visual_refusals": """SELECT DISTINCT document, 'cannot read' AS refusal, 'a reading this extractor cannot do' AS needs FROM sources""",
     "recorded_answers": """WITH r AS (SELECT DISTINCT claim, concept, text FROM claims), j AS (SELECT CASE right(claim, 1)
   WHEN '0' THEN 'not a sequence' WHEN '1' THEN 'not a sequence' WHEN '2' THEN 'a proposition lacks a text field'
   WHEN '3' THEN 'a proposition lacks a text field' WHEN '4' THEN 'not JSON' WHEN '6' THEN 'too many propositions'

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stelae.operators import change_feed, hierarchy, references
-from stelae.session import Scratch
+from stelae.session import Scratch, hadoop_path
 from stelae.sources.tables import table
+from stelae.streaming.live import LiveTable
 
 _SUBJECT, _ORDER, _STATE = ["kind", "id"], ["at_seconds", "seq"], ["standing", "successor"]
 
@@ -31,6 +32,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def live_standings(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed as a stream, file by file, into a table that is kept current."""
+    scratch, feed = Scratch(spark, "live"), table(spark, folder, "publications")
+    live = LiveTable(spark, scratch.path("table"), _SUBJECT, _ORDER, _STATE, identity=["seq"])
+    name = "publications.parquet"
+    where, files = hadoop_path(spark, f"{folder}/{name}")
+    reader = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1)
+    # A stream watches a folder: the table's own, or the one in which its only file lies.
+    stream = reader.parquet(f"{folder}/{name}") if files.getFileStatus(where).isDirectory() else reader.option("pathGlobFilter", name).parquet(folder)
+    live.start(stream, scratch.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return change_feed.present(live.current(), _ORDER).withColumn("successor", F.coalesce("successor", F.lit("")))
+
+
 def p2_standings(spark: SparkSession, folder: str) -> DataFrame:
     """Present and deleted subjects per kind and standing."""
     return (
@@ -104,6 +118,7 @@ def p5_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_standings": p2_standings,
+    "live_standings": live_standings,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
@@ -167,6 +182,7 @@ walks AS (
 )"""
 
 ORACLE = {
+    "live_standings": f"WITH {_LATEST_SQL} SELECT kind, id, standing, coalesce(successor, '') AS successor FROM latest WHERE NOT deleted",
     "p2_found": f"WITH {_LATEST_SQL} SELECT kind, id, standing, coalesce(successor, '') AS successor FROM latest WHERE NOT deleted",
     "p2_standings": f"WITH {_LATEST_SQL} SELECT kind, coalesce(standing, '') AS standing, deleted, count(*) AS subjects FROM latest GROUP BY ALL",
     "p4_found": f"WITH {_ORPHANS_SQL} SELECT * FROM found WHERE reason IS NOT NULL",

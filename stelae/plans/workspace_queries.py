@@ -17,7 +17,7 @@ from stelae.operators.workspace import Workspace
 from stelae.plans.admission_queries import _CITED_SQL, _citations
 from stelae.plans.graph_queries import _GRAPH, _WORDS, log_view, table_graph
 from stelae.plans.tables_queries import _WALKS_SQL
-from stelae.session import Scratch
+from stelae.session import Scratch, hadoop_path
 from stelae.sources import content_store, record_log
 from stelae.sources.tables import table
 
@@ -30,7 +30,7 @@ _LOCATION = "pages 1 to 1 of the text"
 
 def line_reader(document: str, content: bytes, needed: str) -> list[reading.Reading]:
     """Reads ``concept: claim`` lines.  It cannot read what is no text, says nothing of an empty
-    one, fails on bars, and takes a text that begins with a digit for another document."""
+    one, fails on addresses that end in 9, and answers for another document where one ends in 7."""
     if needed != reading.TEXT:
         raise reading.CannotRead("only text is read")
     try:
@@ -39,9 +39,9 @@ def line_reader(document: str, content: bytes, needed: str) -> list[reading.Read
         raise reading.CannotRead("no text") from error
     if not text:
         return []
-    if "|" in text:
-        raise RuntimeError("bars")
-    named = "0" * 64 if text[0] in "0123456789" else document
+    if document.endswith("9"):
+        raise RuntimeError("no answer")
+    named = "0" * 64 if document.endswith("7") else document
     return [reading.Reading(named, _LOCATION, [tuple(line.split(":", 1)) for line in text.split("\n") if ":" in line])]
 
 
@@ -161,6 +161,31 @@ def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return kept.records()
 
 
+def torn_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A text log whose last record was not written whole is refused, and so is one that is not there."""
+    where, files = hadoop_path(spark, Scratch(spark, "torn").path("log.txt"))
+    stream = files.create(where, True)
+    stream.write(bytearray(b"concept\x1fasserted\x1f\x1f\x1fwhole\nconcept\x1fasserted\x1f\x1f\x1fto"))
+    stream.close()
+    told = []
+    for name, path in (("torn", where.toString()), ("missing", Scratch(spark, "torn").path("none.txt"))):
+        try:
+            record_log.import_text(spark, path)
+        except record_log.LogRefused:
+            told.append((name, True))
+        else:
+            told.append((name, False))
+    return spark.createDataFrame(told, "log string, refused boolean")
+
+
+def source_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A file read whole as octets: the names of the regions, a line each."""
+    path = Scratch(spark, "file").path("regions")
+    table(spark, folder, "region").select("r_name").repartition(1).sortWithinPartitions("r_name").write.text(path)  # five rows
+    read = content_store.source_files(spark, f"{path}/part-*.txt")
+    return read.select(i.document_identity(F.col("content")).alias("document"), F.octet_length("content").alias("octets"))
+
+
 def log_replay(spark: SparkSession, folder: str) -> DataFrame:
     """A whole log that admissions made, checked and folded in one plan."""
     made = admission.numbered(admission.publications(_citations(spark, folder)), 0, 7)
@@ -370,7 +395,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         reading_coverage, unread_coverage, misdirected_readings, replayed_readings, assertion_readings, request_fingerprints, failed_runs,
-        coverage_records, coverage_values, store_round_trip, log_round_trip, log_replay, log_refused, published_graph, workspace_admission,
+        coverage_records, coverage_values, store_round_trip, log_round_trip, torn_log, source_file, log_replay, log_refused, published_graph, workspace_admission,
         workspace_reader, closings_recorded, current_neighbourhood, historical_neighbourhood, concept_counts, answer_lines, tool_session,
         tool_catalogue, derivation_parts, scopes, promotions, derivation_cycles, relation_algebra, delete_permits,
     )
@@ -379,7 +404,7 @@ QUERIES = {
 _N = normalized_sql
 _DOCS = f"docs AS (SELECT DISTINCT {i.document_sql('content')} AS document, content FROM sources WHERE content IS NOT NULL)"
 _PARTS = f"{_DOCS}, parts AS (SELECT document, TRY(decode(content)) AS text FROM docs), readable AS (SELECT * FROM parts WHERE length(trim(text, ' ')) >= 1)"
-_READ = f"""{_DOCS}, judged AS (SELECT document, text, CASE WHEN text IS NULL THEN 'cannot read' WHEN contains(text, '|') OR regexp_matches(text, '^[0-9]') THEN 'reader failed' END AS refusal
+_READ = f"""{_DOCS}, judged AS (SELECT document, text, CASE WHEN text IS NULL THEN 'cannot read' WHEN text <> '' AND right(document, 1) IN ('7', '9') THEN 'reader failed' END AS refusal
   FROM (SELECT document, TRY(decode(content)) AS text FROM docs)),
 told AS (SELECT *, CASE WHEN refusal IS NULL AND text <> '' THEN 1 ELSE 0 END::BIGINT AS readings FROM judged),
 lines AS (SELECT document, unnest(string_split(text, chr(10))) AS line FROM told WHERE readings = 1),
@@ -418,7 +443,7 @@ _FOUND = "(SELECT coalesce(string_agg(text, chr(10) ORDER BY claim), '(nothing)'
 ORACLE = {
     "reading_coverage": f"WITH {_READ} SELECT * FROM covered",
     "unread_coverage": f"WITH {_DOCS} SELECT document, 'not read' AS refusal, 'a reader' AS needs, 'unmet' AS coverage FROM docs",
-    "misdirected_readings": f"WITH {_READ} SELECT document AS asked FROM judged WHERE regexp_matches(text, '^[0-9]') AND NOT contains(text, '|')",
+    "misdirected_readings": f"WITH {_READ} SELECT document AS asked FROM judged WHERE text <> '' AND right(document, 1) = '7'",
     "replayed_readings": f"""WITH {_PARTS}, r AS (SELECT p.document, q.text, CASE WHEN q.document IS NULL THEN 'cannot read' WHEN right(p.document, 1) IN ('0', '1') THEN 'reader failed' END AS refusal
   FROM parts p LEFT JOIN readable q USING (document))
 SELECT document, refusal, CASE refusal WHEN 'cannot read' THEN 'a reading this extractor cannot do' WHEN 'reader failed' THEN 'an answer from the reader' END AS needs,
@@ -441,6 +466,9 @@ QUALIFY row_number() OVER (PARTITION BY document, protocol ORDER BY call_id DESC
     "log_round_trip": f"""SELECT row_number() OVER (ORDER BY arrival) AS seq, kind, coalesce(standing, '') AS standing, {_N("coalesce(successor, '')")} AS successor,
   {_N("coalesce(because, '')")} AS because, CASE WHEN kind = 'concept' THEN '' ELSE {_N("coalesce(ref, '')")} END AS ref, {_N("coalesce(text, '')")} AS text,
   '' AS source, '' AS scope, at_seconds AS "at" FROM publications WHERE lower(op) NOT IN ('d', 'delete')""",
+    "torn_log": "SELECT * FROM (VALUES ('torn', true), ('missing', true)) v(log, refused)",
+    "source_file": f"""WITH t AS (SELECT string_agg(r_name, chr(10) ORDER BY r_name) || chr(10) AS text FROM region)
+SELECT {i.document_sql('encode(text)')} AS document, strlen(text)::INTEGER AS octets FROM t""",
     "log_replay": f"""WITH {_CITED_SQL} SELECT count(DISTINCT concept) AS concepts, count(DISTINCT claim) AS claims, count(DISTINCT assertion) AS citations,
   count(DISTINCT concept) AS held, NULL::BIGINT AS refused_at, NULL::VARCHAR AS error FROM cited""",
     "published_graph": f"""WITH {_CITED_SQL} SELECT DISTINCT {i.concept_sql('canonical_name')} AS concept, {_N('canonical_name')} AS canonical_name, 'asserted' AS standing FROM cited""",

@@ -30,7 +30,7 @@ def spread(rows: DataFrame) -> DataFrame:
     what is moved is then at most that many row groups.  A table of more is left as it is.
     """
     spark = rows.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
-    if not files or 2 * len(files) >= cores:
+    cores, files = spark.sparkContext.defaultParallelism, rows._jdf.inputFiles()  # stays in the JVM: there may be many
+    if not len(files) or 2 * len(files) >= cores:
         return rows
     return rows if 2 * sum(_row_groups(spark, f) for f in files) >= cores else rows.repartition(cores)
