@@ -125,11 +125,14 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.decoded(ids, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select(F.struct("doc_id", "source").alias("document"), "text")
     sized = encoding.token_counts(documents, "document", "text").select("document.*", "tokens")
-    sized = Scratch(spark, "mixing").keep(sized, "sized")
-    return mixing.mixed(sized, table(spark, folder, "mix_targets"))
+    return Scratch(spark, "mixing").keep(sized, "sized")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(_sized(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,11 +146,25 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """Does every source keep its cap and its budget, and come within a hundredth of what it can give?"""
-    report = p7_shares(spark, folder)
-    near = F.col("tokens_taken") >= F.least("budget", F.col("max_repeats") * F.col("tokens_held")) * 0.99 - 64
-    kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("tokens_taken") <= F.col("budget")) & near
-    return report.select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats"), "documents_held", kept.alias("kept"))
+    """Does every source keep its cap and its budget, and is no document left that would still
+    fit: is what the budget lacks less than the shortest document without its copy more?"""
+    sized = _sized(spark, folder)
+    selection, report = mixing.mixed(sized, table(spark, folder, "mix_targets"))
+    whole = F.when(F.col("tokens_held") > 0, F.floor(F.col("budget") / F.col("tokens_held"))).otherwise(0)
+    copies = sized.filter("tokens > 0").join(selection.select("doc_id", "copies"), "doc_id", "left").na.fill(0, ["copies"])
+    left = (
+        copies.join(report.select("source", whole.alias("whole")), "source")
+        .filter(F.col("copies") <= F.col("whole"))
+        .groupBy("source")
+        .agg(F.min("tokens").alias("shortest"))
+    )
+    lacking = F.col("budget") - F.col("tokens_taken")
+    # A budget of as many whole repeats as the cap allows leaves no copy to be taken.
+    full = F.col("tokens_taken") >= F.col("max_repeats") * F.col("tokens_held")
+    kept = (F.col("most_copies") <= F.col("max_repeats")) & (lacking >= 0) & (full | F.col("shortest").isNull() | (lacking < F.col("shortest")))
+    return report.join(left, "source", "left").select(
+        "source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats"), "documents_held", kept.alias("kept")
+    )
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
