@@ -1,6 +1,7 @@
 """The fold against a sequential replay, the worlds and the tools."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -209,3 +210,33 @@ def test_tables_as_graph(spark):
     held = KnowledgeGraph.of_tables(concepts, claims, cited)
     assert [tuple(r) for r in held.concepts.collect()] == [("a", "A", "retired", "", "why")]
     assert held.current().claims().count() == 0 and held.claims.count() == 1
+
+
+def test_replay_in_one_plan_equals_the_sequential_one(spark):
+    for seed in range(4):
+        log = random_log(random.Random(seed), 30, 0.08 if seed % 2 else 0.0)
+        df = spark.createDataFrame(log, LOG)
+        error, held = sequential(log)
+        row = history.replay(df).first()
+        if error:
+            assert (row.refused_at, row.error) == error and row.concepts is None
+        else:
+            counts = history.counts(df).first()
+            assert (row.concepts, row.claims, row.citations, row.held) == tuple(counts) and row.held == len(held["concept"])
+    empty = history.replay(graph.empty_log(spark)).first()
+    assert (empty.concepts, empty.held, empty.refused_at) == (0, 0, None)
+
+
+def test_a_session_survives_every_line(spark):
+    log = spark.createDataFrame([(1, "concept", "asserted", "", "", "", "entropy", "", "", None)], LOG)
+    held = KnowledgeGraph.folded(log)
+    lines = ['{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}', "", "[]", '{"id": 2}', '{"jsonrpc": "2.0", "method": "note"}',
+             '{"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "get_concept", "arguments": {"argument": "ent"}}}',
+             '{"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": [1]}']
+    replies = [json.loads(r) for r in tools.session(held, lines)]
+    assert [r["id"] for r in replies] == [1, None, 2, 3, 4]
+    assert [t["name"] for t in replies[0]["result"]["tools"]] == list(tools.TOOLS)
+    assert [r.get("error", {}).get("code") for r in replies] == [None, -32600, -32600, None, -32602]
+    assert replies[3]["result"] == {"content": [{"type": "text", "text": "entropy"}], "isError": False}
+    listed = tools.listing(held)
+    assert "corpus     1 current, 1 held" in listed and all(name in listed for name in tools.TOOLS)
