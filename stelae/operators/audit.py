@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stelae.functions.values import SKIPPED, UNMET
+from stelae.operators.cycles import asked_on_cycles
 from stelae.operators.graph import ASSERTED, SUPERSEDED, identified
 from stelae.operators.ordered import previous
 from stelae.session import Scratch
@@ -159,20 +160,12 @@ def refused_cycles(derived: DataFrame, proposed: DataFrame) -> DataFrame:
     """``artifact`` of the proposed derivations (``artifact, input``) that would make an artifact
     its own ancestor, alone or together with the others: the write path appends none of these.
 
-    Ancestors are followed from the proposed inputs in rounds over what is held and proposed,
-    each round from what the last one found, each written.
+    Such a derivation lies on a cycle of what is held and proposed (``cycles``); what only leads to
+    one, and what is held already, is not refused.
     """
-    edges = derived.select("artifact", "input").unionByName(proposed.select("artifact", "input")).distinct()
-    scratch, step = Scratch(derived.sparkSession, "cycle"), 0
-    seen = scratch.keep(proposed.select("artifact", "input").distinct(), "up-0")
-    frontier = seen
-    while not frontier.isEmpty():
-        step += 1
-        above = frontier.select(F.col("artifact").alias("_low"), F.col("input").alias("artifact")).join(edges, "artifact")
-        further = above.select(F.col("_low").alias("artifact"), "input").distinct()
-        frontier = scratch.keep(further.join(seen, ["artifact", "input"], "left_anti"), f"up-{step}")
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.col("artifact") == F.col("input")).select("artifact").distinct()
+    held = derived.select(F.col("artifact").alias("tail"), F.col("input").alias("head"), F.lit(False).alias("asked"))
+    asked = proposed.select(F.col("artifact").alias("tail"), F.col("input").alias("head"), F.lit(True).alias("asked"))
+    return asked_on_cycles(held.unionByName(asked)).withColumnRenamed("tail", "artifact")
 
 
 def derive(derived: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
