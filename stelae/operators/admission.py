@@ -20,6 +20,7 @@ from stelae.functions.identity import assertion_identity, claim_identity, concep
 from stelae.functions.normalize import normalized
 from stelae.functions.values import UNMET, coverage_of_run
 from stelae.operators.graph import KnowledgeGraph, is_current
+from stelae.session import Scratch
 
 STATEMENTS = (
     "run long, document string, scope string, passage int, ordinal int, concept_name string, claim_text string"
@@ -81,7 +82,20 @@ def coverage(found, readings, refusal=None):
     return F.when(unmet, F.lit(UNMET)).otherwise(coverage_of_run(found))
 
 
-def report(statements: DataFrame, runs: DataFrame | None = None, known: KnowledgeGraph | None = None) -> DataFrame:
+_TEXTS = ["run", "document", "scope", "concept_name", "claim_text"]
+
+
+def combined(statements: DataFrame) -> DataFrame:
+    """Proposals in normal form, each once per run, with ``times`` it was made, its last passage ``_last`` and
+    its first position ``_at``; ``report`` and ``records`` are made of it."""
+    return normal(statements).groupBy(*_TEXTS, "complete").agg(
+        F.count("*").alias("times"), F.max("passage").alias("_last"), F.min(_position()).alias("_at")
+    )
+
+
+def report(
+    statements: DataFrame, runs: DataFrame | None = None, known: KnowledgeGraph | None = None, made: DataFrame | None = None
+) -> DataFrame:
     """One row per run: coverage, distinct concepts, claims and citations, and what
     was refused, repeated, merged or closed.
 
@@ -91,13 +105,10 @@ def report(statements: DataFrame, runs: DataFrame | None = None, known: Knowledg
     ``closed`` counts admitted concepts that ``known`` holds closed.
 
     Equal normal texts have equal identities, so everything is counted on the texts,
-    and what the run says again is combined before anything is shuffled.
+    and what the run says again is combined before anything is shuffled.  ``made`` are
+    the ``combined`` statements where they were kept.
     """
-    made = (
-        normal(statements)
-        .groupBy("run", "document", "scope", "concept_name", "claim_text", "complete")
-        .agg(F.count("*").alias("times"), F.max("passage").alias("_last"))
-    )
+    made = combined(statements) if made is None else made
     # Per concept of a run first: one distinct count, and nothing is expanded.
     ok = F.col("complete")
     named = made.groupBy("run", "document", "concept_name", "complete").agg(
@@ -141,51 +152,57 @@ def corroborated(statements: DataFrame, least: int = 2) -> DataFrame:
     return often.select(claim_identity(concept, F.col("claim_text"), normal=True).alias("claim"), "documents")
 
 
-def publications(statements: DataFrame, known: KnowledgeGraph | None = None) -> DataFrame:
-    """What the runs publish, in order of ``run, rank, first``: concepts that are not
-    held closed, then all claims, then all citations, each once per run.
-
-    Proposals that a run repeats are combined first; each that is left is derived
-    once and gives its three records.
+def records(made: DataFrame, known: KnowledgeGraph | None = None) -> DataFrame:
+    """What ``combined`` proposals publish, as texts: ``run, rank, first`` and what the identities of ``sealed``
+    are derived of.  Equal normal texts have equal identities, so nothing that is moved has any:
+    hex digits of a digest are longer than most texts and nothing compresses them to less than their half.
     """
+    ok, none = made.filter("complete"), F.lit("")
+    named = ok.groupBy("run", "concept_name").agg(F.min("_at").alias("first"))
+    if known is not None:
+        shut = known.concepts.filter(~is_current(F.col("standing"))).select(F.col("concept").alias("_concept"))
+        named = named.join(shut, concept_identity(F.col("concept_name"), normal=True) == F.col("_concept"), "left_anti")
+    claimed = ok.groupBy("run", "concept_name", "claim_text").agg(F.min("_at").alias("first"))
+    return (
+        named.select("run", F.lit(0).alias("rank"), "first", "concept_name", none.alias("claim_text"), none.alias("document"), none.alias("scope"))
+        .unionByName(claimed.select("run", F.lit(1).alias("rank"), "first", "concept_name", "claim_text", none.alias("document"), none.alias("scope")))
+        .unionByName(ok.select("run", F.lit(2).alias("rank"), F.col("_at").alias("first"), "concept_name", "claim_text", "document", "scope"))
+    )
+
+
+def sealed(made: DataFrame, *further: str) -> DataFrame:
+    """``records`` with their identities and the fields of a publication."""
+    concept = concept_identity(F.col("concept_name"), normal=True)
+    claim = claim_identity(concept, F.col("claim_text"), normal=True)
+    assertion = assertion_identity(claim, normalized(F.col("document")), F.col("scope"), normal=True)
+    by_rank = lambda *of: F.when(F.col("rank") == 0, of[0]).when(F.col("rank") == 1, of[1]).otherwise(of[2])
     none = F.lit("")
+    return made.select(
+        *further, "run", "rank", "first", by_rank(F.lit("concept"), F.lit("claim"), F.lit("assertion")).alias("kind"),
+        by_rank(concept, claim, assertion).alias("id"), by_rank(none, concept, claim).alias("ref"),
+        by_rank(F.col("concept_name"), F.col("claim_text"), none).alias("text"), F.col("document").alias("source"), "scope",
+    )
 
-    def record(rank: int, kind: str, key: str, ref, text, source, scope):
-        return F.struct(
-            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col(key).alias("id"), ref.alias("ref"), text.alias("text"),
-            source.alias("source"), scope.alias("scope"),
-        )
 
-    records = F.array(
-        record(0, "concept", "concept", none, F.col("concept_name"), none, none),
-        record(1, "claim", "claim", F.col("concept"), F.col("claim_text"), none, none),
-        record(2, "assertion", "assertion", F.col("claim"), none, F.col("document"), F.col("scope")),
-    )
-    said = (
-        normal(statements)
-        .filter("complete")
-        .groupBy("run", "document", "scope", "concept_name", "claim_text", "complete")
-        .agg(F.min(_position()).alias("_at"))
-    )
-    made = _identified(said).select("run", "_at", F.explode(records).alias("_r"))
-    once = made.select("run", "_at", "_r.*").groupBy("run", "rank", "kind", "id", "ref", "text", "source", "scope").agg(
-        F.min("_at").alias("first")
-    )
-    if known is not None:
-        shut = known.concepts.filter(~is_current(F.col("standing"))).select(F.lit(0).alias("rank"), F.col("concept").alias("id"))
-        once = once.join(shut, ["rank", "id"], "left_anti")
-    return once.select("run", "rank", "first", "kind", "id", "ref", "text", "source", "scope")
+def publications(statements: DataFrame, known: KnowledgeGraph | None = None) -> DataFrame:
+    """What the runs publish, in order of ``run, rank, first``: concepts that are not
+    held closed, then all claims, then all citations, each once per run.
+    """
+    return sealed(records(combined(statements), known))
 
 
-def numbered(published: DataFrame, after: int, at: int | None) -> DataFrame:
-    """Log rows of ``publications``, numbered from ``after + 1`` in their order.
+def numbered(published: DataFrame, after: int, at: int | None, scratch: Scratch | None = None) -> DataFrame:
+    """Log rows of ``publications``, or of ``records`` before they are sealed, numbered from ``after + 1`` in their order.
 
     Positions are counted per range of the order first and added up, so that no
     single task numbers the whole batch.
     """
     from stelae.sources.record_log import with_positions
 
-    ordered = with_positions(published, ["run", "rank", "first", "id"])
+    last = ["id"] if "id" in published.columns else ["concept_name", "claim_text", "document", "scope"]
+    ordered = with_positions(published, ["run", "rank", "first", *last], scratch=scratch)
+    if "id" not in published.columns:
+        ordered = sealed(ordered, "position")
     return ordered.select(
         (F.col("position") + F.lit(after)).alias("seq"),
         "kind", F.lit("asserted").alias("standing"), F.lit("").alias("successor"), F.lit("").alias("because"),
@@ -193,6 +210,17 @@ def numbered(published: DataFrame, after: int, at: int | None) -> DataFrame:
     )
 
 
+def cited(made: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``position, assertion, document`` of the assertions that ``combined`` proposals make of each
+    document, each once, numbered as texts and sealed afterwards."""
+    from stelae.sources.record_log import with_positions
+
+    order = ["document", "scope", "concept_name", "claim_text"]
+    rows = with_positions(made.filter("complete").select(*order), order, once=True, scratch=scratch)
+    claim = claim_identity(concept_identity(F.col("concept_name"), normal=True), F.col("claim_text"), normal=True)
+    return rows.select("position", assertion_identity(claim, normalized(F.col("document")), F.col("scope"), normal=True).alias("assertion"), "document")
+
+
 def repeats(links: DataFrame) -> DataFrame:
     """The proposals of a run that repeat a citation made earlier in it."""
     first = citations(links).filter("times > 1").select("run", "assertion", "first")

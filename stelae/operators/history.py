@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stelae.operators.graph import ARITY, KnowledgeGraph, identified, is_current, violations
+from stelae.functions.keys import packed
+from stelae.operators.graph import ARITY, identified, is_current, violations
 
 COUNTS = ("concepts", "claims", "citations", "held")
 # Fixed value: how a question that the log cannot answer is refused.
@@ -44,15 +45,22 @@ def as_of(log: DataFrame, seconds: int) -> DataFrame:
 
 
 def counts(prefix: DataFrame) -> DataFrame:
-    """Current concepts, claims and citations and held concepts of a prefix, one row."""
-    graph = KnowledgeGraph.folded(prefix)
-    world = graph.current()
-    parts = [
-        world.concepts().select(F.lit("concepts").alias("what")),
-        world.claims().select(F.lit("claims").alias("what")),
-        world.assertions().select(F.lit("citations").alias("what")),
-        graph.concepts.select(F.lit("held").alias("what")),
-    ]
+    """Current concepts, claims and citations and held concepts of a prefix, one row.
+
+    Counted over packed identities: of the fold of a log nothing else is needed.
+    """
+    rows = identified(prefix).filter(F.col("id").isNotNull()).select("kind", packed(F.col("id")).alias("id"), packed(F.col("ref")).alias("ref"), "standing", "seq")
+
+    def last(kind: str, *columns: str) -> DataFrame:
+        order = Window.partitionBy("id").orderBy(F.col("seq").desc())
+        ranked = rows.filter(F.col("kind") == kind).select("id", "seq", "standing", *columns).withColumn("_rank", F.row_number().over(order))
+        return ranked.filter(F.col("_rank") == 1).select("id", is_current(F.col("standing")).alias("live"), *columns)
+
+    concepts = last("concept")
+    alive = concepts.filter("live").select(F.col("id").alias("ref"))
+    claims = last("claim", "ref").filter("live").join(alive, "ref", "left_semi")
+    held = last("assertion", "ref").filter("live").join(claims.select(F.col("id").alias("ref")), "ref", "left_semi")
+    parts = [alive.select(F.lit("concepts").alias("what")), claims.select(F.lit("claims").alias("what")), held.select(F.lit("citations").alias("what")), concepts.select(F.lit("held").alias("what"))]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

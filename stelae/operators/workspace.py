@@ -115,8 +115,7 @@ class Workspace:
             outcome = addresses.join(told, "run", "left").na.fill(0, ["readings"]).withColumns({
                 "refusal": F.lit(None).cast("string"), "needs": F.when(F.col("readings") == 0, F.lit(reading.NO_READING)),
             })
-            kept = said.join(addresses, "run").withColumn("location", F.lit("stated"))
-            facts = reading.lineage(reading.stated_readings(kept, protocol, name), label)
+            facts = None  # one reading of each document, which makes what is admitted: numbered with it
         else:
             outcome = addresses.join(reading.examined(addresses, readings, refusals), "document")
             if readings is None:
@@ -127,11 +126,19 @@ class Workspace:
                 facts = reading.lineage(given, label)
         if statements is None:
             statements = self.spark.createDataFrame([], admission.STATEMENTS)
-        reports = scratch.keep(admission.report(statements, outcome, known), "report")
-        self._append(admission.numbered(admission.publications(statements, known), self._last(), at))
+        # Statements are read, joined and combined once; what is numbered holds texts, and is dropped when it is sealed.
+        made = scratch.keep(admission.combined(statements), "combined")
+        reports = scratch.keep(admission.report(statements, outcome, known, made), "report")
+        self._append(admission.numbered(admission.records(made, known), self._last(), at, scratch))
+        scratch.drop("numbered")
         self._keep_coverage(reports, protocol, name, at)
-        if facts is not None:
+        if said is not None:
+            stated = {"passage": F.lit(1), "location": F.lit("stated"), "protocol": F.lit(protocol), "reader": F.lit(name)}
+            self._append_lineage(admission.cited(made, scratch).withColumns(stated))
+            scratch.drop("numbered")
+        elif facts is not None:
             self._keep_lineage(facts)
+        scratch.drop("combined")
         corpus = history.counts(self.log()).first()
         return (
             reports.join(receipts.select("document", "admission"), "document")
@@ -153,7 +160,10 @@ class Workspace:
 
     def _keep_lineage(self, facts: DataFrame) -> None:
         columns = ["assertion", "document", "passage", "location", "protocol", "reader"]
-        rows = with_positions(facts.select(*columns), columns)
+        self._append_lineage(with_positions(facts.select(*columns), columns))
+
+    def _append_lineage(self, rows: DataFrame) -> None:
+        columns = ["assertion", "document", "passage", "location", "protocol", "reader"]
         self.readings.append(rows.select((F.col("position") + F.lit(self.readings.last())).alias("seq"), *columns))
 
     def _close(self, name: str, because: str, into: str | None, merging: bool, at: int | None) -> DataFrame:

@@ -63,12 +63,16 @@ def _removed_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+#: Codec of written tables.
+CODEC = "zstd"
+
+
 class Scratch:
     """Tables of one run, written as Parquet into the shared folder.
 
     A written table cuts the lineage, survives the loss of any executor and is
     compressed and column-pruned when it is read again, which the row format of
-    ``checkpoint()`` is not.
+    ``checkpoint()`` is not.  Identities are hex, which the default codec leaves at its length.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -80,7 +84,7 @@ class Scratch:
         return os.path.join(self.root, name)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", CODEC).parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

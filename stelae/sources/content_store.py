@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stelae.functions.identity import document_identity
-from stelae.session import Scratch
+from stelae.session import CODEC, Scratch
 
 DOCUMENTS = "document string, content binary, length long"
 
@@ -76,7 +76,7 @@ class DocumentStore:
             .join(receipts.filter(F.col("admission") == "stored").select("document"), "document", "left_semi")
             .dropDuplicates(["document"])
         )
-        fresh.select("document", "content", "length").write.mode("append").parquet(self.path)
+        fresh.select("document", "content", "length").write.mode("append").option("compression", CODEC).parquet(self.path)
         return receipts
 
     def holds(self, addresses: DataFrame) -> DataFrame:

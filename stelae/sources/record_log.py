@@ -9,24 +9,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stelae.operators.graph import LOG, empty_log, parsed, rendered
-from stelae.session import Scratch, hadoop_path
+from stelae.session import CODEC, Scratch, hadoop_path
 
 
 class LogRefused(ValueError):
     """A log that is missing or torn."""
 
 
-def with_positions(rows: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+def with_positions(
+    rows: DataFrame, order: Sequence[str], name: str = "position", once: bool = False, scratch: Scratch | None = None
+) -> DataFrame:
     """``rows`` with their 1-based position in ``order`` (which must be total).
 
     The rows are range-partitioned and sorted, each partition numbers its rows as
     they lie, and the partitions' sizes are added up: that table has one row per
     partition.  The ranges are drawn from a sample, so the numbered rows are
-    written once and both uses read the same drawing.
+    written once and both uses read the same drawing; who gives a ``scratch`` drops the table
+    ``numbered`` there when the positions were used.  With ``once``, equal rows count as one: they
+    meet in the same range, so nothing further is moved.
     """
     place = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
-    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", place)
-    held = Scratch(rows.sparkSession, "positions").keep(numbered, "numbered").withColumns(
+    ranged = rows.repartitionByRange(*order)
+    numbered = (ranged.distinct() if once else ranged).sortWithinPartitions(*order).withColumn("_id", place)
+    held = (scratch or Scratch(rows.sparkSession, "positions")).keep(numbered, "numbered").withColumns(
         {"_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}
     )
     sizes = held.groupBy("_part").agg(F.count("*").alias("_size"))
@@ -55,7 +60,7 @@ class AppendedTable:
         return self.records().agg(F.max("seq")).first()[0] or 0
 
     def append(self, rows: DataFrame) -> None:
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.records().schema.fields)).write.mode("append").parquet(self.path)
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.records().schema.fields)).write.mode("append").option("compression", CODEC).parquet(self.path)
 
 
 class PublicationLog:
@@ -81,7 +86,7 @@ class PublicationLog:
 
     def append(self, rows: DataFrame) -> None:
         """Append numbered rows; the commit of the write makes them visible at once."""
-        rows.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in LOG.split(", "))).write.mode("append").parquet(self.path)
+        rows.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in LOG.split(", "))).write.mode("append").option("compression", CODEC).parquet(self.path)
 
 
 def text_records(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Admission, stores, closing and the log, end to end."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from stelae.operators import admission, closing
 from stelae.operators.graph import KnowledgeGraph
 from stelae.operators.reading import Reading
 from stelae.operators.workspace import Refused, Workspace
+from stelae.session import Scratch
 from stelae.sources import content_store, record_log
 
 SAID = "run long, ordinal int, concept_name string, claim_text string"
@@ -183,3 +186,29 @@ def test_text_log_of_several_files_and_splits(spark, tmp_path):
         record_log.import_text(spark, str(tmp_path / "out"))
     with pytest.raises(record_log.LogRefused):
         record_log.import_text(spark, str(tmp_path / "nowhere"))
+
+
+def test_what_admission_numbers_holds_no_identities(spark, workspace, monkeypatch):
+    """Digests do not compress, so they are derived after the numbering, and what was numbered is dropped."""
+    numbered, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (numbered.append((self, df.columns)) if name == "numbered" else None) or keep(self, df, name))
+    sources = spark.createDataFrame([(1, b"one"), (2, b"one"), (3, b"two")], "run long, content binary")
+    said = spark.createDataFrame(
+        [(1, 0, "a", "x"), (1, 1, "b", "y"), (1, 2, "a ", "x"), (2, 0, "a", "x"), (3, 0, "b", None), (3, 1, "a", "x")],
+        "run long, ordinal int, concept_name string, claim_text string",
+    )
+    got = {r.run: r for r in workspace.admit(sources, said, scope="s", at=7).collect()}
+    assert [(got[k].coverage, got[k].refused, got[k].repeated, got[k].merged) for k in (1, 2, 3)] == [("yielded", 0, 1, 1), ("yielded", 0, 0, 0), ("yielded", 1, 0, 0)]
+    assert [(got[1][f"corpus_{c}"]) for c in ("concepts", "claims", "citations")] == [2, 2, 3]
+    assert not any({"id", "ref", "assertion"} & set(columns) for _, columns in numbered)
+    assert not any(os.path.exists(s.path("numbered").removeprefix("file://")) for s, columns in numbered if "claim_text" in columns)
+    log = workspace.log().orderBy("seq").collect()
+    assert [r.seq for r in log] == list(range(1, len(log) + 1))
+    assert [(r.kind, r.text) for r in log] == [
+        ("concept", "a"), ("concept", "b"), ("claim", "x"), ("claim", "y"), ("assertion", ""), ("assertion", ""),
+        ("concept", "a"), ("claim", "x"), ("assertion", ""), ("concept", "a"), ("claim", "x"), ("assertion", ""),
+    ]
+    facts = workspace.readings.records().orderBy("seq").collect()
+    assert [r.seq for r in facts] == [1, 2, 3] and len({r.assertion for r in facts}) == 3
+    held = {r.assertion for r in workspace.graph().assertions.select("assertion").collect()}
+    assert {r.assertion for r in facts} == held
